@@ -1,7 +1,6 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The texts of a batch are cut into pre-tokens by the vocabulary file's own normalizer and pre-tokenizer; each
-distinct pre-token is encoded once. For the ones not met yet, all symbols of the batch stand in one row, and an
+The texts of a batch are cut into pre-tokens as the vocabulary file states; each distinct pre-token is encoded once. For the ones not met yet, all symbols of the batch stand in one row, and an
 index maps every mergeable pair to all places where it occurs. The active merge ranks are taken in ascending order;
 a rank is applied at all its places at once, and the lists of the pairs to the left and right of each place are
 updated. That gives what merging each pre-token on its own gives, because a merge can only bring about pairs of a
@@ -18,23 +17,31 @@ import heapq
 import json
 import re
 import struct
+import sys
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.common import quoted, table
 
-#: Distinct strings that a worker remembers; beyond them it starts afresh.
+#: Distinct words that a worker remembers since its memory last turned; the words of the turn before are kept beside.
 REMEMBERED = 200_000
 #: Characters of text that are encoded and handed on together, unless one text alone has more.
-SLICE_CHARS = 4_000_000
-#: str.split() takes these for white space; Unicode does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+SLICE_CHARS = 2_000_000
+#: White space as Unicode defines it.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The normalizer and pre-tokenizer that this module has code for, as a vocabulary file states them.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = regex.compile(_PATTERN.replace(r"\s", _SPACE))
 
 
 class Vocabulary:
@@ -62,20 +69,55 @@ class Vocabulary:
             self.rules.append((left, right, new))
         if any(x in made for x in (self.ids.get(c) for c in self.ids if len(c) == 1)):
             raise ValueError("a single symbol is made by a merge")
-        library = Tokenizer.from_file(path)
-        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        if (spec["normalizer"] or {}).get("normalizers") != _NORMALIZER or steps[0].get("pattern") != {"Regex": _PATTERN} or not steps[0]["invert"] or steps[1]["type"] != "ByteLevel" or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            raise ValueError("the file states another normalizer or pre-tokenizer")
+        #: Ids of single bytes, within a word and at its end.
+        self.inner = [self.ids[c] for c in byte_symbols()]
+        self.final = [self.ids[c + self.suffix] for c in byte_symbols()]
+        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        #: Letters and digits so new that the library may not know them; it cuts texts with these itself.
+        self.library = Tokenizer.from_file(path)
+        self.newer = re.compile("[" + "".join(map(re.escape, newer_letters())) + "\U0010ffff]")
         self.added_pattern = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if self.added else None
 
-    def pre_tokens(self, text: str) -> list[str]:
-        if self.normalizer is not None:
-            text = self.normalizer.normalize_str(text)
-        return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(text)]
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of `text`, strings of added tokens among them."""
+        if self.added_pattern is not None and "<" in text and self.added_pattern.search(text):
+            return [w for part in self.added_pattern.split(text) for w in ([part] if part in self.added else self._words(part))]
+        return self._words(text)
+
+    def _words(self, text: str) -> list[str]:
+        if not text.isascii() and self.newer.search(text):
+            library = self.library
+            return [self.text_of(w) for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        # The library lowers each character on its own, so a capital sigma has one small form.
+        return _WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def text_of(self, symbols: str) -> str:
+        return bytes(self.byte_of[c] for c in symbols).decode()
 
     def start(self, word: str) -> list[int]:
-        symbols = list(word)
-        if self.suffix:
-            symbols[-1] += self.suffix
-        return [self.ids[c] for c in symbols]
+        """The symbols a word has before any merge: its bytes."""
+        encoded = word.encode()
+        inner = self.inner
+        out = [inner[b] for b in encoded]
+        out[-1] = self.final[encoded[-1]]
+        return out
+
+
+@cache
+def newer_letters() -> list[str]:
+    """Letters and digits that `regex` knows and Python's own Unicode tables don't."""
+    every = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    return regex.findall(r"[\p{L}\p{N}\p{M}]", every)
+
+
+def byte_symbols() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: itself if printable, else the next from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 def merge_all(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
@@ -129,55 +171,56 @@ def merge_all(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
 
 
 class Encoder:
-    """Encodes texts to ids (little-endian, four bytes each) and to their decoded string.
+    """Encodes texts to ids (little-endian, four bytes each) and to their decoded string, each distinct word once.
 
-    Remembers white-space-delimited strings that it has met, `REMEMBERED` at most.
+    Of the words met, it remembers up to about twice `REMEMBERED`: those of the present turn and the turn before.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.now: dict[str, tuple[bytes, str]] = {}
+        self.past: dict[str, tuple[bytes, str]] = {}
 
-    def _pieces(self, text: str) -> list[str]:
-        """Strings whose encodings, one after the other, are that of `text`."""
+    def _learn(self, words: list[str]) -> None:
         v = self.vocabulary
-        if v.added_pattern is not None and "<" in text and v.added_pattern.search(text):
-            return [x for part in v.added_pattern.split(text) for x in ([part] if part in v.added else self._plain(part))]
-        return self._plain(text)
-
-    @staticmethod
-    def _plain(text: str) -> list[str]:
-        return text.split() if not _SEPARATORS.search(text) else re.split(r"[^\S\x1c-\x1f]+", text)
-
-    def _learn(self, pieces: set[str]) -> None:
-        v, words, cut = self.vocabulary, {}, {}
-        for piece in pieces:
-            if piece in v.added:
-                self.known[piece] = struct.pack("<I", v.added[piece]), piece
-            else:
-                cut[piece] = v.pre_tokens(piece)
-                for w in cut[piece]:
-                    words.setdefault(w, len(words))
-        ids = merge_all(list(words), v)
-        packed = [(struct.pack(f"<{len(x)}I", *x), " ".join(v.tokens[i] for i in x)) for x in ids]
-        for piece, own in cut.items():
-            parts = [packed[words[w]] for w in own]
-            self.known[piece] = b"".join(p for p, _ in parts), " ".join(d for _, d in parts)
+        ordinary = [w for w in words if w not in v.added]
+        for w, ids in zip(ordinary, merge_all(ordinary, v), strict=True):
+            self.now[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join([v.tokens[i] for i in ids])
+        for w in words:
+            if w in v.added:
+                self.now[w] = struct.pack("<I", v.added[w]), w
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [self._pieces(t or "") for t in texts]
-        unknown = {p for pieces in cut for p in set(pieces) if p not in self.known}
+        if len(self.now) > REMEMBERED:
+            self.past, self.now = self.now, {}
+        now, past, unknown = self.now, self.past, []
+        cut = [self.vocabulary.words(t) if t else [] for t in texts]
+        for w in set().union(*cut):
+            if w not in now:
+                found = past.get(w)
+                if found is None:
+                    unknown.append(w)
+                else:
+                    now[w] = found
         if unknown:
             self._learn(unknown)
         out = []
-        for pieces in cut:
-            found = [self.known[p] for p in pieces]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])))
+        for words in cut:
+            found = [now[w] for w in words]
+            out.append((b"".join([x for x, _ in found]), " ".join([x for _, x in found])))
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, which its tasks share."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(Vocabulary(path))
+    return _encoders[path]
+
+
 def slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts with `limit` characters together, or with one text that has more."""
     begin = held = 0
@@ -196,7 +239,7 @@ def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, SLICE_CHARS):
