@@ -78,17 +78,17 @@ class Vocabulary:
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         #: Letters and digits so new that the library may not know them; it cuts texts with these itself.
         self.library = Tokenizer.from_file(path)
-        self.newer = re.compile("[" + "".join(map(re.escape, newer_letters())) + "\U0010ffff]")
+        self.newer = newer_letters()
         self.added_pattern = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if self.added else None
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str, by_library: bool = False) -> list[str]:
         """The pre-tokens of `text`, strings of added tokens among them."""
         if self.added_pattern is not None and "<" in text and self.added_pattern.search(text):
-            return [w for part in self.added_pattern.split(text) for w in ([part] if part in self.added else self._words(part))]
-        return self._words(text)
+            return [w for part in self.added_pattern.split(text) for w in ([part] if part in self.added else self._words(part, by_library))]
+        return self._words(text, by_library)
 
-    def _words(self, text: str) -> list[str]:
-        if not text.isascii() and self.newer.search(text):
+    def _words(self, text: str, by_library: bool) -> list[str]:
+        if by_library:
             library = self.library
             return [self.text_of(w) for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
         # The library lowers each character on its own, so a capital sigma has one small form.
@@ -107,10 +107,10 @@ class Vocabulary:
 
 
 @cache
-def newer_letters() -> list[str]:
+def newer_letters() -> frozenset[str]:
     """Letters and digits that `regex` knows and Python's own Unicode tables don't."""
     every = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
-    return regex.findall(r"[\p{L}\p{N}\p{M}]", every)
+    return frozenset(regex.findall(r"[\p{L}\p{N}\p{M}]", every))
 
 
 def byte_symbols() -> list[str]:
@@ -195,7 +195,12 @@ class Encoder:
             self.past, self.now = self.now, {}
         now, past, unknown = self.now, self.past, []
         cut = [self.vocabulary.words(t) if t else [] for t in texts]
-        for w in set().union(*cut):
+        distinct = set().union(*cut)
+        newer = self.vocabulary.newer
+        if any(w not in now and w not in past and not w.isascii() and not newer.isdisjoint(w) for w in distinct):
+            cut = [self.vocabulary.words(t, not newer.isdisjoint(t)) if t else [] for t in texts]
+            distinct = set().union(*cut)
+        for w in distinct:
             if w not in now:
                 found = past.get(w)
                 if found is None:
