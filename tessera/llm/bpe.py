@@ -20,8 +20,9 @@ import struct
 import sys
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from typing import Generic, TypeVar
 
 import public_tokenizers
 import pyarrow as pa
@@ -32,8 +33,10 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import quoted, table
 
-#: Distinct words that a worker remembers since its memory last turned; the words of the turn before are kept beside.
-REMEMBERED = 200_000
+#: Distinct strings that a worker remembers since its memory last turned; those of the turn before are kept beside.
+REMEMBERED = 150_000
+#: Strings of more characters are not remembered.
+LONG = 100
 #: Characters of text that are encoded and handed on together, unless one text alone has more.
 SLICE_CHARS = 2_000_000
 #: White space as Unicode defines it.
@@ -41,9 +44,15 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The normalizer and pre-tokenizer that this module has code for, as a vocabulary file states them.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_RUN = re.compile(f"[{_SPACE}]+")
+#: str.split() takes these for white space; Unicode does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = regex.compile(_PATTERN.replace(r"\s", _SPACE))
 
 
+V = TypeVar("V")
+
+
 class Vocabulary:
     """Symbols, merges and added tokens of a BPE file of the tokenizers library."""
 
@@ -170,49 +179,80 @@ def merge_all(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
     return out
 
 
+class Memory(Generic[V]):
+    """What was found for strings, of this turn and the turn before; a turn ends when it has `limit` strings."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict[str, V] = {}
+        self.past: dict[str, V] = {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.limit:
+            self.past, self.now = self.now, {}
+
+    def missing(self, strings: Iterable[str]) -> list[str]:
+        """Those of the distinct `strings` that are not known; the others are of this turn from now on."""
+        now, past, out = self.now, self.past, []
+        for x in strings:
+            if x not in now:
+                found = past.get(x)
+                if found is None:
+                    out.append(x)
+                else:
+                    now[x] = found
+        return out
+
+
 class Encoder:
-    """Encodes texts to ids (little-endian, four bytes each) and to their decoded string, each distinct word once.
+    """Encodes texts to ids (little-endian, four bytes each) and to their decoded string.
 
-    Of the words met, it remembers up to about twice `REMEMBERED`: those of the present turn and the turn before.
+    A text is cut at white space, and each distinct piece is looked up; pieces not met yet are cut into pre-tokens,
+    and those not met yet are merged. No pre-token holds white space, so pieces are independent.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.now: dict[str, tuple[bytes, str]] = {}
-        self.past: dict[str, tuple[bytes, str]] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        v = self.vocabulary
-        ordinary = [w for w in words if w not in v.added]
+        self.words: Memory[tuple[bytes, str]] = Memory(REMEMBERED)
+        self.pieces: Memory[tuple[bytes, str]] = Memory(REMEMBERED)
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of `text` at white space, which Python's separators U+001C to U+001F are not to Unicode."""
+        return text.split() if not _SEPARATORS.search(text) else _RUN.split(text)
+
+    def _learn(self, pieces: list[str]) -> None:
+        v, words = self.vocabulary, self.words
+        newer = v.newer
+        cut = {p: v.words(p, not p.isascii() and not newer.isdisjoint(p)) for p in pieces}
+        words.turn()
+        unknown = words.missing(set().union(*cut.values()))
+        ordinary = [w for w in unknown if w not in v.added]
         for w, ids in zip(ordinary, merge_all(ordinary, v), strict=True):
-            self.now[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join([v.tokens[i] for i in ids])
-        for w in words:
+            words.now[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join([v.tokens[i] for i in ids])
+        for w in unknown:
             if w in v.added:
-                self.now[w] = struct.pack("<I", v.added[w]), w
+                words.now[w] = struct.pack("<I", v.added[w]), w
+        known = words.now
+        for p, own in cut.items():
+            if len(own) == 1:
+                self.pieces.now[p] = known[own[0]]
+            else:
+                found = [known[w] for w in own]
+                self.pieces.now[p] = b"".join([x for x, _ in found]), " ".join([x for _, x in found])
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        if len(self.now) > REMEMBERED:
-            self.past, self.now = self.now, {}
-        now, past, unknown = self.now, self.past, []
-        cut = [self.vocabulary.words(t) if t else [] for t in texts]
-        distinct = set().union(*cut)
-        newer = self.vocabulary.newer
-        if any(w not in now and w not in past and not w.isascii() and not newer.isdisjoint(w) for w in distinct):
-            cut = [self.vocabulary.words(t, not newer.isdisjoint(t)) if t else [] for t in texts]
-            distinct = set().union(*cut)
-        for w in distinct:
-            if w not in now:
-                found = past.get(w)
-                if found is None:
-                    unknown.append(w)
-                else:
-                    now[w] = found
+        self.pieces.turn()
+        cut = [self._cut(t) if t else [] for t in texts]
+        unknown = self.pieces.missing(set().union(*cut))
         if unknown:
             self._learn(unknown)
-        out = []
-        for words in cut:
-            found = [now[w] for w in words]
-            out.append((b"".join([x for x, _ in found]), " ".join([x for _, x in found])))
+        known, out = self.pieces.now, []
+        for own in cut:
+            found = [known[p] for p in own]
+            out.append((b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])))
+        for p in unknown:
+            if len(p) > LONG:
+                del known[p]
         return out
 
 

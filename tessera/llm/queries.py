@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op6_pair_index_bpe
+from tessera.llm.html_text import op4_composite_density
 from tessera.llm.quality import op1_quality_rules
 from tessera.llm.sharding import op2_slot_sharding
 from tessera.llm.simhash import op9_simhash_vptree
+from tessera.llm.token_counts import op5_viterbi_counts
 from tessera.llm.token_files import op10_token_files
+from tessera.llm.urls import op3_url_bayes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_slot_sharding": op2_slot_sharding,
+    "op3_url_bayes": op3_url_bayes,
+    "op4_composite_density": op4_composite_density,
+    "op5_viterbi_counts": op5_viterbi_counts,
     "op6_pair_index_bpe": op6_pair_index_bpe,
     "op9_simhash_vptree": op9_simhash_vptree,
     "op10_token_files": op10_token_files,

@@ -24,6 +24,8 @@ and read back, and can't be looked up. An empty table gives no files and an empt
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import uuid
@@ -35,20 +37,19 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import slices
+from tessera.llm.bpe import LONG, REMEMBERED, Memory, newer_letters, slices
 from tessera.llm.common import quoted, settled, table, work_dir
 
 MAGIC = b"TIDS"
 _HEADER = struct.Struct("<4sHHQQQQ")
 #: Characters of text to a shard, about.
 SHARD_BYTES = 32_000_000
-#: Distinct strings that a worker remembers; beyond them it starts afresh.
-REMEMBERED = 150_000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: Bits per key in each level of the hash.
 GAMMA = 2
 _MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
@@ -221,41 +222,77 @@ class Shard:
 
 
 class ByteEncoder:
-    """Encodes with the tokenizers library, once for each distinct string between spaces.
+    """Encodes with the tokenizers library, once for each distinct pre-token.
 
-    A space that stands before a character other than white space begins a pre-token of a byte-level vocabulary, so
-    a text can be cut there. Remembers `REMEMBERED` strings at most.
+    A text is cut before spaces that stand between characters other than white space, where a byte-level vocabulary
+    always begins a pre-token, and each distinct piece is looked up. Pieces not met yet are cut into pre-tokens, and
+    the library encodes those not met yet. Pieces with strings of added tokens, or with letters so new that the
+    library may not know them, go to the library whole.
     """
 
-    #: What any library may take for white space; a text is cut at spaces that have none of it on either side.
+    #: What any library may take for white space.
     _BLANK = r" \t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
     _IRREGULAR = re.compile(f"[{_BLANK}] | [{_BLANK}]")
     _CUT = re.compile(f"(?<=[^{_BLANK}])(?= [^{_BLANK}])")
+    _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    _ODD = re.compile(r"[\x1c-\x1f\u180e\u200b\ufeff]")
 
     def __init__(self, path: str, id_bytes: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.code = f"<u{id_bytes}"
-        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.newer = newer_letters()
+        with open(path, encoding="utf-8") as f:
+            step = json.load(f)["pre_tokenizer"]
+        self.own_cut = step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
+        self.words: Memory[bytes] = Memory(REMEMBERED)
+        self.pieces: Memory[bytes] = Memory(REMEMBERED)
+
+    def _pieces(self, text: str) -> list[str]:
+        if not self.own_cut:
+            return [text]
+        if text[0] == " " or text[-1] == " " or self._IRREGULAR.search(text):
+            return self._CUT.split(text)
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self._CUT.split(text)
+
+    def _words(self, piece: str) -> list[str]:
+        whole = not self.own_cut or any(x in piece for x in self.added) or self._ODD.search(piece) or not piece.isascii() and not self.newer.isdisjoint(piece)
+        return [piece] if whole else self._PRE_TOKENS.findall(piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut = self.known, []
-        for t in texts:
-            t = t or ""
-            if t.startswith(" ") or t.endswith(" ") or self._IRREGULAR.search(t):
-                cut.append(self._CUT.split(t) if t else [])
-            elif t:
-                first, *rest = t.split(" ")
-                cut.append([first, *[" " + x for x in rest]])
-            else:
-                cut.append([])
-        unknown = list({p for pieces in cut for p in pieces if p not in known})
-        for p, e in zip(unknown, self.library.encode_batch(unknown, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, self.code).tobytes()
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        words, pieces = self.words, self.pieces
+        pieces.turn()
+        cut = [self._pieces(t) if t else [] for t in texts]
+        unknown = pieces.missing(set().union(*cut))
+        own = {p: self._words(p) for p in unknown}
+        words.turn()
+        new = words.missing(set().union(*own.values()))
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                words.now[w] = np.array(e.ids, self.code).tobytes()
+        for p, ws in own.items():
+            pieces.now[p] = words.now[ws[0]] if len(ws) == 1 else b"".join([words.now[w] for w in ws])
+        known = pieces.now
+        out = [b"".join([known[p] for p in own]) for own in cut]
+        for memory, met in ((pieces, unknown), (words, new)):
+            for x in met:
+                if len(x) > LONG:
+                    del memory.now[x]
+        return out
+
+
+_encoders: dict[tuple[str, int], ByteEncoder] = {}
+
+
+def encoder_of(path: str, id_bytes: int) -> ByteEncoder:
+    """The encoder of this worker process, which its tasks share."""
+    if (path, id_bytes) not in _encoders:
+        _encoders[path, id_bytes] = ByteEncoder(path, id_bytes)
+    return _encoders[path, id_bytes]
 
 
 def written(df: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -270,7 +307,7 @@ def written(df: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_
         end = np.array([end_id], f"<u{id_bytes}").tobytes()
         for batch in batches:
             if writer is None:
-                encoder, writer = ByteEncoder(path, id_bytes), ShardWriter(folder, id_bytes)
+                encoder, writer = encoder_of(path, id_bytes), ShardWriter(folder, id_bytes)
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, SLICE_CHARS):
                 for k, ids in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
