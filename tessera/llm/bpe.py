@@ -131,6 +131,8 @@ def byte_symbols() -> list[str]:
 
 def merge_all(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
     """The ids of each of the non-empty `words`, by a pair occurrence index over all of them."""
+    if not words:
+        return []
     merges, rules = vocabulary.merges, vocabulary.rules
     symbol: list[int] = []
     before: list[int] = []

@@ -42,14 +42,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import LONG, REMEMBERED, Memory, newer_letters, slices
+from tessera.llm.bpe import LONG, byte_symbols, newer_letters, slices
 from tessera.llm.common import quoted, settled, table, work_dir
 
 MAGIC = b"TIDS"
 _HEADER = struct.Struct("<4sHHQQQQ")
 #: Characters of text to a shard, about.
 SHARD_BYTES = 32_000_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
+#: Distinct pre-tokens that a worker remembers since its memory last turned; those of the turn before are kept beside.
+REMEMBERED = 100_000
+_BYTE_SYMBOLS = dict(enumerate(byte_symbols()))
 #: Bits per key in each level of the hash.
 GAMMA = 2
 _MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
@@ -221,19 +224,30 @@ class Shard:
 # --- encoding -----------------------------------------------------------------------------------------------------
 
 
+class _Known(dict):
+    """Ids of pre-tokens; what is missing is taken from the turn before or encoded by the library's model."""
+
+    def __init__(self, model, code: str, past: dict[str, bytes]):
+        self.model, self.code, self.past = model, code, past
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.past.get(word)
+        if found is None:
+            written = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_SYMBOLS)
+            ids = [t.id for t in self.model.tokenize(written)]
+            found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        if len(word) <= LONG:
+            self[word] = found
+        return found
+
+
 class ByteEncoder:
-    """Encodes with the tokenizers library, once for each distinct pre-token.
+    """Encodes with the tokenizers library, whose model is asked once for each distinct pre-token.
 
-    A text is cut before spaces that stand between characters other than white space, where a byte-level vocabulary
-    always begins a pre-token, and each distinct piece is looked up. Pieces not met yet are cut into pre-tokens, and
-    the library encodes those not met yet. Pieces with strings of added tokens, or with letters so new that the
-    library may not know them, go to the library whole.
+    Texts that hold an added token, or characters that the library's Unicode tables may class in another way than
+    Python's, go to the library whole. Remembers the pre-tokens of the present turn and the turn before.
     """
 
-    #: What any library may take for white space.
-    _BLANK = r" \t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
-    _IRREGULAR = re.compile(f"[{_BLANK}] | [{_BLANK}]")
-    _CUT = re.compile(f"(?<=[^{_BLANK}])(?= [^{_BLANK}])")
     _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     _ODD = re.compile(r"[\x1c-\x1f\u180e\u200b\ufeff]")
 
@@ -242,47 +256,28 @@ class ByteEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.code = f"<u{id_bytes}"
+        self.code = {2: "H", 4: "I"}[id_bytes]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.newer = newer_letters()
         with open(path, encoding="utf-8") as f:
-            step = json.load(f)["pre_tokenizer"]
-        self.own_cut = step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
-        self.words: Memory[bytes] = Memory(REMEMBERED)
-        self.pieces: Memory[bytes] = Memory(REMEMBERED)
-
-    def _pieces(self, text: str) -> list[str]:
-        if not self.own_cut:
-            return [text]
-        if text[0] == " " or text[-1] == " " or self._IRREGULAR.search(text):
-            return self._CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self._CUT.split(text)
-
-    def _words(self, piece: str) -> list[str]:
-        whole = not self.own_cut or any(x in piece for x in self.added) or self._ODD.search(piece) or not piece.isascii() and not self.newer.isdisjoint(piece)
-        return [piece] if whole else self._PRE_TOKENS.findall(piece)
+            spec = json.load(f)
+        step = spec["pre_tokenizer"]
+        self.own_cut = spec["normalizer"] is None and step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
+        self.known = _Known(self.library.model, self.code, {})
+
+    def _whole(self, text: str) -> bool:
+        return not self.own_cut or any(x in text for x in self.added) or bool(self._ODD.search(text)) or not text.isascii() and not self.newer.isdisjoint(text)
+
+    def _encode(self, text: str) -> bytes:
+        if self._whole(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return b"".join(map(self.known.__getitem__, self._PRE_TOKENS.findall(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words, pieces = self.words, self.pieces
-        pieces.turn()
-        cut = [self._pieces(t) if t else [] for t in texts]
-        unknown = pieces.missing(set().union(*cut))
-        own = {p: self._words(p) for p in unknown}
-        words.turn()
-        new = words.missing(set().union(*own.values()))
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                words.now[w] = np.array(e.ids, self.code).tobytes()
-        for p, ws in own.items():
-            pieces.now[p] = words.now[ws[0]] if len(ws) == 1 else b"".join([words.now[w] for w in ws])
-        known = pieces.now
-        out = [b"".join([known[p] for p in own]) for own in cut]
-        for memory, met in ((pieces, unknown), (words, new)):
-            for x in met:
-                if len(x) > LONG:
-                    del memory.now[x]
-        return out
+        if len(self.known) > REMEMBERED:
+            self.known = _Known(self.library.model, self.code, dict(self.known))
+        return [self._encode(t) if t else b"" for t in texts]
 
 
 _encoders: dict[tuple[str, int], ByteEncoder] = {}
