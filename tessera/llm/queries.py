@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op6_pair_index_bpe
+from tessera.llm.decontam import op7_qgram_decontamination
 from tessera.llm.html_text import op4_composite_density
+from tessera.llm.pii import op8_feistel_pii
 from tessera.llm.quality import op1_quality_rules
 from tessera.llm.sharding import op2_slot_sharding
 from tessera.llm.simhash import op9_simhash_vptree
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_composite_density": op4_composite_density,
     "op5_viterbi_counts": op5_viterbi_counts,
     "op6_pair_index_bpe": op6_pair_index_bpe,
+    "op7_qgram_decontamination": op7_qgram_decontamination,
+    "op8_feistel_pii": op8_feistel_pii,
     "op9_simhash_vptree": op9_simhash_vptree,
     "op10_token_files": op10_token_files,
 }
