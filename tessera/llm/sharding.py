@@ -47,8 +47,9 @@ class SlotMap:
     def rebalanced(self, slot_bytes: list[int], n_shards: int | None = None, tolerance: float = 0.001) -> SlotMap:
         """The next version, for `n_shards` shards (as many as before, or more).
 
-        Moves one slot at a time from the fullest shard to the emptiest, the one nearest to half their difference,
-        until they differ by at most `tolerance` of the mean. A shard that no move can relieve is left as it is.
+        Moves one slot at a time from the fullest shard to the emptiest that can take one, the one nearest to half
+        their difference, or exchanges two where no move helps, until fullest and emptiest differ by at most
+        `tolerance` of the mean. A shard that nothing can relieve is left as it is.
         """
         n = n_shards or self.n_shards
         if n < self.n_shards:
@@ -64,27 +65,48 @@ class SlotMap:
         movable = set(range(n))
         while movable:
             fullest = max(movable, key=lambda s: (loads[s], -s))
-            emptiest = min(range(n), key=lambda s: (loads[s], s))
-            gap = loads[fullest] - loads[emptiest]
-            if gap <= allowed:
+            gap_to_least = loads[fullest] - min(loads)
+            if gap_to_least <= allowed:
                 break
-            at = bisect.bisect_left(held[fullest], (gap / 2, -1))
-            near = [x for x in held[fullest][max(0, at - 1) : at + 1] if 0 < x[0] < gap]
-            if not near:
+            for other in sorted(range(n), key=lambda s: (loads[s], s)):
+                gap = loads[fullest] - loads[other]
+                step = _best_exchange(held[fullest], held[other], gap) if gap > allowed else None
+                if step:
+                    break
+            else:
                 movable.discard(fullest)
                 continue
-            moved = min(near, key=lambda x: (abs(x[0] - gap / 2), x[1]))
-            held[fullest].remove(moved)
-            bisect.insort(held[emptiest], moved)
-            loads[fullest] -= moved[0]
-            loads[emptiest] += moved[0]
-            shard_of[moved[1]] = emptiest
+            given, taken = step
+            for slot, source, target in ((given, fullest, other), (taken, other, fullest)):
+                if slot:
+                    held[source].remove(slot)
+                    bisect.insort(held[target], slot)
+                    loads[source] -= slot[0]
+                    loads[target] += slot[0]
+                    shard_of[slot[1]] = target
         return SlotMap(self.version + 1, n, tuple(shard_of))
 
     def shard(self, slot: Column) -> Column:
         return F.get(constants(self.shard_of, "int"), slot)
 
 
+def _best_exchange(full: list[tuple[int, int]], other: list[tuple[int, int]], gap: int) -> tuple[tuple[int, int], tuple[int, int] | None] | None:
+    """A slot of `full` for nothing or, if that is no use, for a slot of `other`: what moves nearest to half of `gap`.
+
+    None if nothing narrows the gap. Both lists are sorted.
+    """
+    at = bisect.bisect_left(full, (gap / 2, -1))
+    moves = [(abs(x[0] - gap / 2), x[1], x, None) for x in full[max(0, at - 1) : at + 1] if 0 < x[0] < gap]
+    if not moves:
+        for x in other:
+            at = bisect.bisect_left(full, (x[0] + gap / 2, -1))
+            moves += [(abs(y[0] - x[0] - gap / 2), y[1], y, x) for y in full[max(0, at - 1) : at + 1] if 0 < y[0] - x[0] < gap]
+    if not moves:
+        return None
+    best = min(moves, key=lambda m: m[:2])
+    return best[2], best[3]
+
+
 def constants(values: tuple[int, ...] | list[int], kind: str) -> Column:
     """One array constant; a value per slot."""
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
