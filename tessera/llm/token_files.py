@@ -28,16 +28,19 @@ import json
 import os
 import re
 import struct
+import sys
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,6 +56,7 @@ SLICE_CHARS = 1_000_000
 #: Distinct pre-tokens that a worker remembers since its memory last turned; those of the turn before are kept beside.
 REMEMBERED = 100_000
 _BYTE_SYMBOLS = dict(enumerate(byte_symbols()))
+_SPACE_SYMBOL = _BYTE_SYMBOLS[32]
 #: Bits per key in each level of the hash.
 GAMMA = 2
 _MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
@@ -224,18 +228,37 @@ class Shard:
 # --- encoding -----------------------------------------------------------------------------------------------------
 
 
+@cache
+def _unsure_characters() -> frozenset[str]:
+    """Characters that `re` may class in another way than the library: separators, old kinds of spaces, numbers that are no decimal digits, and letters that are newer than its tables."""
+    numbers = {c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")}
+    return newer_letters() | numbers | set("\x1c\x1d\x1e\x1f\u180e\u200b\ufeff")
+
+
+class _Unsure(Exception):
+    """A pre-token holds a character by which the library may cut in another way."""
+
+
 class _Known(dict):
     """Ids of pre-tokens; what is missing is taken from the turn before or encoded by the library's model."""
 
     def __init__(self, model, code: str, past: dict[str, bytes]):
-        self.model, self.code, self.past = model, code, past
+        self.tokenize, self.past = model.tokenize, past
+        self.packers = [struct.Struct(f"<{n}{code}").pack for n in range(LONG + 1)]
+        self.code, self.unsure = code, _unsure_characters()
 
     def __missing__(self, word: str) -> bytes:
         found = self.past.get(word)
         if found is None:
-            written = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_SYMBOLS)
-            ids = [t.id for t in self.model.tokenize(written)]
-            found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            # Printable ASCII but the space is written as itself.
+            if word.isascii() and word.isprintable():
+                written = word.replace(" ", _SPACE_SYMBOL)
+            elif not self.unsure.isdisjoint(word):
+                raise _Unsure
+            else:
+                written = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_SYMBOLS)
+            ids = [t.id for t in self.tokenize(written)]
+            found = self.packers[len(ids)](*ids) if len(ids) <= LONG else struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(word) <= LONG:
             self[word] = found
         return found
@@ -244,13 +267,12 @@ class _Known(dict):
 class ByteEncoder:
     """Encodes with the tokenizers library, whose model is asked once for each distinct pre-token.
 
-    Texts that hold an added token, or characters that the library's Unicode tables may class in another way than
-    Python's, go to the library whole. Remembers the pre-tokens of the present turn and the turn before.
+    Texts that hold an added token, or a character that the library may class in another way, go to the library whole;
+    such characters are looked for only in pre-tokens not met before, and a pre-token with one is never remembered. Remembers the pre-tokens of the present turn and the turn before.
     """
 
-    _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    _ODD = re.compile(r"[\x1c-\x1f\u180e\u200b\ufeff]")
-
+    #: The pre-tokens of byte-level vocabularies as `re` can state them, letters first as they are the most frequent.
+    _PRE_TOKENS = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     def __init__(self, path: str, id_bytes: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
@@ -258,21 +280,18 @@ class ByteEncoder:
         self.library.no_padding()
         self.code = {2: "H", 4: "I"}[id_bytes]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.newer = newer_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         step = spec["pre_tokenizer"]
         self.own_cut = spec["normalizer"] is None and step["type"] == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
         self.known = _Known(self.library.model, self.code, {})
 
-    def _whole(self, text: str) -> bool:
-        return not self.own_cut or any(x in text for x in self.added) or bool(self._ODD.search(text)) or not text.isascii() and not self.newer.isdisjoint(text)
-
     def _encode(self, text: str) -> bytes:
-        if self._whole(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}{self.code}", *ids)
-        return b"".join(map(self.known.__getitem__, self._PRE_TOKENS.findall(text)))
+        if self.own_cut and not any(x in text for x in self.added):
+            with suppress(_Unsure):
+                return b"".join(map(self.known.__getitem__, self._PRE_TOKENS.findall(text)))
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
