@@ -16,6 +16,7 @@ from tessera.functions.ids import access_right_id, access_right_name, data_compo
 from tessera.graph import Graph
 from tessera.schema import PROVENANCE
 from tessera.sources import bsl, query_language, references, xml
+from tessera.storage import settled
 
 # Folders of object families, children that descriptors list, and module files.
 FAMILIES = {
@@ -168,10 +169,13 @@ def build(elements: DataFrame, texts: DataFrame) -> Project:
     _reports(elements, objects, nodes, edges)
     _services(elements, objects, symbols, nodes, edges, problems)
 
-    graph, refused = Graph.inserted(_stacked(nodes).withColumn("ingest_seq", F.xxhash64("id", "name")), _stacked(edges).withColumn("ingest_seq", F.xxhash64("source", "target")))
+    # Every operator reads the graph many times: the readers run once, and what they found is kept.
+    found_nodes, found_edges = settled(_stacked(nodes)), settled(_stacked(edges))
+    graph, refused = Graph.inserted(found_nodes.withColumn("ingest_seq", F.xxhash64("id", "name")), found_edges.withColumn("ingest_seq", F.xxhash64("source", "target")))
+    graph = Graph(settled(graph.nodes), settled(graph.edges))
     problems.append(refused.select(col("source").alias("source_node"), lit("edge").alias("kind"), col("target").alias("reference"), lit("missing_node").alias("code")))
     broken = elements.filter("error is not null").select(col("path").alias("source_node"), lit("xml").alias("kind"), col("error").alias("reference"), lit("malformed_xml").alias("code"))
-    return Project(graph, _stacked([*problems, broken]), modules)
+    return Project(graph, settled(_stacked([*problems, broken])), modules)
 
 
 def _stacked(frames: list[DataFrame]) -> DataFrame:

@@ -15,7 +15,7 @@ ELEMENTS = "path string, node int, parent int, depth int, tag string, text strin
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """`path` (below `root`), `content`: all files under a folder whose names match."""
+    """`path` (below `root`), `content`: all files under a folder whose names match; Spark passes over empty ones."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     marker = root.rstrip("/").rpartition("/")[2] + "/"
     return found.select(F.regexp_replace(F.substring_index(F.col("path"), marker, -1), "^/", "").alias("path"), "content")
