@@ -12,10 +12,11 @@ _PROVENANCE_KEY = ("source", "producer", "origin", "confidence", "resolution")
 
 
 def normal_provenance(column: str = "provenance") -> Column:
-    """The keys of the records, sorted and taken once; where a fact stands in its source is not part of them."""
+    """The keys of the records, sorted and taken once; where a fact stands in its source is not part of them. Null for none."""
     orders = {"origin": ORIGINS, "confidence": CONFIDENCES, "resolution": RESOLUTIONS}
     key = lambda p: F.struct(*(F.coalesce(ordinal(p[f], orders[f]), F.lit(-1)).alias(f) if f in orders else p[f].alias(f) for f in _PROVENANCE_KEY))
-    return F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(column), F.array().cast("array<struct<source:string,producer:string,origin:string,confidence:string,resolution:string>>")), key)))
+    records = F.col(column)
+    return F.when(F.size(records) > 0, F.array_sort(F.array_distinct(F.transform(records, key))))
 
 
 def _compared(previous: DataFrame, current: DataFrame, keys: list[str], aspects: dict[str, list[str]]) -> DataFrame:

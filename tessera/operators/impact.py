@@ -97,11 +97,32 @@ def reasons(previous: Graph, current: Graph, options: ImpactOptions | None = Non
     return out.distinct()
 
 
-def affected(previous: Graph, current: Graph, options: ImpactOptions | None = None, found: DataFrame | None = None) -> DataFrame:
-    """`node_id`, `code`, `depth` (least), `status` (removed, else directly_changed, else transitively_affected), `availability` and `n_reasons`."""
-    found = reasons(previous, current, options) if found is None else found
-    ranks = F.when(F.col("status") == "removed", 2).when(F.col("status") == "directly_changed", 1).otherwise(0)
-    merged = found.groupBy("node_id").agg(F.min("depth").cast("bigint").alias("depth"), F.max(ranks).alias("rank"), F.count("*").alias("n_reasons"))
+def affected(previous: Graph, current: Graph, options: ImpactOptions | None = None) -> DataFrame:
+    """`node_id`, `code`, `depth` (least), `status` (removed, else directly_changed, else transitively_affected), `availability` and `n_reasons`.
+
+    Counts the rows of `reasons` without making them: a node carries the number of seeds that it is gone on from
+    with, which is that of its own seeds at depth 0 and one after that.
+    """
+    options = options or ImpactOptions()
+    seeds = settled(_seeds(previous, current, options).distinct())
+    rank = F.when(F.col("status") == "removed", 2).otherwise(1)
+    arrivals = [seeds.groupBy("node_id").agg(F.max(rank).alias("rank"), F.count("*").alias("n")).withColumn("depth", F.lit(0))]
+    steps = _steps(previous, current, options).select("snapshot", F.col("at").alias("node_id"), "next")
+    queue = settled(seeds.filter("propagates").groupBy("node_id", "snapshot").agg(F.count("*").alias("weight")))
+    visited = queue.select("node_id", "snapshot")
+    for depth in range(1, options.max_depth + 1):
+        taken = settled(queue.join(steps, ["snapshot", "node_id"]).groupBy("snapshot", F.col("next").alias("node_id")).agg(F.sum("weight").alias("n")))
+        arrivals.append(taken.groupBy("node_id").agg(F.lit(0).alias("rank"), F.sum("n").alias("n")).withColumn("depth", F.lit(depth)))
+        if depth == options.max_depth:
+            break
+        queue = settled(taken.join(visited, ["node_id", "snapshot"], "left_anti").select("node_id", "snapshot", F.lit(1).cast("bigint").alias("weight")))
+        if queue.isEmpty():
+            break
+        visited = visited.unionByName(queue.select("node_id", "snapshot"))
+    found = arrivals[0]
+    for x in arrivals[1:]:
+        found = found.unionByName(x)
+    merged = found.groupBy("node_id").agg(F.min("depth").cast("bigint").alias("depth"), F.max("rank").alias("rank"), F.sum("n").alias("n_reasons"))
     side = lambda g, name: g.nodes.select(F.col("id").alias("node_id"), code().alias(name))
     out = merged.join(side(previous, "_p"), "node_id", "left").join(side(current, "_c"), "node_id", "left")
     availability = F.when(F.col("_p").isNotNull() & F.col("_c").isNotNull(), "both").when(F.col("_c").isNotNull(), "current_only").otherwise("previous_only")
