@@ -68,14 +68,23 @@ _PAIR = _graph_sql("0", 0) + ",\n" + _graph_sql("1", 1, changed=True)
 _SIX = "('" + "', '".join(DEPENDENCY_KINDS) + "')"
 
 
+#: Operators that read the graph many times; the others pass over it once and need nothing kept.
+_MANY_PASSES = ("traverse", "subsystem_members", "context", "validation", "graph_report", "diff_", "index_changes", "impact")
+
+
+def _kept(name: str, g: Graph) -> Graph:
+    """The graph as a stored snapshot would have it: made from the tables once, on memory and disk, with its lineage."""
+    return Graph(g.nodes.persist(), g.edges.persist()) if name.startswith(_MANY_PASSES) else g
+
+
 def _register(name: str, run: Callable[[Graph], DataFrame], sql: str | None = None, head: str = _GRAPH) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(graph_of(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: run(_kept(name, graph_of(spark, sf_dir)))
     if sql:
         ORACLES[name] = f"with recursive {head}\n{sql}"
 
 
 def _register_pair(name: str, run: Callable[[Graph, Graph], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(graph_of(spark, sf_dir, "previous"), graph_of(spark, sf_dir, "current"))
+    QUERIES[name] = lambda spark, sf_dir: run(*(_kept(name, graph_of(spark, sf_dir, s)) for s in ("previous", "current")))
     if sql:
         ORACLES[name] = f"with recursive {_PAIR}\n{sql}"
 
