@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import access_right_id, access_right_name, data_composition_id, xdto_type_id
 from tessera.graph import Graph
 from tessera.schema import PROVENANCE
-from tessera.sources import bsl, query_language, references, xml
+from tessera.sources import bsl, query_language, references, statements, xml
 from tessera.storage import settled
 
 # Folders of object families, children that descriptors list, and module files.
@@ -98,7 +98,7 @@ def read_project(spark: SparkSession, root: str) -> Project:
     """The graph of the project in a folder, in the layout with one `.mdo` descriptor for each object."""
     found = xml.files(spark, root)
     is_xml = F.col("path").rlike(r"\.(mdo|rights|dcs|xdto)$")
-    elements = xml.elements(found.filter(is_xml)).persist()
+    elements = settled(xml.elements(found.filter(is_xml)))
     texts = found.filter(F.col("path").endswith(".bsl")).select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"))
     return build(elements, texts)
 
@@ -139,7 +139,8 @@ def build(elements: DataFrame, texts: DataFrame) -> Project:
     module_rows = _modules(texts, objects, children)
     nodes.append(_node(module_rows, col("module_id"), col("module_name"), "module"))
     edges.append(_edge(module_rows, col("owner_id"), col("module_id"), ["contains"]))
-    modules = module_rows.select("module_id", "module_name", "text", "path").persist()
+    module_rows = settled(module_rows)
+    modules = module_rows.select("module_id", "module_name", "text", "path")
     module_path = modules.select("module_id", "path")
     symbols = bsl.declarations(modules).join(module_path, "module_id")
     nodes.append(_node(symbols.filter("error is null"), col("symbol_id"), col("name"), col("kind"), origin="parsed"))
@@ -157,6 +158,8 @@ def build(elements: DataFrame, texts: DataFrame) -> Project:
     _resolved(sources, targets, ["reads", "depends_on"], "query_source", edges, problems, folded=True)
     problems.append(read.filter("code is not null").select(col("query_id").alias("source_node"), lit("query_language").alias("kind"), lit("").alias("reference"), "code"))
 
+    _effects(module_rows, objects, children, elements, targets, edges, problems)
+
     # Rights of roles, contents of subsystems, subscriptions.
     _rights(elements, objects, targets, nodes, edges)
     contents = elements.filter("tag = 'content' and depth = 1 and path like '%.mdo'").select("path", references.subsystem_token(col("text")).alias("r")).distinct().join(objects.filter("metadata_kind = 'subsystem'").select("path", F.concat("id", lit(":subsystem")).alias("source_id")), "path")
@@ -204,15 +207,67 @@ def _modules(texts: DataFrame, objects: DataFrame, children: DataFrame) -> DataF
     parts = F.split(folder, "/")
     below = F.element_at(parts, -2).isin("Forms", "Commands")
     rows = texts.select("path", "text", role.alias("role"), fixed.alias("fixed"), folder.alias("folder"), below.alias("below"), F.element_at(parts, -2).alias("group"), F.element_at(parts, -1).alias("child_name"), F.regexp_replace(folder, "/[^/]+/[^/]+$", "").alias("above")).filter("role is not null")
-    own = rows.filter("not below").join(objects.select("folder", F.col("id").alias("owner_id"), F.col("name").alias("owner_name")), "folder")
-    own = own.select("path", "text", "owner_id", F.concat_ws(":", "owner_id", "role").alias("module_id"), F.coalesce("fixed", "owner_name").alias("module_name"))
+    own = rows.filter("not below").join(objects.select("folder", F.col("id").alias("owner_id"), F.col("name").alias("owner_name"), F.col("metadata_kind").alias("owner_kind")), "folder")
+    own = own.select("path", "text", "owner_id", F.concat_ws(":", "owner_id", "role").alias("module_id"), F.coalesce("fixed", "owner_name").alias("module_name"), "role", "owner_kind")
     held = children.filter("child_kind in ('form', 'command')").join(objects.select("path", "folder"), "path").select(F.col("folder").alias("above"), F.col("name").alias("child_name"), "child_kind", F.col("id").alias("owner_id"))
     group = F.when(F.col("child_kind") == "form", "Forms").otherwise("Commands")
     nested = rows.filter("below").join(held.withColumn("group", group), ["above", "child_name", "group"])
-    nested = nested.select("path", "text", "owner_id", F.concat("owner_id", F.lit(":"), F.col("child_kind"), F.lit("_module")).alias("module_id"), F.when(F.col("child_kind") == "form", "FormModule").otherwise("CommandModule").alias("module_name"))
+    nested = nested.select("path", "text", "owner_id", F.concat("owner_id", F.lit(":"), F.col("child_kind"), F.lit("_module")).alias("module_id"), F.when(F.col("child_kind") == "form", "FormModule").otherwise("CommandModule").alias("module_name"), F.concat("child_kind", F.lit("_module")).alias("role"), F.col("child_kind").alias("owner_kind"))
     return own.unionByName(nested)
 
 
+def _effects(module_rows: DataFrame, objects: DataFrame, children: DataFrame, elements: DataFrame, targets: DataFrame, edges: list, problems: list) -> None:
+    """Registers that procedures write, as their document declares them, and forms that commands open."""
+    col = F.col
+    written = statements.register_writes(module_rows).join(module_rows.select("module_id", "owner_id", "path"), "module_id")
+    declared = elements.filter("tag = 'registerRecords' and depth = 1").select("path", references.register_record(col("text")).alias("r")).filter("r.outcome = 'supported'")
+    declared = declared.join(objects.select("path", col("id").alias("owner_id")), "path").select("owner_id", F.lower("r.name").alias("_name")).distinct()
+    registers = targets.filter("target_kind = 'accumulation_register'").groupBy(F.lower("target_name").alias("_name")).agg(F.count("*").alias("n"), F.min("target_id").alias("target_id"))
+    found = written.filter("reason is null").withColumn("_name", F.lower("register")).join(declared.withColumn("_declared", F.lit(True)), ["owner_id", "_name"], "left").join(registers, "_name", "left")
+    edges.append(_edge(found.filter("_declared and n = 1").select("path", "symbol_id", "target_id").distinct(), col("symbol_id"), col("target_id"), ["writes"], resolved=True))
+    code = F.when(col("_declared").isNull(), "undeclared_register").when(col("n").isNull(), "missing_target").otherwise("ambiguous_target")
+    problems.append(found.filter("_declared is null or n is null or n > 1").select(col("symbol_id").alias("source_node"), F.lit("register_write").alias("kind"), col("register").alias("reference"), code.alias("code")))
+    opened = statements.form_openings(module_rows).join(module_rows.select("module_id", "path"), "module_id")
+    common = objects.filter("metadata_kind = 'common_form'").select(col("metadata_kind").alias("_kind"), col("name").alias("_name"), col("id").alias("form_id"))
+    owners = objects.select("path", col("metadata_kind").alias("_kind"), col("name").alias("_owner"))
+    own = children.filter("child_kind = 'form'").select("path", col("name").alias("_form"), col("id").alias("form_id")).join(owners, "path").select("_kind", F.concat_ws(".", "_owner", "_form").alias("_name"), "form_id")
+    forms = common.unionByName(own)
+    found = opened.filter("reason is null").join(forms, (col("target.kind") == col("_kind")) & (col("target.name") == col("_name")), "left")
+    edges.append(_edge(found.filter("form_id is not null").select("path", "symbol_id", "form_id").distinct(), col("symbol_id"), col("form_id"), ["opens"], resolved=True))
+    problems.append(found.filter("form_id is null").select(col("symbol_id").alias("source_node"), F.lit("form_navigation").alias("kind"), F.concat_ws(".", "target.kind", "target.name").alias("reference"), F.lit("missing_target").alias("code")))
+    for what, rows in (("register_write", written), ("form_navigation", opened)):
+        problems.append(rows.filter("reason is not null").select(col("module_id").alias("source_node"), F.lit(what).alias("kind"), F.concat(F.lit("line "), col("line").cast("string")).alias("reference"), col("reason").alias("code")))
+
+
+def read_export(spark: SparkSession, root: str) -> Project:
+    """The graph of a hierarchical export: one XML file for each object and modules in its `Ext` folder.
+
+    Objects, modules and their declarations, each contained by its owner; nothing is resolved.
+    """
+    col = F.col
+    found = xml.files(spark, root)
+    elements = settled(xml.elements(found.filter(col("path").endswith(".xml") & ~col("path").contains("/Ext/"))))
+    family = F.element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), F.when(col("path").rlike("(^|/)Configuration\\.xml$"), "Configuration").otherwise(F.element_at(F.split("path", "/"), -2)))
+    heads = elements.filter("depth = 1 and uuid is not null").select("path", "node", col("uuid").alias("id"), family.alias("metadata_kind"))
+    properties = elements.filter("tag = 'Properties' and depth = 2").select("path", col("node").alias("_properties"), col("parent").alias("node"))
+    names = _child_text(elements, "Name", "name").withColumnRenamed("node", "_properties")
+    objects = heads.join(properties, ["path", "node"]).join(names, ["path", "_properties"]).filter("metadata_kind is not null").withColumn("folder", F.regexp_replace("path", r"\.xml$", ""))
+    role = F.when(col("path").endswith("/Ext/ObjectModule.bsl"), "object_module").when(col("path").endswith("/Ext/ManagerModule.bsl"), "manager_module").when(col("path").endswith("/Ext/Module.bsl"), "common_module")
+    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""), "\r\n?", "\n")
+    texts = found.filter(col("path").endswith(".bsl")).select("path", role.alias("role"), F.regexp_replace("path", "/Ext/[^/]+$", "").alias("folder"), text.alias("text")).filter("role is not null")
+    fixed = F.when(col("role") == "object_module", "ObjectModule").when(col("role") == "manager_module", "ManagerModule").otherwise(col("name"))
+    modules = settled(texts.join(objects.select("folder", col("id").alias("owner_id"), "name"), "folder").select("path", "owner_id", F.concat_ws(":", "owner_id", "role").alias("module_id"), fixed.alias("module_name"), "text"))
+    symbols = bsl.declarations(modules).join(modules.select("module_id", "path"), "module_id")
+    declared = symbols.filter("error is null")
+    configuration = objects.filter("metadata_kind = 'configuration'").agg(F.min("id").alias("configuration_id"))
+    others = objects.filter("metadata_kind != 'configuration'").join(F.broadcast(configuration)).filter("configuration_id is not null")  # one row
+    nodes = _stacked([_node(objects, col("id"), col("name"), "metadata", col("metadata_kind")), _node(modules, col("module_id"), col("module_name"), "module"), _node(declared, col("symbol_id"), col("name"), col("kind"), origin="parsed")])
+    edges = _stacked([_edge(others, col("configuration_id"), col("id"), ["contains"]), _edge(modules, col("owner_id"), col("module_id"), ["contains"]), _edge(declared, col("module_id"), col("symbol_id"), ["contains"])])
+    problems = symbols.filter("error is not null").select(col("module_id").alias("source_node"), F.lit("bsl").alias("kind"), F.concat(F.lit("line "), col("line").cast("string")).alias("reference"), col("error").alias("code"))
+    broken = elements.filter("error is not null").select(col("path").alias("source_node"), F.lit("xml").alias("kind"), col("error").alias("reference"), F.lit("malformed_xml").alias("code"))
+    return Project(Graph.of(settled(nodes), settled(edges)), settled(problems.unionByName(broken)), modules)
+
+
 def _rights(elements: DataFrame, objects: DataFrame, targets: DataFrame, nodes: list, edges: list) -> None:
     """Rights with value true: a right node for each resource, right and restriction, granted by the roles that have it."""
     at = elements.filter("path like '%.rights'")

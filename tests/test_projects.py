@@ -5,6 +5,7 @@ import pytest
 from tessera.operators import lookup, report, validate
 from tessera.schema import code
 from tessera.sources import projects, xml
+from tessera.streaming import watch
 
 
 def mdo(kind: str, uuid: str, body: str) -> str:
@@ -18,6 +19,10 @@ FILES = {
     "src/Catalogs/Goods/ObjectModule.bsl": 'Procedure Fill() Export\n\tCommon.Log();\n\tHelper();\n\t// Ghost();\n\tq = New Query("SELECT Ref FROM Catalog.goods");\nEndProcedure\n\nПроцедура Helper()\n\tIf (x) Then\n\tMissing();\nКонецПроцедуры\n',
     "src/Catalogs/Goods/Forms/List/Module.bsl": "// nothing yet\n",
     "src/Documents/Sale/Sale.mdo": mdo("Document", "sale", "<name>Sale</name><registerRecords>AccumulationRegister.Stock</registerRecords>"),
+    "src/Documents/Sale/ObjectModule.bsl": "Procedure Posting()\n RegisterRecords.stock.Write(); RegisterRecords.Other.Write();\n RegisterRecords.Write(); x = RegisterRecords.Stock.Write(1);\nEndProcedure\n",
+    "src/AccumulationRegisters/Stock/Stock.mdo": mdo("AccumulationRegister", "stock", "<name>Stock</name>"),
+    "src/CommonCommands/Open/Open.mdo": mdo("CommonCommand", "open", "<name>Open</name>"),
+    "src/CommonCommands/Open/CommandModule.bsl": 'Procedure CommandProcessing(A)\n OpenForm("Catalog.Goods.Form.List", A);\n OpenForm("Catalog.Goods.Form.None");\n OpenForm(Name);\nEndProcedure\n',
     "src/CommonModules/Common/Common.mdo": mdo("CommonModule", "common", "<name>Common</name>"),
     "src/CommonModules/Common/Module.bsl": "Procedure Log() Export\nEndProcedure\nProcedure OnWrite() Export\nEndProcedure\nProcedure Broken\n",
     "src/Roles/Seller/Seller.mdo": mdo("Role", "seller", "<name>Seller</name>"),
@@ -58,6 +63,7 @@ def test_nodes(project):
         "pack": ("Pack", "metadata.xdto_package"), "xdto_type;owner#4:pack;name#4:Code": ("Code", "xdto_type"), "xdto_type;owner#4:pack;name#4:Item": ("Item", "xdto_type"), "api": ("Api", "metadata.web_service"), "op": ("Get", "web_service_operation"), "par": ("Id", "web_service_parameter"),
         "api:common_module": ("Api", "module"), "api:common_module:function:DoGet": ("DoGet", "function"), "site": ("Site", "metadata.http_service"), "tpl": ("Orders", "http_service_url_template"), "met": ("GET", "http_service_method"),
     }
+    expected |= {"sale:object_module": ("ObjectModule", "module"), "sale:object_module:procedure:Posting": ("Posting", "procedure"), "stock": ("Stock", "metadata.accumulation_register"), "open": ("Open", "metadata.command"), "open:command_module": ("CommandModule", "module"), "open:command_module:procedure:CommandProcessing": ("CommandProcessing", "procedure")}
     schema = "data_composition:schema;owner#6:report;name#4:Main"
     data_set = f"data_composition:data_set;owner#{len(schema)}:{schema};name#3:Set"
     expected |= {schema: ("Main", "data_composition_schema"), data_set: ("Set", "data_set"), f"data_composition:field;owner#{len(data_set)}:{data_set};name#3:Sum": ("Sum", "data_composition_field"), f"data_composition:query;owner#{len(data_set)}:{data_set};role#5:query": ("Query", "query")}
@@ -75,6 +81,7 @@ def test_edges(project):
         ("trade:subsystem", "includes", "goods"), ("retail:subsystem", "includes", "sale"), ("trade:subsystem", "includes", "retail:subsystem"),
         ("sub", "references", "sale"), ("sub", "references", "common:common_module:procedure:OnWrite"), ("sub", "triggers", "common:common_module:procedure:OnWrite"),
         ("op", "references", "xdto_type;owner#4:pack;name#4:Item"), ("par", "references", "xdto_type;owner#4:pack;name#4:Code"), ("api", "references", "pack"),
+        ("sale:object_module:procedure:Posting", "writes", "stock"), ("open:command_module:procedure:CommandProcessing", "opens", "form1"),
         ("op", "references", "api:common_module:function:DoGet"), ("op", "triggers", "api:common_module:function:DoGet"),
     }
     owners = {r.child_id: r.owner_id for r in lookup.owner(project[1].graph).collect()}
@@ -84,11 +91,12 @@ def test_edges(project):
 def test_diagnostics_and_validity(project):
     problems = {(r.source_node, r.kind, r.code) for r in project[1].diagnostics.collect()}
     assert {("part", "metadata_reference", "missing_target"), ("trade:subsystem", "subsystem_content", "missing_target"), ("trade:subsystem", "subsystem_content", "malformed_format"), ("common:common_module", "bsl", "malformed_declaration"), ("met", "service_callable", "missing_target")} <= problems
+    assert {("sale:object_module:procedure:Posting", "register_write", "undeclared_register"), ("sale:object_module", "register_write", "collection_level_write"), ("sale:object_module", "register_write", "expression_remainder"), ("open:command_module:procedure:CommandProcessing", "form_navigation", "missing_target"), ("open:command_module", "form_navigation", "dynamic_first_argument")} <= problems
     assert any(kind == "xml" for _, kind, _ in problems)
     issues = validate.validate(project[1].graph)
     assert validate.is_valid(issues), issues.collect()
     totals = {(r.section, r.metric): r.value for r in report.graph_report(project[1].graph).filter("key = ''").collect()}
-    assert totals["nodes", "total"] == 45 and totals["edges", "missing_targets"] == 0
+    assert totals["nodes", "total"] == 51 and totals["edges", "missing_targets"] == 0
 
 
 def test_discovery(spark):
@@ -100,3 +108,34 @@ def test_discovery(spark):
 def test_elements_of_bad_and_empty_files(spark):
     rows = xml.elements(spark.createDataFrame([("a", bytearray(b"<x/>")), ("b", bytearray(b"")), ("c", bytearray(b"<x>"))], "path string, content binary")).collect()
     assert {r.path: r.error is None for r in rows} == {"a": True, "b": False, "c": False}
+
+
+def test_export(spark, tmp_path):
+    root = tmp_path / "dump"
+    head = '<MetaDataObject xmlns="urn:m" version="2.20"><{0} uuid="{1}"><Properties><Name>{2}</Name></Properties></{0}></MetaDataObject>'
+    for name, text in {"Configuration.xml": head.format("Configuration", "cfg", "Shop"), "ConfigDumpInfo.xml": "<i/>", "Catalogs/Goods.xml": "\ufeff" + head.format("Catalog", "goods", "Goods"), "Catalogs/Goods/Ext/ObjectModule.bsl": "\ufeffProcedure A()\r\nEndProcedure\r\n", "CommonModules/Lib.xml": head.format("CommonModule", "lib", "Lib"), "CommonModules/Lib/Ext/Module.bsl": "Function B() Export\rEndFunction\rProcedure"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text.encode())
+    project = projects.read_export(spark, str(root))
+    assert {(r.source, r.target) for r in project.graph.edges.collect()} == {("cfg", "goods"), ("cfg", "lib"), ("goods", "goods:object_module"), ("lib", "lib:common_module"), ("goods:object_module", "goods:object_module:procedure:A"), ("lib:common_module", "lib:common_module:function:B")}
+    assert [r.code for r in project.diagnostics.collect()] == ["malformed_declaration"]
+
+
+def test_watching_publishes_whole_snapshots(spark, tmp_path):
+    root, store, events = tmp_path / "p" / "shop", str(tmp_path / "store"), []
+    for name in (".project", "src/Configuration/Configuration.mdo", "src/Catalogs/Goods/Goods.mdo"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(FILES[name], encoding="utf-8")
+
+    def run():
+        watch.watch(spark, str(root), store, str(tmp_path / "checkpoint"), lambda n, outcome: events.append(outcome), once=True).awaitTermination(120)
+
+    run()
+    assert len(events) == 1 and watch.published(spark, store).nodes.filter("id = 'goods'").count() == 1
+    run()
+    assert len(events) == 1 and watch.rebuild(spark, str(root), store) is None
+    new = root / "src/CommonModules/Common/Common.mdo"
+    new.parent.mkdir(parents=True)
+    new.write_text(FILES["src/CommonModules/Common/Common.mdo"], encoding="utf-8")
+    run()
+    assert len(events) == 2 and watch.published(spark, store).nodes.filter("id = 'common'").count() == 1
