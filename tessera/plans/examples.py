@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.graph import Graph
 from tessera.operators import context, diff, impact, lookup, report, resolve, traverse, validate
 from tessera.schema import CONTEXT_PRIORITY, DEPENDENCY_KINDS, EDGE_KINDS, NO_SELF_LOOP, OWNED, allowed_endpoints, code
+from tessera.sources import bsl, query_language
 from tessera.sources.tables import graph_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +297,58 @@ from found f left join codes0 p on p.id = f.id left join codes1 c on c.id = f.id
 _register_pair("impact", lambda p, c: impact.affected(p, c, _OWNER_IMPACT).drop("n_reasons"))
 ORACLES["impact"] = f"with recursive {_PAIR}{_IMPACT_SQL}"
 _register_pair("impact_summary", lambda p, c: impact.summary(impact.affected(p, c, _OWNER_IMPACT)))
+
+# --- reports of differences, index changes ------------------------------------------------------------------------
+
+
+def _report_sql(s: str) -> str:
+    return _REPORT_SQL.replace("from nodes)", f"from nodes{s})").replace("from nodes,", f"from nodes{s},").replace("from nodes)", f"from nodes{s})").replace("from codes", f"from codes{s}").replace("from edges", f"from edges{s}").replace(" from nodes group", f" from nodes{s} group")
+
+
+ORACLES["diff_report"] = f"with recursive {_PAIR}, p as ({_report_sql('0')}), c as ({_report_sql('1')}) select section, metric, \"key\", coalesce(p.value, 0) previous, coalesce(c.value, 0) \"current\", coalesce(c.value, 0) - coalesce(p.value, 0) change from p full join c using (section, metric, \"key\") where coalesce(p.value, 0) <> coalesce(c.value, 0)"
+ORACLES["index_changes"] = f"""with recursive {_PAIR}, nd as ({_NODE_DIFF}), ed as ({_EDGE_DIFF})
+select 0 phase, 'remove' operation, 'edge' entity, edge_id id from ed where change = 'removed'
+union all select 1, case change when 'removed' then 'remove' else 'replace' end, 'node', id from nd where change <> 'added'
+union all select 2, 'add', 'node', id from nd where change = 'added'
+union all select 3, 'add', 'edge', edge_id from ed where change = 'added'
+union all select 4, 'refresh', 'edge', edge_id from (select distinct c.edge_id from edges1 c join edges0 p on p.edge_id = c.edge_id where c.source in (select id from nd where change = 'modified') or c.target in (select id from nd where change = 'modified') union select edge_id from ed where change = 'modified')"""
+
+# --- module sources: one module for each user, whose procedures call each other -----------------------------------
+
+
+def user_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`module_id`, `module_name`, `text`: a procedure for each event type, with a call for each type that followed."""
+    g = graph_of(spark, sf_dir)
+    calls = g.edges.filter("kind = 'calls'").select(F.col("source").alias("id"), F.element_at(F.split("target", ":"), -1).alias("callee")).groupBy("id").agg(F.array_sort(F.collect_list("callee")).alias("callees"))
+    own = g.nodes.filter("kind = 'procedure'").select("id", "name").join(calls, "id", "left")
+    body = F.concat_ws("\n", F.concat(F.lit("Procedure "), "name", F.lit("() Export")), F.transform(F.coalesce("callees", F.array().cast("array<string>")), lambda c: F.concat(F.lit("  "), c, F.lit("();"))), F.lit("EndProcedure"))
+    held = own.groupBy(F.regexp_extract("id", "^(user:[^:]+):", 1).alias("module_id")).agg(F.array_sort(F.collect_list(F.struct("name", body.alias("body")))).alias("parts"))
+    return held.select("module_id", F.col("module_id").alias("module_name"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n").alias("text"))
+
+
+_MODULE_SQL = """steps as (select distinct user_id u, b, event_type t from (select user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) b from events) where b <> event_type),
+procs as (select u, p, c, 1 + coalesce(sum(c + 2) over (partition by u order by p rows between unbounded preceding and 1 preceding), 0) line from (select e.u, e.p, (select count(*) from steps s where s.u = e.u and s.b = e.p) c from (select distinct user_id u, event_type p from events) e))"""
+QUERIES["module_declarations"] = lambda spark, sf_dir: bsl.declarations(user_modules(spark, sf_dir)).select("module_id", F.col("line").cast("bigint").alias("line"), "kind", "name", "exported", "symbol_id")
+ORACLES["module_declarations"] = f"with {_MODULE_SQL} select 'user:' || u module_id, cast(line as bigint) line, 'procedure' kind, p \"name\", true exported, 'user:' || u || ':procedure:' || p symbol_id from procs"
+
+
+def _local_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modules = user_modules(spark, sf_dir)
+    found = bsl.resolve_local_calls(bsl.calls(modules), bsl.declarations(modules))
+    return found.select("module_id", F.col("line").cast("bigint").alias("line"), F.col("ordinal").cast("bigint").alias("ordinal"), "callee", "source_id", "target_id", "reason")
+
+
+QUERIES["module_calls"] = _local_calls
+ORACLES["module_calls"] = f"with {_MODULE_SQL} select 'user:' || s.u module_id, cast(p.line + row_number() over (partition by s.u, s.b order by s.t) as bigint) line, row_number() over (partition by s.u order by s.b, s.t) ordinal, s.t callee, 'user:' || s.u || ':procedure:' || s.b source_id, 'user:' || s.u || ':procedure:' || s.t target_id, cast(null as varchar) reason from steps s join procs p on p.u = s.u and p.p = s.b"
+
+
+def _query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    text = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("SELECT a.b FROM Catalog.P"), key, F.lit(" AS t"))).when(F.col("p_partkey") % 4 == 1, "ВЫБРАТЬ а ИЗ &Параметр").when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("SELECT a FROM Catalog.P JOIN Catalog.Q"), key)).otherwise(F.concat(F.lit("SELECT TOP x FROM T"), key, F.lit("."), key))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("query_id"), text.alias("text"))
+
+
+QUERIES["query_texts"] = lambda spark, sf_dir: query_language.read_queries(_query_texts(spark, sf_dir)).select("query_id", "code", F.col("begin_byte").cast("bigint").alias("begin_byte"), F.col("end_byte").cast("bigint").alias("end_byte"), "category", "namespace", "name", "alias")
+ORACLES["query_texts"] = f"""select cast(p_partkey as varchar) query_id, case p_partkey % 4 when 0 then null when 1 then '{query_language.PARAMETER}' when 2 then '{query_language.STRUCTURE}' else '{query_language.MALFORMED}' end code,
+case p_partkey % 4 when 0 then 16 when 1 then 23 when 2 then 24 else 11 end begin_byte, case p_partkey % 4 when 0 then 25 + strlen(cast(p_partkey as varchar)) when 1 then 40 when 2 then 28 else 12 end end_byte,
+case when p_partkey % 4 = 0 then 'catalog' end category, case when p_partkey % 4 = 0 then 'Catalog' end namespace, case when p_partkey % 4 = 0 then 'P' || p_partkey end "name", case when p_partkey % 4 = 0 then 't' end alias from part"""
