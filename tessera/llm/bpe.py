@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from tessera.llm.common import quoted, table
 
 #: Distinct strings that a worker remembers since its memory last turned; those of the turn before are kept beside.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Strings of more characters are not remembered.
 LONG = 100
 #: Characters of text that are encoded and handed on together, unless one text alone has more.
@@ -50,6 +50,9 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = regex.compile(_PATTERN.replace(r"\s", _SPACE))
 
 
+#: Bits of the right symbol in the number of a pair; vocabularies have fewer symbols.
+_SHIFT = 20
+
 V = TypeVar("V")
 
 
@@ -66,7 +69,8 @@ class Vocabulary:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.added.items()]}
-        self.merges: dict[tuple[int, int], int] = {}
+        #: Rank by pair, a pair being written as one number.
+        self.merges: dict[int, int] = {}
         self.rules: list[tuple[int, int, int]] = []
         made: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -74,7 +78,7 @@ class Vocabulary:
             left, right, new = self.ids[a], self.ids[b], self.ids[a + b]
             if made.setdefault(new, rank) != rank or max(made.get(left, -1), made.get(right, -1)) >= rank:
                 raise ValueError(f"merge {rank} comes before its parts or makes a symbol again")
-            self.merges[left, right] = rank
+            self.merges[left << _SHIFT | right] = rank
             self.rules.append((left, right, new))
         if any(x in made for x in (self.ids.get(c) for c in self.ids if len(c) == 1)):
             raise ValueError("a single symbol is made by a merge")
@@ -147,7 +151,7 @@ def merge_all(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
         before += [-1, *range(first, last)]
         after += [*range(first + 1, last + 1), -1]
         for i in range(first, last):
-            rank = merges.get((symbol[i], symbol[i + 1]))
+            rank = merges.get(symbol[i] << _SHIFT | symbol[i + 1])
             if rank is not None:
                 places[rank].append(i)
     active = list(places)
@@ -164,20 +168,21 @@ def merge_all(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
             h = before[i]
             if k >= 0:
                 before[k] = i
-                beside = merges.get((new, symbol[k]))
+                beside = merges.get(new << _SHIFT | symbol[k])
                 if beside is not None:
                     if beside not in places:
                         heapq.heappush(active, beside)
                     places[beside].append(i)
             if h >= 0:
-                beside = merges.get((symbol[h], new))
+                beside = merges.get(symbol[h] << _SHIFT | new)
                 if beside is not None:
                     if beside not in places:
                         heapq.heappush(active, beside)
                     places[beside].append(h)
     out = []
     for first, end in zip(begins, [*begins[1:], len(symbol)], strict=True):
-        out.append([x for x in symbol[first:end] if x >= 0])
+        own = symbol[first:end]
+        out.append([x for x in own if x >= 0] if -1 in own else own)
     return out
 
 

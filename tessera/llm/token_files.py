@@ -15,7 +15,7 @@ computed positions: constant time, whatever the size of the file. The manifest (
 same folder; `start` of a shard is the number of ids in the shards before it.
 
 A task writes under a name of its own, so a task that is run again or twice leaves files that no manifest names; the
-manifest is settled once and `written` removes what it doesn't name.
+manifest is settled once, readers go by it alone, and such files go with the folder.
 
 Defined results: a null text counts as empty; every document ends with the end id, so an empty one has one id. Rows
 that repeat a key are all stored, next to each other, and a lookup gives the first. A null key sorts first, is stored

@@ -149,7 +149,7 @@ def test_bpe_merges_equal_one_by_one():
     def alone(word):
         s = v.start(word)
         while True:
-            ranked = [(v.merges[p], i) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in v.merges]
+            ranked = [(v.merges[a << bpe._SHIFT | b], i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if a << bpe._SHIFT | b in v.merges]
             if not ranked:
                 return s
             rank, i = min(ranked)
