@@ -2,27 +2,20 @@
 
 Outcomes: `resolved`, `missing_target`, `ambiguous`, `incompatible_kind`, `missing_owner`, `invalid_owner`. References
 are rows, so a whole workspace resolves in one join. Rows keep their columns and gain `outcome`, `target` (where
-resolved) and `candidates` (sorted, joined by a bar).
+resolved), `n_candidates` and `first_candidate` (the least id). All candidates of a name are rows of their own
+(`name_candidates`), for a frequent name has no bound to them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import Graph
 from tessera.schema import code
 
-_SEPARATOR = "|"
-
-
-def _finished(refs: DataFrame, found: DataFrame, key: str, kind: bool) -> DataFrame:
-    """Outcomes from counts per reference: `n_all` of the name, `n_fit` of the kind, and the ids of either."""
-    out = refs.join(found, key, "left")
-    n_all, n_fit = F.coalesce("n_all", F.lit(0)), F.coalesce("n_fit", F.lit(0))
-    outcome = F.when(n_fit == 1, "resolved").when(n_fit > 1, "ambiguous").when(n_all > 0, "incompatible_kind" if kind else "resolved").otherwise("missing_target")
-    candidates = F.when(n_fit > 0, F.array_join("fit", _SEPARATOR)).otherwise(F.coalesce("first", F.lit("")))
-    return out.select(*refs.columns, outcome.alias("outcome"), F.when(n_fit == 1, F.col("fit")[0]).alias("target"), candidates.alias("candidates"))
+def _with(refs: DataFrame, out: DataFrame, outcome: Column, target: Column, n: Column, first: Column) -> DataFrame:
+    return out.select(*refs.columns, outcome.alias("outcome"), F.when(outcome == "resolved", target).alias("target"), n.cast("bigint").alias("n_candidates"), first.alias("first_candidate"))
 
 
 def resolve_ids(g: Graph, refs: DataFrame, expected_kind: str | None = None) -> DataFrame:
@@ -31,7 +24,8 @@ def resolve_ids(g: Graph, refs: DataFrame, expected_kind: str | None = None) ->
     out = refs.join(targets, "reference", "left")
     fits = F.lit(True) if expected_kind is None else F.col("_code") == expected_kind
     outcome = F.when(F.col("_code").isNull(), "missing_target").when(fits, "resolved").otherwise("incompatible_kind")
-    return out.select(*refs.columns, outcome.alias("outcome"), F.when(outcome == "resolved", F.col("reference")).alias("target"), F.when(F.col("_code").isNotNull(), F.col("reference")).otherwise("").alias("candidates"))
+    known = F.when(F.col("_code").isNotNull(), F.col("reference"))
+    return _with(refs, out, outcome, F.col("reference"), known.isNotNull().cast("int"), known)
 
 
 def resolve_names(g: Graph, refs: DataFrame, expected_kind: str | None = None, folded: bool = False) -> DataFrame:
@@ -39,15 +33,27 @@ def resolve_names(g: Graph, refs: DataFrame, expected_kind: str | None = None, f
 
     The kind is looked at first: candidates of another kind only tell `incompatible_kind`, with the first by id.
     """
-    fold = F.lower if folded else (lambda c: F.col(c) if isinstance(c, str) else c)
-    names = refs.select(fold(F.col("reference")).alias("_name")).distinct()
-    nodes = g.nodes.select(fold(F.col("name")).alias("_name"), "id", code().alias("_code"))
+    nodes, keyed = _named(g, refs, folded)
     fits = F.lit(True) if expected_kind is None else F.col("_code") == expected_kind
-    found = nodes.join(names, "_name", "left_semi").groupBy("_name").agg(
-        F.count("*").alias("n_all"), F.count_if(fits).alias("n_fit"), F.array_sort(F.collect_set(F.when(fits, F.col("id")))).alias("fit"), F.min("id").alias("first")
+    found = nodes.join(keyed.select("_name").distinct(), "_name", "left_semi").groupBy("_name").agg(
+        F.count("*").alias("n_all"), F.count_if(fits).alias("n_fit"), F.min(F.when(fits, F.col("id"))).alias("fit"), F.min("id").alias("first")
     )
-    keyed = refs.withColumn("_name", fold(F.col("reference")))
-    return _finished(keyed, found, "_name", expected_kind is not None).drop("_name")
+    out = keyed.join(found, "_name", "left")
+    n_all, n_fit = F.coalesce("n_all", F.lit(0)), F.coalesce("n_fit", F.lit(0))
+    outcome = F.when(n_fit == 1, "resolved").when(n_fit > 1, "ambiguous").when(n_all > 0, "incompatible_kind").otherwise("missing_target")
+    return _with(refs, out, outcome, F.col("fit"), F.when(n_fit > 0, n_fit).otherwise(F.least(n_all, F.lit(1))), F.coalesce("fit", "first"))
+
+
+def _named(g: Graph, refs: DataFrame, folded: bool) -> tuple[DataFrame, DataFrame]:
+    fold = F.lower if folded else (lambda c: c)
+    return g.nodes.select(fold(F.col("name")).alias("_name"), "id", code().alias("_code")), refs.withColumn("_name", fold(F.col("reference")))
+
+
+def name_candidates(g: Graph, refs: DataFrame, expected_kind: str | None = None, folded: bool = False) -> DataFrame:
+    """`reference` and `candidate`: every node that a name of `refs` can mean, a row each."""
+    nodes, keyed = _named(g, refs.select("reference").distinct(), folded)
+    found = nodes if expected_kind is None else nodes.filter(F.col("_code") == expected_kind)
+    return keyed.join(found, "_name").select("reference", F.col("id").alias("candidate"))
 
 
 def resolve_children(g: Graph, refs: DataFrame, expected_kind: str | None = None) -> DataFrame:
@@ -60,11 +66,11 @@ def resolve_children(g: Graph, refs: DataFrame, expected_kind: str | None = None
     owners = g.nodes.select(F.col("id").alias("owner"), F.lit(True).alias("_owner"))
     held = g.edges.filter("kind = 'contains'").select(F.col("source").alias("owner"), F.col("target").alias("id"))
     named = held.join(g.nodes.select("id", F.col("name").alias("reference"), code().alias("_code")), "id")
-    found = named.join(wanted, ["owner", "reference"], "left_semi").groupBy("owner", "reference").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("id")).alias("ids"), F.min("_code").alias("_code"))
+    found = named.join(wanted, ["owner", "reference"], "left_semi").groupBy("owner", "reference").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("_code").alias("_code"))
     out = refs.join(owners, "owner", "left").join(found, ["owner", "reference"], "left")
     fits = F.lit(True) if expected_kind is None else F.col("_code") == expected_kind
     outcome = F.when(F.col("_owner").isNull(), "missing_owner").when(F.col("n").isNull(), "missing_target").when(F.col("n") > 1, "ambiguous").when(fits, "resolved").otherwise("incompatible_kind")
-    return out.select(*refs.columns, outcome.alias("outcome"), F.when(outcome == "resolved", F.col("ids")[0]).alias("target"), F.coalesce(F.array_join("ids", _SEPARATOR), F.lit("")).alias("candidates"))
+    return _with(refs, out, outcome, F.col("least"), F.coalesce("n", F.lit(0)), F.col("least"))
 
 
 def resolve_owned(g: Graph, refs: DataFrame) -> DataFrame:
@@ -74,15 +80,16 @@ def resolve_owned(g: Graph, refs: DataFrame) -> DataFrame:
     held = g.edges.filter("kind = 'contains'").select(F.col("source").alias("owner"), F.col("target").alias("reference"), F.lit(True).alias("_held"))
     out = refs.join(owners, "owner", "left").join(targets, "reference", "left").join(held, ["owner", "reference"], "left")
     outcome = F.when(F.col("_owner").isNull(), "missing_owner").when(F.col("_target").isNull(), "missing_target").when(F.col("_held").isNull(), "invalid_owner").otherwise("resolved")
-    return out.select(*refs.columns, outcome.alias("outcome"), F.when(outcome == "resolved", F.col("reference")).alias("target"), F.when(F.col("_target"), F.col("reference")).otherwise("").alias("candidates"))
+    known = F.when(F.col("_target"), F.col("reference"))
+    return _with(refs, out, outcome, F.col("reference"), known.isNotNull().cast("int"), known)
 
 
 def resolve_owners(g: Graph, refs: DataFrame, expected_kind: str | None = None) -> DataFrame:
     """`refs` has `reference`, a node id, whose only owner is looked for."""
     nodes = g.nodes.select(F.col("id").alias("reference"), F.lit(True).alias("_target"))
     held = g.edges.filter("kind = 'contains'").select(F.col("target").alias("reference"), F.col("source").alias("id"))
-    found = held.join(g.nodes.select("id", code().alias("_code")), "id").groupBy("reference").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("id")).alias("ids"), F.min("_code").alias("_code"))
+    found = held.join(g.nodes.select("id", code().alias("_code")), "id").groupBy("reference").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("_code").alias("_code"))
     out = refs.join(nodes, "reference", "left").join(found, "reference", "left")
     fits = F.lit(True) if expected_kind is None else F.col("_code") == expected_kind
     outcome = F.when(F.col("_target").isNull(), "missing_target").when(F.col("n").isNull(), "missing_owner").when(F.col("n") > 1, "ambiguous").when(fits, "resolved").otherwise("incompatible_kind")
-    return out.select(*refs.columns, outcome.alias("outcome"), F.when(outcome == "resolved", F.col("ids")[0]).alias("target"), F.coalesce(F.array_join("ids", _SEPARATOR), F.lit("")).alias("candidates"))
+    return _with(refs, out, outcome, F.col("least"), F.coalesce("n", F.lit(0)), F.col("least"))

@@ -143,10 +143,10 @@ def _id_refs(g: Graph) -> DataFrame:
     return lines.select(F.explode(F.array(F.concat(F.lit("part:"), F.col("p")[5]), F.concat(F.lit("part:-"), F.col("p")[5]), F.concat(F.lit("order:"), F.col("p")[1]))).alias("reference")).distinct()
 
 
-_register("resolve_ids", lambda g: resolve.resolve_ids(g, _id_refs(g)), f"select r.reference, case when n.id is null then 'missing_target' else 'resolved' end outcome, n.id target, coalesce(n.id, '') candidates from {_REFS} r left join nodes n on n.id = r.reference")
+_register("resolve_ids", lambda g: resolve.resolve_ids(g, _id_refs(g)), f"select r.reference, case when n.id is null then 'missing_target' else 'resolved' end outcome, n.id target, cast(n.id is not null as bigint) n_candidates, n.id first_candidate from {_REFS} r left join nodes n on n.id = r.reference")
 _register(
     "resolve_ids_of_kind", lambda g: resolve.resolve_ids(g, _id_refs(g), "metadata.catalog"),
-    f"select r.reference, case when n.id is null then 'missing_target' when n.code = 'metadata.catalog' then 'resolved' else 'incompatible_kind' end outcome, case when n.code = 'metadata.catalog' then n.id end target, coalesce(n.id, '') candidates from {_REFS} r left join codes n on n.id = r.reference",
+    f"select r.reference, case when n.id is null then 'missing_target' when n.code = 'metadata.catalog' then 'resolved' else 'incompatible_kind' end outcome, case when n.code = 'metadata.catalog' then n.id end target, cast(n.id is not null as bigint) n_candidates, n.id first_candidate from {_REFS} r left join codes n on n.id = r.reference",
 )
 
 
@@ -157,12 +157,12 @@ def _name_refs(g: Graph) -> DataFrame:
 
 def _name_sql(kind: str | None, fold: str) -> str:
     fit = "true" if kind is None else f"n.code = '{kind}'"
-    other = "'resolved'" if kind is None else "'incompatible_kind'"
-    return f"""select reference, case when fit = 1 then 'resolved' when fit > 1 then 'ambiguous' when n_all > 0 then {other} else 'missing_target' end outcome, case when fit = 1 then one end target,
-case when fit > 0 then ids else coalesce(first, '') end candidates from (select r.reference, count(n.id) n_all, count(*) filter (n.id is not null and {fit}) fit, min(n.id) filter ({fit}) one, string_agg(n.id, '|' order by n.id) filter ({fit}) ids, min(n.id) first
+    return f"""select reference, case when fit = 1 then 'resolved' when fit > 1 then 'ambiguous' when n_all > 0 then 'incompatible_kind' else 'missing_target' end outcome, case when fit = 1 then one end target,
+case when fit > 0 then fit else least(n_all, 1) end n_candidates, coalesce(one, first) first_candidate from (select r.reference, count(n.id) n_all, count(*) filter (n.id is not null and {fit}) fit, min(n.id) filter ({fit}) one, min(n.id) first
 from (select distinct unnest([name, upper(name)]) reference from nodes) r left join codes n on {fold}(n.name) = {fold}(r.reference) group by 1)"""
 
 
+_register("name_candidates", lambda g: resolve.name_candidates(g, _name_refs(g), "procedure", folded=True), "select distinct r.reference, n.id candidate from (select distinct unnest([name, upper(name)]) reference from nodes) r join codes n on lower(n.name) = lower(r.reference) and n.code = 'procedure'")
 _register("resolve_names", lambda g: resolve.resolve_names(g, _name_refs(g)), _name_sql(None, ""))
 _register("resolve_names_of_kind", lambda g: resolve.resolve_names(g, _name_refs(g), "metadata.catalog"), _name_sql("metadata.catalog", ""))
 _register("resolve_names_folded", lambda g: resolve.resolve_names(g, _name_refs(g), "procedure", folded=True), _name_sql("procedure", "lower"))
@@ -177,8 +177,8 @@ _CHILD_REFS = "(select u.id owner, v.reference from nodes u, (values ('purchase'
 for _kind in (None, "function"):
     _fit = "'resolved'" if _kind is None else "case when c.code = 'function' then 'resolved' else 'incompatible_kind' end"
     _child = f"""select r.owner, r.reference, case when o.id is null then 'missing_owner' when c.n is null then 'missing_target' when c.n > 1 then 'ambiguous' else {_fit} end outcome,
-case when c.n = 1 and {_fit} = 'resolved' then c.ids end target, coalesce(c.ids, '') candidates from {_CHILD_REFS} r left join nodes o on o.id = r.owner
-left join (select e.source owner, n.name reference, count(*) n, string_agg(n.id, '|' order by n.id) ids, min(n.code) code from edges e join codes n on n.id = e.target where e.kind = 'contains' group by 1, 2) c on c.owner = r.owner and c.reference = r.reference"""
+case when c.n = 1 and {_fit} = 'resolved' then c.least end target, coalesce(c.n, 0) n_candidates, c.least first_candidate from {_CHILD_REFS} r left join nodes o on o.id = r.owner
+left join (select e.source owner, n.name reference, count(*) n, min(n.id) least, min(n.code) code from edges e join codes n on n.id = e.target where e.kind = 'contains' group by 1, 2) c on c.owner = r.owner and c.reference = r.reference"""
     _register("resolve_children" + ("" if _kind is None else "_of_kind"), lambda g, kind=_kind: resolve.resolve_children(g, _child_refs(g), kind), _child)
 
 
@@ -188,9 +188,9 @@ def _owned_refs(g: Graph) -> DataFrame:
 
 
 _OWNED = "(select source owner, target reference from edges where kind = 'contains' and target like 'order:%:customer' union all select 'cfg', target from edges where kind = 'contains' and target like 'order:%:customer')"
-_register("resolve_owned_children", lambda g: resolve.resolve_owned(g, _owned_refs(g)), f"select r.owner, r.reference, case when e.edge_id is null then 'invalid_owner' else 'resolved' end outcome, case when e.edge_id is not null then r.reference end target, r.reference candidates from {_OWNED} r left join edges e on e.source = r.owner and e.target = r.reference and e.kind = 'contains'")
-_register("resolve_owners", lambda g: resolve.resolve_owners(g, _id_refs(g)), f"select r.reference, case when n.id is null then 'missing_target' when e.source is null then 'missing_owner' else 'resolved' end outcome, e.source target, coalesce(e.source, '') candidates from {_REFS} r left join nodes n on n.id = r.reference left join edges e on e.target = r.reference and e.kind = 'contains'")
-_register("resolve_owners_of_kind", lambda g: resolve.resolve_owners(g, _id_refs(g), "module"), f"select r.reference, case when n.id is null then 'missing_target' when e.source is null then 'missing_owner' else 'incompatible_kind' end outcome, cast(null as varchar) target, coalesce(e.source, '') candidates from {_REFS} r left join nodes n on n.id = r.reference left join edges e on e.target = r.reference and e.kind = 'contains'")
+_register("resolve_owned_children", lambda g: resolve.resolve_owned(g, _owned_refs(g)), f"select r.owner, r.reference, case when e.edge_id is null then 'invalid_owner' else 'resolved' end outcome, case when e.edge_id is not null then r.reference end target, cast(1 as bigint) n_candidates, r.reference first_candidate from {_OWNED} r left join edges e on e.source = r.owner and e.target = r.reference and e.kind = 'contains'")
+_register("resolve_owners", lambda g: resolve.resolve_owners(g, _id_refs(g)), f"select r.reference, case when n.id is null then 'missing_target' when e.source is null then 'missing_owner' else 'resolved' end outcome, e.source target, cast(e.source is not null as bigint) n_candidates, e.source first_candidate from {_REFS} r left join nodes n on n.id = r.reference left join edges e on e.target = r.reference and e.kind = 'contains'")
+_register("resolve_owners_of_kind", lambda g: resolve.resolve_owners(g, _id_refs(g), "module"), f"select r.reference, case when n.id is null then 'missing_target' when e.source is null then 'missing_owner' else 'incompatible_kind' end outcome, cast(null as varchar) target, cast(e.source is not null as bigint) n_candidates, e.source first_candidate from {_REFS} r left join nodes n on n.id = r.reference left join edges e on e.target = r.reference and e.kind = 'contains'")
 
 # --- traversal ----------------------------------------------------------------------------------------------------
 

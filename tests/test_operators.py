@@ -241,11 +241,12 @@ def test_differences(spark):
 def test_resolution_outcomes(spark):
     g = graph(spark, [("c", "metadata.catalog", "Goods"), ("d", "metadata.document", "Goods"), ("m", "module", "M"), ("p", "procedure", "Run"), ("f", "function", "Run")], [("m", "contains", "p"), ("m", "contains", "f")])
     refs = spark.createDataFrame([("Goods",), ("goods",), ("M",), ("Nobody",)], "reference string")
-    outcomes = lambda df: {r.reference: (r.outcome, r.target, r.candidates) for r in df.collect()}
-    assert outcomes(resolve.resolve_names(g, refs)) == {"Goods": ("ambiguous", None, "c|d"), "goods": ("missing_target", None, ""), "M": ("resolved", "m", "m"), "Nobody": ("missing_target", None, "")}
-    assert outcomes(resolve.resolve_names(g, refs, "metadata.catalog", folded=True)) == {"Goods": ("resolved", "c", "c"), "goods": ("resolved", "c", "c"), "M": ("incompatible_kind", None, "m"), "Nobody": ("missing_target", None, "")}
+    outcomes = lambda df: {r.reference: (r.outcome, r.target, r.n_candidates, r.first_candidate) for r in df.collect()}
+    assert outcomes(resolve.resolve_names(g, refs)) == {"Goods": ("ambiguous", None, 2, "c"), "goods": ("missing_target", None, 0, None), "M": ("resolved", "m", 1, "m"), "Nobody": ("missing_target", None, 0, None)}
+    assert {(r.reference, r.candidate) for r in resolve.name_candidates(g, refs).collect()} == {("Goods", "c"), ("Goods", "d"), ("M", "m")}
+    assert outcomes(resolve.resolve_names(g, refs, "metadata.catalog", folded=True)) == {"Goods": ("resolved", "c", 1, "c"), "goods": ("resolved", "c", 1, "c"), "M": ("incompatible_kind", None, 1, "m"), "Nobody": ("missing_target", None, 0, None)}
     child = spark.createDataFrame([("m", "Run")], "owner string, reference string")
-    assert outcomes(resolve.resolve_children(g, child, "procedure")) == {"Run": ("ambiguous", None, "f|p")}
+    assert outcomes(resolve.resolve_children(g, child, "procedure")) == {"Run": ("ambiguous", None, 2, "f")}
     assert {r.child_id for r in lookup.owner(g).collect()} == {"p", "f"}
 
 
