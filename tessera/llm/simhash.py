@@ -18,6 +18,10 @@ Defined results: a null text counts as empty; a text without words has fingerpri
 Repeated rows share a component. A null id never names a component unless the component has no other id, and then
 the component is null. An empty table gives an empty result. Extra columns are left out of `fingerprints` and pass
 through `keep_first`.
+
+`keep_one` is what the corpus pipeline calls: one text of each component of exact five-word similarity. A radius that
+reaches it leaves the triangle bound nothing to pass over, so candidates are dealt by min-hash cells instead, and the
+vantage points work on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, quoted, settled, table
+from tessera.llm.common import fresh, quoted, settled, table, work_dir
 
 RADIUS = 4
 #: Fingerprints that one task compares; larger shards are dealt again.
@@ -281,6 +285,125 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     return kept.unionByName(df.filter(quoted(key).isNull()))
 
 
+#: What the corpus pipeline calls near-duplicates: so many words a shingle, and shared shingles of all shingles of the two.
+WIDTH, SIMILAR = 5, (4, 5)
+#: Min-hashes by which the pipeline deals candidates: two texts at 4/5 miss each other with chance (1 - 0.8^6)^45 = 1e-6.
+CELLS, CELL_HASHES = 45, 6
+_RANDOM = np.random.default_rng(20)
+_FLIP = _RANDOM.integers(0, 2**64, CELLS * CELL_HASHES, np.uint64)[:, None]
+_TIMES = _RANDOM.integers(0, 2**64, CELLS * CELL_HASHES, np.uint64)[:, None] | np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def cells_of(shingles: np.ndarray) -> list[int]:
+    """The cells of a set of shingles, as longs: two sets share a cell if `CELL_HASHES` of their least hashes agree."""
+    if not len(shingles):
+        return []
+    least = np.full(CELLS * CELL_HASHES, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, ((shingles[at : at + 2048] ^ _FLIP) * _TIMES).min(axis=1), out=least)
+    bands = least.reshape(CELLS, CELL_HASHES)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64).tolist()
+
+
+def similar_forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> _Forest:
+    """Joins the sets just as all pairs with at least that share of common members would.
+
+    One minus this share is a metric: what a vantage point links is one component, and only what lies within twice the
+    distance can be linked to it from outside.
+    """
+    forest, (num, den) = _Forest(len(sets)), similar
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+
+    def common(one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, n = ids[starts[one] : starts[one] + sizes[one]], sizes[others]
+        first = np.cumsum(n) - n
+        mark[own] = True
+        both = np.add.reduceat(mark[ids[np.repeat(starts[others] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        mark[own] = False
+        return both, sizes[one] + n - both
+
+    left = np.argsort(-sizes, kind="stable")
+    wide = 2 * num - den  # of den: the share at twice the distance
+    while len(left) > 1:
+        hub, left = int(left[0]), left[1:]
+        reach = int(np.searchsorted(-den * sizes[left], -wide * sizes[hub], "right"))
+        if not reach:
+            continue
+        both, all_ = common(hub, left[:reach])
+        ball = den * both >= num * all_
+        inside = left[:reach][ball]
+        forest.join_all(np.full(len(inside), hub), inside)
+        if len(inside):
+            for other in left[:reach][~ball & (den * both >= wide * all_)].tolist():
+                if forest.find(other) != forest.find(hub):
+                    both, all_ = common(other, inside)
+                    if (den * both >= num * all_).any():
+                        forest.join(other, hub)
+        left = np.concatenate((left[:reach][~ball], left[reach:]))
+    return forest
+
+
+def similar_classes(rows: DataFrame, row: str, key: str, text: str) -> DataFrame:
+    """`row`, `key`, `hash` (of the text) and `class` of all `rows`: one class for each component of similar texts."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                sets = [shingle_set(t.as_py()) for t in some.column(3)]
+                nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(nodes), pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))], names=["row", "key", "hash", "node", "cells"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                sets = pa.array([shingle_set(t.as_py()).tobytes() for t in some.column(2)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], sets], names=["root", "node", "shingles"])
+
+    def verified(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        forest = similar_forest([np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("shingles")])
+        return pa.table({"node": nodes, "class": nodes[[forest.find(i) for i in range(len(nodes))]]})
+
+    chosen = rows.select(quoted(row).alias("row"), quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("hash"), quoted(text).alias("body"))
+    sketches = settled(chosen.mapInArrow(sketch, f"row bigint, key {kind}, hash bigint, node bigint, cells array<bigint>"))
+    nodes = sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("cells").alias("cells"))
+    cells = settled(nodes.select("node", "row", F.explode("cells").alias("cell")))
+    least = cells.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    roots = components(cells.join(least, "cell").filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    one = sketches.groupBy("node").agg(F.min("row").alias("row")).join(roots, "node")
+    texts = one.join(chosen.select("row", "body"), "row").select("root", "node", "body")
+    groups = texts.mapInArrow(sets_of, "root bigint, node bigint, shingles binary").groupBy("root")
+    found = groups.applyInArrow(verified, "node bigint, class bigint")
+    return sketches.drop("cells").join(found, "node", "left").select("row", "key", "hash", F.coalesce("class", "node").alias("class"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `df` for each component of texts that share `SIMILAR` of their five-word shingles, all links verified.
+
+    Of a component's rows, the one with the least key stays, null keys last; ties go by the hash of the text. Rows are
+    told apart by a number of their own, so repeated and null keys lose and keep nothing else.
+    """
+    row = fresh("_row", df.columns)
+    folder = work_dir(df.sparkSession, "numbered")
+    df.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder)
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "hash", "row")
+    first = similar_classes(rows, row, key, text).groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_first"))
+    return rows.join(first, quoted(row) == first["_first"], "left_semi").drop(row)
+
+
+
 def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = grouped(fingerprints(table(spark, sf_dir, "documents")))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
