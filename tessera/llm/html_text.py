@@ -3,9 +3,11 @@
 A page is parsed to a tree with the end tags that HTML implies. Elements that are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments by their tag, role, class or id are cut away. For every
 node left, the density is its characters outside links per tag outside links, and its density sum is the sum of its
-children's densities; the subtree with the greatest sum is the article, widened to the <article> or <main> that
-holds it or narrowed to the best one that it holds. The least density on the path from the body to that subtree is
-the threshold under which a container within it that is mostly links goes too. Everything else in it is kept.
+children's densities. The least density on the path from the body to the subtree with the greatest sum is the
+threshold. The article is the <article> or <main> that holds this subtree, or the best one that it holds. On pages
+without, the best subtree of every node that is reached from the body over nodes at or above the threshold belongs to
+it, and the article is the least subtree that holds them all, headings and short blocks between them included. Within
+the article, a container under the threshold that is mostly links goes too. Everything else in it is kept.
 
 Defined results: a null or empty page has an empty text. Pages without a tag give their whole text. Ties between
 density sums go to the node that starts first. Repeated rows are extracted alike; an empty table gives an empty
@@ -208,7 +210,9 @@ def main_text(source: str | None) -> str:
         holders = [i for i in range(n) if inside[i] and not cut[i] and tag[i] in ("article", "main") and not any(tag[j] in ("article", "main") for j in _path(parent[i], region, parent))]
         if holders:
             region = max(holders, key=lambda i: (sums[i], -i))
-            inside = _below(region, parent)
+        else:
+            region = _around(_dense(tag, parent, cut, density, sums, threshold) | {best}, parent)
+        inside = _below(region, parent)
     dropped = [False] * n
     for i in range(1, n):
         sparse = inside[i] and i != region and tag[i] in ("ul", "ol", "div", "section", "table", "dl") and density[i] < threshold and 2 * link_chars[i] > chars[i]
@@ -217,6 +221,33 @@ def main_text(source: str | None) -> str:
     return " ".join(out.split())
 
 
+def _dense(tag: list[str], parent: list[int], cut: list[bool], density: list[float], sums: list[float], threshold: float) -> set[int]:
+    """The best subtrees of every node that is reached from the root over nodes at or above the threshold."""
+    best = list(range(len(parent)))
+    for i in range(len(parent) - 1, 0, -1):
+        if not cut[i]:
+            best[parent[i]] = min(best[parent[i]], best[i], key=lambda k: (-sums[k], k))
+    reached, found = [True] + [False] * (len(parent) - 1), set()
+    for i in range(1, len(parent)):
+        reached[i] = reached[parent[i]] and not cut[i] and (tag[i] == "html" or density[i] >= threshold)
+        if reached[i] and tag[i] != "html" and sums[best[i]] > 0:
+            found.add(best[i])
+    return found
+
+
+def _around(nodes: set[int], parent: list[int]) -> int:
+    """The least subtree that holds all `nodes`."""
+    if not nodes:
+        return 0
+    held = [0] * len(parent)
+    for i in range(len(parent) - 1, 0, -1):
+        held[i] += i in nodes
+        if held[i] == len(nodes):
+            return i
+        held[parent[i]] += held[i]
+    return 0
+
+
 def _below(top: int, parent: list[int]) -> list[bool]:
     inside = [False] * len(parent)
     inside[top] = True
