@@ -1,8 +1,9 @@
 """The main text of web pages, by composite text density.
 
 A page is parsed to a tree with the end tags that HTML implies. Elements that are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments by their tag, role, class or id are cut away. For every
-node left, the density is its characters outside links per tag outside links, and its density sum is the sum of its
+notices, adverts, forms, scripts, styles or reader comments by their tag, role, class or id are cut away: a class or
+id by its whole name (`cookie-bar`), and where it only holds such a word (`related-work`) if the element is mostly
+links. For every node left, the density is its characters outside links per tag outside links, and its density sum is the sum of its
 children's densities. The least density on the path from the body to the subtree with the greatest sum is the
 threshold. The article is the <article> or <main> that holds this subtree, or the best one that it holds. On pages
 without, the best subtree of every node that is reached from the body over nodes at or above the threshold belongs to
@@ -38,11 +39,14 @@ CLOSES_P = frozenset(
 )
 FURNITURE = frozenset("head nav aside footer form script style noscript template iframe button select textarea title svg canvas object dialog menu audio video noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|comment|comments|disqus|respond|replies|discussion|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Parts of class names and ids that name furniture wherever all other parts are `STRUCTURE`.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr popup modal overlay newsletter subscribe sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus toolbar pagination pager login signup widget widgets topbar".split()
 )
-HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|topbar|site-title)(?:$|[\s_-])", re.IGNORECASE)
+#: Parts that name furniture or the subject of a text: alone or beside other words, only links confirm them.
+DOUBTFUL = frozenset("notice notices notification alert promotion subscription side menu respond replies discussion share sharing social related recommended recommendations search header".split())
+STRUCTURE = frozenset("area bar block bottom box button buttons center container content fixed global group header holder inner item items left link links list main outer page panel post posts primary reader right row secondary section site slot sticky text title top user wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: An open element of the first kind is closed by the opening of one of the second, unless one of the third lies between.
 IMPLIED = {
@@ -62,7 +66,9 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.IGNORECASE)
+#: One attribute: its whole name and, if any, its value.
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?|.", re.DOTALL)
+_PART = re.compile(r"[\s_-]+")
 
 
 class _Page:
@@ -73,6 +79,8 @@ class _Page:
         #: (node, text), or (-1, "") where a block begins or ends
         self.texts: list[tuple[int, str]] = []
         self.in_article = [False]
+        #: Nodes whose class or id may name furniture.
+        self.doubtful: list[int] = []
         #: How many elements of each name are open, so that no search for one that isn't runs up a deep stack.
         self.open: dict[str, int] = defaultdict(int)
         self._parse(source)
@@ -111,7 +119,10 @@ class _Page:
             tag.append(name)
             parent.append(above)
             self.in_article.append(self.in_article[above] or name in ("article", "main"))
-            cut.append(cut[above] or self._furniture(name, attributes, self.in_article[above]))
+            verdict = cut[above] or self._furniture(name, attributes, self.in_article[above])
+            cut.append(bool(verdict))
+            if verdict is None:
+                self.doubtful.append(node)
             if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
                 continue
             if name in RAW:
@@ -138,7 +149,8 @@ class _Page:
             i -= 1
 
     @staticmethod
-    def _furniture(name: str, attributes: str, in_article: bool) -> bool:
+    def _furniture(name: str, attributes: str, in_article: bool) -> bool | None:
+        """Whether an element is cut; None if that is for its links to say."""
         if name in FURNITURE:
             return True
         if name in ("html", "body", "main", "article"):
@@ -147,16 +159,26 @@ class _Page:
             return True
         if not attributes:
             return False
+        seen, doubtful = set(), False
         for a in _ATTRIBUTE.finditer(attributes):
-            what, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            what, value = (a[1] or "").lower(), a[2] or a[3] or a[4] or ""
+            if what in seen:
+                continue  # the first of a name counts
+            seen.add(what)
             if what == "hidden":
                 return True
             if what == "role":
                 if value.strip().lower() in ROLES:
                     return True
-            elif NAMES.search(value) or (not in_article and HEADER_NAMES.search(value)):
-                return True
-        return False
+            elif what == "class" or what == "id" and name not in HEADINGS:
+                for word in value.lower().split():
+                    parts = {x for x in _PART.split(word) if x and not x.isdigit()}
+                    if parts & NAMES and parts <= NAMES | DOUBTFUL | STRUCTURE:
+                        return True
+                    if not in_article and "header" in parts and parts <= {"header", "site", "top", "global", "main"} or not in_article and word == "site-title":
+                        return True
+                    doubtful = doubtful or bool(parts & (NAMES | DOUBTFUL))
+        return None if doubtful else False
 
 
 def main_text(source: str | None) -> str:
@@ -180,6 +202,21 @@ def main_text(source: str | None) -> str:
             size = len("".join(text.split()))
             chars[node] += size
             link_chars[node] += size * in_link[node]
+    if page.doubtful:
+        all_chars, all_links = list(chars), list(link_chars)
+        for i in range(n - 1, 0, -1):
+            all_chars[parent[i]] += all_chars[i]
+            all_links[parent[i]] += all_links[i]
+        for i in page.doubtful:
+            # A link by itself, or in one, is no list of links.
+            cut[i] = cut[i] or not in_link[i] and 2 * all_links[i] > all_chars[i]
+        for i in range(1, n):
+            if cut[parent[i]] and not cut[i]:
+                cut[i] = True
+        texts = [(node, text) for node, text in texts if node < 0 or not cut[node]]
+        for i in range(n):
+            if cut[i]:
+                chars[i] = link_chars[i] = 0
     tags, link_tags = [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         if not cut[i]:
