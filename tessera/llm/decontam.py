@@ -1,24 +1,25 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are reduced to lower-case letters and digits with one space between runs. A benchmark item is cut into
-overlapping segments of `SEGMENT` characters (a shorter item is one). A document is contaminated by an item if it
-holds one of the item's segments within an edit distance of `share` of the segment's length.
+segments of `SEGMENT` characters that start at every word, and the last (a shorter item is one). A document is
+contaminated by an item if it holds one of the item's segments within an edit distance of `share` of the segment's
+length, so an excerpt counts wherever it begins and ends. Items with fewer than `LEAST` characters count where the
+document holds them as whole words.
 
 A stretch that is within k edits of a segment of m characters shares at least ``m - q + 1 - k * q`` of its q-grams,
 all on at most k + 1 neighbouring diagonals. So, in this order and with no candidate lost:
 
-1. q-grams of the document that occur in no segment are passed over (one bit per hash first, then the hash itself).
+1. q-grams of the document that occur in no item are passed over (one bit per hash first, then the hash itself).
 2. Where no window as long as the longest stretch holds the bound's number of the others, the document is done with.
-3. In what is left, shared q-grams are counted by segment in bands of 2k + 1 diagonals that overlap by k; bands that
-   reach the bound are retained.
-4. Each retained region is verified by a banded alignment of the whole segment.
+3. In what is left, shared q-grams are counted by item in two neighbouring bands of k + 1 diagonals; in bands that
+   reach the bound, segments that reach it are retained.
+4. Each retained region is verified by a banded alignment of the whole segment, the costs of many at once first.
 
 Hashes only nominate; the alignment decides. The benchmark is read in blocks of `BLOCK_CHARS` characters, and each
 block is one pass over the documents, so that what a task holds doesn't grow with the benchmark. Documents never
 move: there is no shuffle.
 
-Defined results: null and empty texts are clean. Items with fewer than `LEAST` characters, null ones included, match
-nothing. Repeated items and rows are each reported. An empty benchmark leaves every document clean; an empty table
+Defined results: null and empty texts are clean. Items without letters and digits, null ones included, match nothing. Repeated items and rows are each reported. An empty benchmark leaves every document clean; an empty table
 gives an empty result. Extra columns pass through `clean` and are left out of `contaminated`.
 """
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import quoted, table
 
-Q = 10
-SEGMENT = 120
-STEP = 60
-SHARE = 0.06
-#: Characters that an item must have to be looked for.
+Q = 7
+SEGMENT = 60
+SHARE = 0.1
+#: Items with fewer characters are looked for exactly, as whole words.
 LEAST = 40
 BLOCK_CHARS = 20_000_000
+#: Characters of a text that are searched at once.
+PIECE = 8192
+#: Regions that are verified together.
+TOGETHER = 4096
 _BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -70,47 +74,58 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Segments:
-    """Segments of a block of items, and where each q-gram occurs in them."""
+    """Items of a block cut into segments, and where each q-gram occurs in the items."""
 
     item: list[int]
     begin: list[int]
     codes: list[np.ndarray]
+    #: By place in the block, for items that are no phrases: the first segment, and those after the last.
+    first: np.ndarray
     grams: np.ndarray  # sorted, one for each occurrence
-    gram_segment: np.ndarray
+    gram_owner: np.ndarray
     gram_at: np.ndarray
     bits: np.ndarray
     share: float
-    least: int  # the lowest bound of any segment
+    most: np.ndarray  # edits of a segment of each item
+    bounds: np.ndarray  # shared q-grams of a segment of each item, at least
+    phrases: dict[int, dict[str, list[int]]]  # short items by number of words; their numbers follow the segments'
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], share: float = SHARE) -> Segments:
-        owner, begin, codes = [], [], []
+        owner, begin, codes, first, whole, short = [], [], [], [], [], []
         for item, text in items:
             c = codes_of(text)
             if len(c) < LEAST:
+                if text:
+                    short.append((item, text))
                 continue
-            starts = [0] if len(c) <= SEGMENT else sorted({*range(0, len(c) - SEGMENT, STEP), len(c) - SEGMENT})
-            for s in starts:
+            first.append(len(codes))
+            whole.append(c)
+            words = [0, *(np.flatnonzero(c == 32) + 1).tolist()]
+            for s in [0] if len(c) <= SEGMENT else sorted({*(w for w in words if w < len(c) - SEGMENT), len(c) - SEGMENT}):
                 owner.append(item)
                 begin.append(s)
                 codes.append(c[s : s + SEGMENT])
-        hashes = [gram_hashes(c) for c in codes]
+        hashes = [gram_hashes(c) for c in whole]
         grams = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        segment = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
+        of_gram = np.repeat(np.arange(len(whole)), [len(h) for h in hashes])
         at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
         order = np.argsort(grams, kind="stable")
         bits = np.zeros(1 << _BITS, bool)
         bits[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        out = cls(owner, begin, codes, grams[order], segment[order], at[order], bits, share, 1)
-        return replace(out, least=min(map(out.bound, range(len(codes))), default=1))
+        lengths = np.array([min(len(c), SEGMENT) for c in whole], np.int64)
+        most = (lengths * share).astype(np.int64)
+        phrases: dict[int, dict[str, list[int]]] = {}
+        for k, (item, text) in enumerate(short):
+            owner.append(item)
+            begin.append(0)
+            phrases.setdefault(text.count(" ") + 1, {}).setdefault(text, []).append(len(codes) + k)
+        first = np.array([*first, len(codes)], np.int64)
+        return cls(owner, begin, codes, first, grams[order], of_gram[order], at[order], bits, share, most, np.maximum(1, lengths - Q + 1 - most * Q), phrases)
 
     def edits(self, segment: int) -> int:
         return int(len(self.codes[segment]) * self.share)
 
-    def bound(self, segment: int) -> int:
-        m, k = len(self.codes[segment]), self.edits(segment)
-        return max(1, m - Q + 1 - k * Q)
-
 
 def banded_alignment(segment: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """The fewest edits, `most` at most, that turn `segment` into a stretch of `text`, with its begin and end.
@@ -146,6 +161,79 @@ def banded_alignment(segment: np.ndarray, text: np.ndarray, low: int, high: int,
 
 def matches(text: str, segments: Segments) -> list[tuple[int, int, int, int]]:
     """Segment, begin, end and edits of every verified region of a reduced text, one for each segment: the best."""
+    return matches_of([text], segments)[0]
+
+
+def matches_of(texts: list[str], segments: Segments) -> list[list[tuple[int, int, int, int]]]:
+    """`matches` of each text; regions of many texts are verified together."""
+    best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+    held: list[tuple[int, int, int, int, np.ndarray]] = []
+
+    def verify() -> None:
+        for which, seg, low, first, codes in _plausible(held, segments):
+            k = segments.edits(seg)
+            found = banded_alignment(segments.codes[seg], codes, low - first, low - first + 4 * k + 1, k)
+            if found:
+                found = (found[0], found[1] + first, found[2] + first)
+                if seg not in best[which] or found < best[which][seg]:
+                    best[which][seg] = found
+        held.clear()
+
+    for which, text in enumerate(texts):
+        # Pieces overlap by the longest stretch, so each stretch lies whole in one.
+        for at in range(0, len(text), PIECE):
+            for seg, low, first, codes in _near(text[at : at + PIECE + 2 * SEGMENT], segments):
+                held.append((which, seg, low + at, first + at, codes))
+            if len(held) >= TOGETHER:
+                verify()
+    verify()
+    return [[(seg, begin, end, edits) for seg, (edits, begin, end) in sorted(own.items())] + _exact(text, segments.phrases) for text, own in zip(texts, best, strict=True)]
+
+
+def _plausible(held: list[tuple[int, int, int, int, np.ndarray]], segments: Segments) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """The regions whose best alignment has few enough edits, by the costs alone."""
+    by_length: dict[int, list[int]] = {}
+    for n, h in enumerate(held):
+        by_length.setdefault(len(segments.codes[h[1]]), []).append(n)
+    for m, own in by_length.items():
+        k = segments.edits(held[own[0]][1])
+        width = 4 * k + 2
+        for at in range(0, len(own), TOGETHER):
+            some = own[at : at + TOGETHER]
+            text = np.full((len(some), m + width - 1), 2**32 - 1, np.uint32)
+            for row, n in zip(text, some, strict=True):
+                _, _, low, first, codes = held[n]
+                part = codes[: m + width - 1 - (first - low)]
+                row[first - low : first - low + len(part)] = part
+            text = np.ascontiguousarray(text.T)
+            item = np.ascontiguousarray(np.array([segments.codes[held[n][1]] for n in some]).T)
+            steps = np.arange(width, dtype=np.int16)[:, None]
+            cost = np.zeros((width, len(some)), np.int16)
+            for i in range(m):
+                new = cost + (text[i : i + width] != item[i])
+                np.minimum(new[:-1], cost[1:] + 1, out=new[:-1])
+                cost = (np.minimum.accumulate(new - steps, axis=0) + steps).astype(np.int16)
+            yield from (held[some[j]] for j in np.flatnonzero(cost.min(axis=0) <= k).tolist())
+
+
+def _exact(text: str, phrases: dict[int, dict[str, list[int]]]) -> list[tuple[int, int, int, int]]:
+    """The first place of every short item that the text holds as whole words."""
+    if not phrases or not text:
+        return []
+    words, at = text.split(" "), [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    found: dict[int, tuple[int, int, int, int]] = {}
+    for n, known in phrases.items():
+        for i in range(len(words) - n + 1):
+            phrase = text[at[i] : at[i + n] - 1]
+            for k in known.get(phrase, ()):
+                found.setdefault(k, (k, at[i], at[i + n] - 1, 0))
+    return sorted(found.values())
+
+
+def _near(text: str, segments: Segments) -> list[tuple[int, int, int, np.ndarray]]:
+    """Segments with enough q-grams in a band of diagonals: the least diagonal, and begin and codes of the region."""
     if not segments.codes:
         return []
     codes = codes_of(text)
@@ -153,56 +241,47 @@ def matches(text: str, segments: Segments) -> list[tuple[int, int, int, int]]:
     if not len(hashes):
         return []
     hit = segments.bits[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)]
-    least = segments.least
-    if np.count_nonzero(hit) < least:
+    least = int(segments.bounds.min())
+    # A stretch has at most `span` q-grams; only positions in a window with enough hits can be part of one.
+    span = max(1, SEGMENT + int(segments.most.max()) - Q + 1)
+    before = np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))
+    ends = np.minimum(np.arange(len(hit)) + span, len(hit))
+    full = before[ends] - before[:-1] >= least
+    if not full.any():
         return []
-    positions = np.flatnonzero(hit)
+    starts = np.concatenate(([0], np.cumsum(full, dtype=np.int64)))
+    # A position is in a full window if one starts at it or up to span - 1 before.
+    part = hit & (starts[1:] > starts[np.maximum(np.arange(len(hit)) - span + 1, 0)])
+    positions = np.flatnonzero(part)
     left = np.searchsorted(segments.grams, hashes[positions], "left")
-    right = np.searchsorted(segments.grams, hashes[positions], "right")
-    positions, left, right = positions[right > left], left[right > left], right[right > left]
-    if len(positions) < least:
-        return []
-    # A stretch is at most `span` q-grams long; only positions in a window with enough hits can be part of one.
-    span = int(SEGMENT * (1 + segments.share)) + 1
-    ahead = np.searchsorted(positions, positions + span, "left")
-    full = np.flatnonzero(ahead - np.arange(len(positions)) >= least)
-    if not len(full):
+    counts = np.searchsorted(segments.grams, hashes[positions], "right") - left
+    which = np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    if not len(which):
         return []
-    mark = np.zeros(len(positions) + 1, np.int64)
-    np.add.at(mark, full, 1)
-    np.add.at(mark, ahead[full], -1)
-    part = np.cumsum(mark[:-1]) > 0
-    positions, left, right = positions[part], left[part], right[part]
-    counts = right - left
-    which = np.repeat(left, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    segment = segments.gram_segment[which]
-    place = np.repeat(positions, counts)
-    diagonal = place - segments.gram_at[which]
+    owner, at = segments.gram_owner[which], segments.gram_at[which]
+    # Two bands of k + 1 diagonals each hold any k + 1 neighbours.
+    band = (np.repeat(positions, counts) - at) // (segments.most[owner] + 1)
+    lowest, long = int(band.min()), int(at.max()) + 1
+    wide = int(band.max()) - lowest + 2
+    packed = np.sort((owner * wide + band - lowest) * long + at)
+    name = packed // long
+    cuts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1], [True])))
+    names, counts = name[cuts[:-1]], np.diff(cuts)
+    both = counts.copy()
+    both[:-1] += np.where(names[1:] == names[:-1] + 1, counts[1:], 0)
     out = []
-    order = np.lexsort((diagonal, segment))
-    segment, diagonal = segment[order], diagonal[order]
-    cuts = np.flatnonzero(np.diff(segment)) + 1
-    for own in np.split(np.arange(len(segment)), cuts):
-        seg = int(segment[own[0]])
-        k, bound = segments.edits(seg), segments.bound(seg)
-        if len(own) < bound:
-            continue
-        d = diagonal[own]
-        best = None
-        # Bands of 2k + 1 diagonals, k + 1 apart: any k + 1 neighbours lie within one.
-        band = d // (k + 1)
-        for b in np.unique(np.concatenate((band, band - 1))).tolist():
-            low, high = b * (k + 1), b * (k + 1) + 2 * k
-            if np.searchsorted(d, high, "right") - np.searchsorted(d, low, "left") < bound:
-                continue
+    for g in np.flatnonzero(both >= segments.bounds[names // wide]).tolist():
+        own, b = divmod(int(names[g]), wide)
+        k, bound = int(segments.most[own]), int(segments.bounds[own])
+        places = np.sort(packed[cuts[g] : cuts[g] + both[g]] % long)
+        begins = np.array(segments.begin[segments.first[own] : segments.first[own + 1]])
+        m = len(segments.codes[segments.first[own]])
+        enough = np.searchsorted(places, begins + m - Q, "right") - np.searchsorted(places, begins, "left") >= bound
+        for s in np.flatnonzero(enough).tolist():
+            seg = int(segments.first[own]) + s
+            low = (b + lowest) * (k + 1) + int(begins[s])
             first = max(low - k, 0)
-            m = len(segments.codes[seg])
-            region = codes[first : high + k + m]
-            found = banded_alignment(segments.codes[seg], region, low - k - first, high + k - first, k)
-            if found and (best is None or (found[0], found[1] + first) < best[:2]):
-                best = (found[0], found[1] + first, found[2] + first)
-        if best:
-            out.append((seg, best[1], best[2], best[0]))
+            out.append((seg, low - k, first, codes[first : max(first, low + 3 * k + 1 + m)]))
     return out
 
 
@@ -240,11 +319,11 @@ def _reporter(segments: Segments, key: str):
     names = [key, "item_id", "n_segments", "text_begin", "text_end", "edits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in _slices(whole)):
             rows, values = [], []
-            for i, t in enumerate(batch.column(1)):
+            for i, found_in in enumerate(matches_of([reduced(t.as_py()) for t in batch.column(1)], segments)):
                 by_item: dict[int, list[tuple[int, int, int]]] = {}
-                for seg, begin, end, edits in matches(reduced(t.as_py()), segments):
+                for seg, begin, end, edits in found_in:
                     by_item.setdefault(segments.item[seg], []).append((begin, end, edits))
                 for item, found in sorted(by_item.items(), key=lambda x: (x[0] is None, x[0])):
                     rows.append(i)
@@ -256,15 +335,21 @@ def _reporter(segments: Segments, key: str):
     return run
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, 500):
+        yield batch.slice(at, 500)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: float = SHARE) -> DataFrame:
-    """The rows of `docs` that hold no segment of any item."""
+    """The rows of `docs` that hold no segment of any item, and no short item."""
     at = docs.columns.index(text)
     for items in blocks(benchmark):
         segments = Segments.of(items, share)
 
         def run(batches: Iterator[pa.RecordBatch], segments: Segments = segments) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not matches(reduced(t.as_py()), segments) for t in batch.column(at)], pa.bool_()))
+                for some in _slices(batch):
+                    yield some.filter(pa.array([not m for m in matches_of([reduced(t.as_py()) for t in some.column(at)], segments)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
