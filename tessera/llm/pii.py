@@ -10,7 +10,8 @@ Each kind is a permutation of its own domain:
 * digits and letters (cards, phones, IBANs, mail names, secrets): the string is cut in two halves; in each round every
   character of one half moves within its class (digits, small letters, capitals) by a keyed hash of the other half,
   the round and its place. Check digits are computed anew.
-* IP addresses: two 16-bit halves. Dates: days of a 400-year cycle (1800 to 2199) as 189 x 773. Social security
+* IP addresses: two 16-bit halves. Dates: days of a 400-year cycle (1800 to 2199) as 189 x 773; slashed dates are read
+  month first, and where that is no date day first, which permutes the cycle's days after the 12th as 9 x 9833. Social security
   numbers: 898 areas x 989,901 groups and serials. Each round adds a keyed hash of one part to the other.
 
 Defined results: a null text stays null, an empty one empty. A text without personal data is returned as it is.
@@ -30,11 +31,25 @@ ROUNDS = 8
 #: The key of the registered query; production passes its own.
 DEMO_KEY = "a key for demonstrations only"
 
+# The length of an IBAN by country, as the registry has it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form() -> str:
+    """IBANs as long as their country's; if none fits, of any length, so that no word after one is taken for its end."""
+    groups = lambda n: f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    known = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}{groups(n - 4)}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
+
+
 # The form of each kind, in the order in which they are tried.
 KINDS = {
     "secret": r"(?i:(?<![a-z])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"'][a-z0-9_+/=-]{12,200}[\"'])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_form(),
     "ip": r"(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\w/])|(?<![\w./])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
@@ -179,6 +194,25 @@ def _ip(v: Column, key: Column, back: bool) -> Column:
     return _let(p, lambda x: F.concat_ws(".", F.shiftright(x["a"], 8).cast("string"), (x["a"] % 256).cast("string"), F.shiftright(x["b"], 8).cast("string"), (x["b"] % 256).cast("string")))
 
 
+def _late_day(v: Column, first: Column, key: Column, back: bool) -> Column:
+    """A slashed date that can only be read day first, as another: days from the 13th on, 9 x 9833 in the cycle."""
+    day = F.to_date(F.try_to_timestamp(F.concat_ws("-", F.substring(v, 7, 4), F.substring(v, 4, 2), F.substring(v, 1, 2)), F.lit("yyyy-MM-dd")))
+    # Twelve days of each month before, and of this one, are left out of the count.
+    start = lambda month: F.datediff(F.add_months(first, month), first) - 12 * month
+
+    def written(n: Column) -> Column:
+        near = F.floor(n * 4800 / 88_497).cast("int")
+        month = F.element_at(F.filter(F.sequence(near - 3, near + 3), lambda m: start(m) <= n), -1)
+        return _let(month, lambda m: F.date_format(F.date_add(F.add_months(first, m), (n - start(m) + 12).cast("int")), "dd/MM/yyyy"))
+
+    def moved(n: Column) -> Column:
+        p = permute_pair((n / 9833).cast("int"), 9, n % 9833, 9833, key, "late day", back)
+        return _let(_let(p, lambda x: x["a"] * 9833 + x["b"]), written)
+
+    index = F.datediff(day, first) - 12 * ((F.year(day) - 1800) * 12 + F.month(day))
+    return F.when((F.dayofmonth(day) > 12) & F.year(day).between(1800, 2199), _let(index, moved)).otherwise(v)
+
+
 def _date(v: Column, key: Column, back: bool) -> Column:
     iso, slashed = v.rlike("^[0-9]{4}-"), v.rlike("/")
     at = lambda i, n: F.substring(v, i, n)
@@ -189,7 +223,7 @@ def _date(v: Column, key: Column, back: bool) -> Column:
     def moved(days: Column) -> Column:
         p = permute_pair((days / 773).cast("int"), 189, days % 773, 773, key, "date", back)
         out = _let(_let(p, lambda x: F.date_add(first, (x["a"] * 773 + x["b"]).cast("int"))), lambda day: F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(slashed, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy")))
-        return F.when(days.between(0, 146_096), out).otherwise(v)
+        return F.when(days.between(0, 146_096), out).when(days.isNull() & slashed, _late_day(v, first, key, back)).otherwise(v)
 
     return _let(since, moved)
 
