@@ -36,10 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return str(current.get()).rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so that a lost executor loses nothing."""
+def settled(df: DataFrame, files: int | None = None) -> DataFrame:
+    """`df` computed once and kept in the shared folder, so that a lost executor loses nothing.
+
+    `files` is the number of files at most, for tables whose size is known to be small for it.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if files is None else df.coalesce(files)).checkpoint(eager=True)
 
 
 def work_dir(spark: SparkSession, what: str) -> str:

@@ -9,15 +9,18 @@
    of the bits it has not used yet, under the same argument.
 3. Inside a shard, a vantage-point tree over the whole fingerprints finds the pairs: distances to a vantage point
    split the set, both halves are searched on their own, and only points within `RADIUS` of the split are compared
-   across it. Points that the vantage point itself links are one component already and are not compared among
-   themselves, so a dense group costs no square.
-4. A shard emits a forest (at most one link per fingerprint), never all pairs. The components of these links come
+   across it. Points that the vantage point itself links are one component already: they are compared with what lies
+   around until it is linked, and not among themselves.
+4. Shards that are dealt again and still hold more than `SHARD_ROWS` are dense groups. Their fingerprints are linked
+   through the points midway between them, which needs no comparisons and no shard at all (`_dense_links`).
+5. A shard emits a forest (at most one link per fingerprint), never all pairs. The components of these links come
    from alternating large-star and small-star steps, settled in the shared folder after each round.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other.
-Repeated rows share a component. A null id never names a component unless the component has no other id, and then
-the component is null. An empty table gives an empty result. Extra columns are left out of `fingerprints` and pass
-through `keep_first`.
+Very long texts are hashed whole, a block of shingles at a time. Repeated rows share a component. Ties between ids
+that could name a component don't arise: the least does. A null id never names a component unless the component has
+no other id, and then the component is null. An empty table gives an empty result. Extra columns, also such as are
+called like columns of the result, are left out of `fingerprints` and pass through `keep_one`.
 
 `keep_one` is what the corpus pipeline calls: one text of each component of exact five-word similarity. A radius that
 reaches it leaves the triangle bound nothing to pass over, so candidates are dealt by min-hash cells instead, and the
@@ -27,11 +30,12 @@ vantage points work on the shingle sets themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, quoted, settled, table, work_dir
@@ -41,8 +45,8 @@ RADIUS = 4
 SHARD_ROWS = 20_000
 #: Sets that are compared pair by pair within the tree.
 LEAF = 512
-#: Rounds of dealing anew; after these, a shard's fingerprints agree in so many bits that few can exist.
-ROUNDS = 4
+#: Files of a small settled table at least, and links in a file of a large one.
+FEW, FILE_ROWS = 8, 250_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -87,60 +91,94 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 class _Forest:
-    """Union-find over 0..n-1 that remembers the links that joined two trees."""
+    """Union-find over 0..n-1 that remembers the links that joined two trees. A tree's root is its least member."""
 
     def __init__(self, n: int):
         self.up = np.arange(n)
-        self.links: list[tuple[int, int]] = []
+        self.links: list[np.ndarray] = []
 
     def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
+        return int(self.roots(np.array([i]))[0])
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        root = self.up[nodes]
+        while not np.array_equal(above := self.up[root], root):
+            root = above
+        self.up[nodes] = root
+        return root
 
     def join(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((i, j))
+        self.join_all(np.array([i]), np.array([j]))
 
     def join_all(self, left: np.ndarray, right: np.ndarray) -> None:
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            self.join(i, j)
+        """Joins `left[k]` with `right[k]`; of links between the same trees, one is remembered."""
+        while True:
+            a, b = self.roots(left), self.roots(right)
+            apart = a != b
+            if not apart.any():
+                return
+            left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            # Every root with lesser ones beside it goes under the least, so no round makes a circle.
+            order = np.lexsort((low, high))
+            first = order[np.concatenate(([True], np.diff(high[order]) != 0))]
+            self.up[high[first]] = low[first]
+            self.links.append(np.stack([left[first], right[first]], axis=1))
+
+    def pairs(self) -> np.ndarray:
+        """All remembered links, as rows of two."""
+        return np.concatenate(self.links) if self.links else np.empty((0, 2), np.int64)
+
+
+#: Pairs whose distances are held at once.
+_AT_ONCE = 2_000_000
 
 
 def _across(points: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, forest: _Forest) -> None:
-    """Joins the pairs within `radius` that have one end in `left` and one in `right`."""
-    if len(left) > len(right):
-        left, right = right, left
-    if not len(left):
-        return
-    if len(left) * len(right) <= LEAF * LEAF or len(left) <= 16:
-        for at in range(0, len(left), max(1, 4_000_000 // len(right))):
-            some = left[at : at + max(1, 4_000_000 // len(right))]
-            near = np.bitwise_count(points[some][:, None] ^ points[right][None, :]) <= radius
-            i, j = np.nonzero(near)
+    """Joins the pairs within `radius` that have one end in `left` and one in `right`, vantage point by vantage point."""
+    stack = [(left, right)]
+    while stack:
+        left, right = stack.pop()
+        if len(left) > len(right):
+            left, right = right, left
+        if not len(left):
+            continue
+        near_a = None
+        if len(left) * len(right) > LEAF * LEAF and len(left) > 16:
+            vantage = points[left[len(left) // 2]]
+            a, b = np.bitwise_count(points[left] ^ vantage).astype(np.int16), np.bitwise_count(points[right] ^ vantage).astype(np.int16)
+            middle = int(np.median(a))
+            near_a = a <= middle
+            near_b, far_b = b <= middle + radius, b > middle - radius
+            # A split that leaves both sides nearly whole is not worth the recursion.
+            if near_a.all() or 10 * (near_a.sum() * near_b.sum() + (~near_a).sum() * far_b.sum()) > 9 * len(left) * len(right):
+                near_a = None
+        if near_a is not None:
+            stack += [(left[near_a], right[near_b]), (left[~near_a], right[far_b])]
+            continue
+        step = max(1, _AT_ONCE // len(right))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            i, j = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[right][None, :]) <= radius)
             forest.join_all(some[i], right[j])
-        return
-    vantage = points[left[len(left) // 2]]
-    a, b = np.bitwise_count(points[left] ^ vantage).astype(np.int16), np.bitwise_count(points[right] ^ vantage).astype(np.int16)
-    middle = int(np.median(a))
-    near_a, near_b = a <= middle, b <= middle
-    if near_a.all() or (near_b.all() and near_a.all()) or not near_a.any():
-        # The vantage point tells nothing apart: compare in blocks.
-        for x in np.array_split(left, -(-len(left) // LEAF)):
-            for y in np.array_split(right, -(-len(right) // LEAF)):
-                i, j = np.nonzero(np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= radius)
-                forest.join_all(x[i], y[j])
-        return
-    _across(points, left[near_a], right[b <= middle + radius], radius, forest)
-    _across(points, left[~near_a], right[b > middle - radius], radius, forest)
-
-
-def link_forest(points: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (pairs of positions) that join the distinct `points` just as all pairs within `radius` would."""
+
+
+def _around_ball(points: np.ndarray, ball: np.ndarray, ring: np.ndarray, radius: int, forest: _Forest) -> None:
+    """Joins every point of `ring` that is within `radius` of one of `ball`, which is one tree already."""
+    step = max(1, _AT_ONCE // max(1, len(ring)))
+    at = 0
+    while at < len(ball) and len(ring):
+        some = ball[at : at + step]
+        near = np.bitwise_count(points[some][:, None] ^ points[ring][None, :]) <= radius
+        hit = near.any(axis=0)
+        forest.join_all(some[near.argmax(axis=0)[hit]], ring[hit])
+        ring = ring[~hit]
+        at += len(some)
+        step = max(1, _AT_ONCE // max(1, len(ring)))
+
+
+def link_forest(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Links (rows of two positions) that join the distinct `points` just as all pairs within `radius` would."""
     forest = _Forest(len(points))
     stack = [np.arange(len(points))]
     while stack:
@@ -158,7 +196,7 @@ def link_forest(points: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
             # Linked through the vantage point: compared with what lies around, not among themselves.
             inside = own[ball]
             forest.join_all(np.full(len(inside), vantage), inside)
-            _across(points, inside, own[~ball & (d <= 2 * radius)], radius, forest)
+            _around_ball(points, inside, own[~ball & (d <= 2 * radius)], radius, forest)
             stack.append(own[~ball])
             continue
         middle = int(np.median(d))
@@ -168,7 +206,7 @@ def link_forest(points: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
             low = d <= middle
         stack += [own[low], own[~low]]
         _across(points, own[low & (d > middle - radius)], own[~low & (d <= middle + radius)], radius, forest)
-    return forest.links
+    return forest.pairs()
 
 
 def _bands(bits: list[int], n: int) -> list[list[int]]:
@@ -181,67 +219,118 @@ def _take(value: Column, bits: list[int]) -> Column:
     return value.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def _shards(nodes: DataFrame, radius: int) -> DataFrame:
-    """Columns `band` and `cell`, which name a shard, and `fp`: every fingerprint once for each band.
+def _dealt(df: DataFrame, bands: list[list[int]], cell: list[int], first: int) -> DataFrame:
+    """`band` (from `first`), `cell` and `fp`: every fingerprint once for each of `bands`, by its bits there and in `cell`."""
+    shards = F.array(*(F.struct(F.lit(first + k).alias("band"), _take(F.col("fp"), bits + cell).alias("cell")) for k, bits in enumerate(bands)))
+    return df.select("fp", F.explode(shards).alias("s")).select("s.band", "s.cell", "fp")
+
 
-    Shards over `SHARD_ROWS` are dealt again by bands of the bits that they don't agree in yet.
+def _large(dealt: DataFrame) -> DataFrame:
+    """The shards of `dealt` with more than `SHARD_ROWS` fingerprints; there are at most rows / `SHARD_ROWS`."""
+    return dealt.groupBy("band", "cell").count().filter(F.col("count") > SHARD_ROWS).select("band", "cell")
+
+
+def _shards(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame | None]:
+    """Columns `band` and `cell`, which name a shard, and `fp`: every fingerprint once for each band; and, if there are
+    any, the fingerprints (`fp`) of shards that stay over `SHARD_ROWS`.
+
+    A shard over `SHARD_ROWS` is dealt again, by bands of the bits that it doesn't agree in yet; one that is over it
+    still holds a dense group, which no choice of bits takes apart.
     """
-    def deal(df: DataFrame, bands: list[list[int]], label: str) -> DataFrame:
-        return df.select("fp", F.explode(F.array(*(F.struct(F.concat(F.lit(label), F.lit(f"{k}")).alias("band"), _take(F.col("fp"), b).alias("cell")) for k, b in enumerate(bands)))).alias("s")).select("s.band", "s.cell", "fp")
-
-    done = None
-    todo = {"": (deal(nodes, bands := _bands(list(range(64)), radius + 1), ""), bands)}
-    for depth in range(ROUNDS):
-        following = {}
-        for label, (dealt, bands) in todo.items():
-            sizes = dealt.groupBy("band", "cell").count().filter(F.col("count") > SHARD_ROWS)
-            large = settled(sizes)
-            if depth == ROUNDS - 1 or large.isEmpty():
-                done = dealt if done is None else done.unionByName(dealt)
-                continue
-            small = dealt.join(large, ["band", "cell"], "left_anti")
-            done = small if done is None else done.unionByName(small)
-            for k, used in enumerate(bands):
-                name = f"{label}{k}"
-                hot = dealt.filter(F.col("band") == name).join(large, ["band", "cell"], "left_semi")
-                if hot.isEmpty():
-                    continue
-                rest = [b for b in range(64) if b not in used]
-                finer = _bands(rest, radius + 1)
-                again = hot.select("cell", "fp", F.explode(F.array(*(F.struct(F.lit(f"{name}.{j}").alias("band"), _take(F.col("fp"), b + used).alias("cell2")) for j, b in enumerate(finer)))).alias("s"))
-                following[f"{name}."] = (again.select("s.band", F.col("s.cell2").alias("cell"), "fp"), [b + used for b in finer])
-        todo = following
-        if not todo:
-            break
-    return done
+    bands = _bands(list(range(64)), radius + 1)
+    dealt = _dealt(nodes, bands, [], 0)
+    large = settled(_large(dealt), FEW)
+    if large.isEmpty():
+        return dealt, None
+    done, hot = dealt.join(large, ["band", "cell"], "left_anti"), dealt.join(large, ["band", "cell"], "left_semi")
+    again = None
+    for k, used in enumerate(bands):
+        finer = _bands([b for b in range(64) if b not in used], radius + 1)
+        part = _dealt(hot.filter(F.col("band") == k), finer, used, (k + 1) * len(bands))
+        again = part if again is None else again.unionByName(part)
+    again = settled(again)
+    large = settled(_large(again), FEW)
+    if large.isEmpty():
+        return done.unionByName(again), None
+    dense = again.join(large, ["band", "cell"], "left_semi").select("fp").distinct()
+    return done.unionByName(again.join(large, ["band", "cell"], "left_anti")), settled(dense)
+
+
+def _masks(radius: int) -> np.ndarray:
+    """All 64-bit numbers with at most half of `radius` bits set, rounded down."""
+    out = [0]
+    for k in range(1, radius // 2 + 1):
+        out += [sum(1 << b for b in bits) for bits in combinations(range(64), k)]
+    return np.array(out, np.uint64)
+
+
+def _dense_links(dense: DataFrame, radius: int) -> DataFrame:
+    """Links between the distinct fingerprints of `dense` by the points midway, however many are near each other.
+
+    Two fingerprints within an even radius have a point within half of it of both, and any two that share such a point
+    are within the radius: all fingerprints around one point are one component, named by the least. So no two of them
+    are compared, the work is the number of fingerprints times that of masks, and no point's rows need one task.
+    """
+    if radius % 2:
+        raise ValueError("points midway need an even radius")
+    masks = _masks(radius)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for at in range(0, len(fps), 500):
+                some = fps[at : at + 500]
+                midway = (some.view(np.uint64)[:, None] ^ masks[None, :]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(midway.ravel()), pa.array(np.repeat(some, len(masks)))], names=["midway", "fp"])
+
+    around = dense.mapInArrow(spread, "midway bigint, fp bigint")
+    least = around.groupBy("midway").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).filter("u < most").select("midway", "u")
+    return around.join(least, "midway").filter("u < fp").select("u", F.col("fp").alias("v")).distinct()
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links between the distinct fingerprints of `nodes` (column `fp`), as `u` < `v`: a forest per shard."""
+    shards, dense = _shards(nodes, radius)
+
+    def forest(parts: list[np.ndarray]) -> pa.RecordBatch | None:
+        points = np.unique(np.concatenate(parts)).view(np.uint64)
+        found = points.view(np.int64)[link_forest(points, radius)] if len(points) > 1 else ()
+        return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["u", "v"]) if len(found) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Shards lie one after the other; one, of `SHARD_ROWS` at most, is held at a time.
+        name, parts = None, []
         for batch in batches:
-            for band_cell in (batch,):
-                starts = band_cell.column("start").to_numpy()
-                flat = band_cell.column("fps")
-                for k in range(len(starts)):
-                    points = flat[k].values.to_numpy().view(np.uint64)
-                    found = link_forest(points, radius)
-                    if found:
-                        pairs = points.view(np.int64)[np.array(found)]
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["u", "v"])
+            bands, cells, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (bands[1:] != bands[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)], strict=True):
+                if a == b:
+                    continue
+                if (bands[a], cells[a]) != name:
+                    if parts and (out := forest(parts)):
+                        yield out
+                    name, parts = (bands[a], cells[a]), []
+                parts.append(fps[a:b])
+        if parts and (out := forest(parts)):
+            yield out
+
+    found = shards.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(run, "u bigint, v bigint")
+    return found if dense is None else found.unionByName(_dense_links(dense, radius))
+
 
-    groups = _shards(nodes, radius).groupBy("band", "cell").agg(F.count("*").alias("start"), F.array_sort(F.collect_list("fp")).alias("fps")).filter("start > 1")
-    return groups.select("start", "fps").mapInArrow(run, "u bigint, v bigint")
+def _files(rows: int) -> int:
+    return max(FEW, -(-rows // FILE_ROWS))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """`node` and `root` of every node in `pairs` (`u`, `v`): the least node that can be reached from it.
+def components(pairs: DataFrame, nodes: int | None = None) -> DataFrame:
+    """`node` and `root` of every node in `pairs` (`u`, `v`) but the roots: the least node that can be reached from it.
 
-    Alternating large-star and small-star steps; each round reads the links of the last from the shared folder.
+    Alternating large-star and small-star steps; each round reads the links of the last from the shared folder, where
+    they lie in files of about `FILE_ROWS` links, so that few links make few files; `nodes` is the number of nodes, if
+    that is known, and says so for the first round. Ends when a round changes no link.
     """
-    edges = settled(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    edges = settled(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), None if nodes is None else _files(nodes))
+    n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -251,44 +340,34 @@ def components(pairs: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = settled(small.filter("u != v").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        following = settled(small.filter("u != v").distinct(), _files(n))
+        before, n = n, following.count()
+        if n == before and following.join(edges, ["u", "v"], "left_anti").isEmpty():
+            return following.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges = following
 
 
 def grouped(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """`prints` (`key`, `fp`) with `component_id`, the least key reachable over links of at most `radius` bits."""
     prints = settled(prints)
-    nodes = settled(prints.groupBy("fp").agg(F.min(quoted(key)).alias("least")))
-    roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = settled(rooted)
+    rows = prints.count()
+    nodes = settled(prints.groupBy("fp").agg(F.min(quoted(key)).alias("least")), _files(rows))
+    roots = components(links(nodes.select("fp"), radius), rows)
+    # Only fingerprints with a link take part in the joins by root, and their number is small beside all.
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    rooted = nodes.join(linked, nodes["fp"] == linked["node"]).select("fp", "least", "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
+    found = rooted.join(named, "root").select("fp", "component_id", F.lit(True).alias("linked"))
+    by_print = nodes.join(found, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(by_print, "fp")
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of `df` for each group of near-duplicates: the one with the least key.
-
-    Of rows that repeat that key, one stays; of groups without any key, all rows stay.
-    """
-    classes = grouped(fingerprints(df, key, text), key, radius)
-    first = classes.filter(quoted(key) == F.col("component_id")).select(quoted(key).alias("_first")).distinct()
-    rank = fresh("_rank", df.columns)
-    own = df.join(first, quoted(key) == first["_first"], "left_semi")
-    least = Window.partitionBy(quoted(key)).orderBy(F.xxhash64(quoted(text)))
-    kept = own.withColumn(rank, F.row_number().over(least)).filter(F.col(rank) == 1).drop(rank)
-    return kept.unionByName(df.filter(quoted(key).isNull()))
-
-
 #: What the corpus pipeline calls near-duplicates: so many words a shingle, and shared shingles of all shingles of the two.
 WIDTH, SIMILAR = 5, (4, 5)
 #: Min-hashes by which the pipeline deals candidates: two texts at 4/5 miss each other with chance (1 - 0.8^6)^45 = 1e-6.
 CELLS, CELL_HASHES = 45, 6
+#: Texts, and bytes of their shingles, of a candidate component that make a block; a task compares two blocks at most.
+BLOCK_SETS, BLOCK_BYTES = 1500, 24_000_000
 _RANDOM = np.random.default_rng(20)
 _FLIP = _RANDOM.integers(0, 2**64, CELLS * CELL_HASHES, np.uint64)[:, None]
 _TIMES = _RANDOM.integers(0, 2**64, CELLS * CELL_HASHES, np.uint64)[:, None] | np.uint64(1)
@@ -351,7 +430,11 @@ def similar_forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -
 
 
 def similar_classes(rows: DataFrame, row: str, key: str, text: str) -> DataFrame:
-    """`row`, `key`, `hash` (of the text) and `class` of all `rows`: one class for each component of similar texts."""
+    """`row`, `key`, `hash` (of the text) and `class` of all `rows`: one class for each component of similar texts.
+
+    A candidate component of any size is compared in blocks of about `BLOCK_SETS` texts or `BLOCK_BYTES` bytes of shingles at most: every
+    two blocks of it are one task, which emits a forest.
+    """
     kind = rows.schema[key].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,32 +443,42 @@ def similar_classes(rows: DataFrame, row: str, key: str, text: str) -> DataFrame
                 some = batch.slice(at, 1000)
                 sets = [shingle_set(t.as_py()) for t in some.column(3)]
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(nodes), pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))], names=["row", "key", "hash", "node", "cells"])
+                sizes = pa.array([s.nbytes for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(nodes), sizes, pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))], names=["row", "key", "hash", "node", "size", "cells"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
                 sets = pa.array([shingle_set(t.as_py()).tobytes() for t in some.column(2)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*some.columns[:2], sets], names=["root", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(0), *some.columns[3:5], some.column(1), sets], names=["root", "low", "high", "node", "shingles"])
 
     def verified(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_numpy()
-        forest = similar_forest([np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("shingles")])
-        return pa.table({"node": nodes, "class": nodes[[forest.find(i) for i in range(len(nodes))]]})
+        found = similar_forest([np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("shingles")]).pairs()
+        ends = nodes[found] if len(found) else np.empty((0, 2), np.int64)
+        return pa.table({"u": ends.min(axis=1), "v": ends.max(axis=1)})
 
     chosen = rows.select(quoted(row).alias("row"), quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("hash"), quoted(text).alias("body"))
-    sketches = settled(chosen.mapInArrow(sketch, f"row bigint, key {kind}, hash bigint, node bigint, cells array<bigint>"))
-    nodes = sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("cells").alias("cells"))
-    cells = settled(nodes.select("node", "row", F.explode("cells").alias("cell")))
+    sketches = settled(chosen.mapInArrow(sketch, f"row bigint, key {kind}, hash bigint, node bigint, size bigint, cells array<bigint>"))
+    # Rows with one set of shingles are one node.
+    cells = sketches.groupBy("node").agg(F.first("cells").alias("cells")).select("node", F.explode("cells").alias("cell"))
     least = cells.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    roots = components(cells.join(least, "cell").filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")))
+    n = sketches.count()
+    roots = components(cells.join(least, "cell").filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")), n)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    one = sketches.groupBy("node").agg(F.min("row").alias("row")).join(roots, "node")
-    texts = one.join(chosen.select("row", "body"), "row").select("root", "node", "body")
-    groups = texts.mapInArrow(sets_of, "root bigint, node bigint, shingles binary").groupBy("root")
-    found = groups.applyInArrow(verified, "node bigint, class bigint")
-    return sketches.drop("cells").join(found, "node", "left").select("row", "key", "hash", F.coalesce("class", "node").alias("class"))
+    one = sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size")).join(roots, "node")
+    # A candidate component is compared block by block: each node is in the tasks of its block and every other.
+    one = settled(one, _files(n))
+    blocks = one.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS), F.lit(1)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    texts = one.join(blocks, "root").select("row", "root", "node", "blocks", own.alias("own")).join(chosen.select("row", "body"), "row")
+    dealt = texts.select("root", "node", "body", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("root", "node", "body", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    found = dealt.mapInArrow(sets_of, "root bigint, low int, high int, node bigint, shingles binary").groupBy("root", "low", "high").applyInArrow(verified, "u bigint, v bigint")
+    classes = components(found, n)
+    classes = classes.select("node", F.col("root").alias("class"))
+    return sketches.drop("cells").join(classes, "node", "left").select("row", "key", "hash", F.coalesce("class", "node").alias("class"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

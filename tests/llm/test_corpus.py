@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -103,13 +104,28 @@ def test_simhash_forests_and_shards(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 32)
     array = np.array(points, np.uint64)
     forest = simhash._Forest(len(points))
-    for i, j in simhash.link_forest(array):
+    for i, j in simhash.link_forest(array).tolist():
         assert (points[i] ^ points[j]).bit_count() <= 4
         forest.join(i, j)
     assert {i: forest.find(i) for i in range(len(points))} == expected
-    monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
     prints = spark.createDataFrame([(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(points)], "doc_id long, fp long")
-    assert {r.doc_id: r.component_id for r in simhash.grouped(prints).collect()} == expected
+    # Large shards are dealt again; at the smaller size some stay large and are linked by the points midway.
+    for rows, dense in ((400, False), (20, True)):
+        monkeypatch.setattr(simhash, "SHARD_ROWS", rows)
+        assert (simhash._shards(prints.select("fp"), 4)[1] is not None) == dense
+        assert {r.doc_id: r.component_id for r in simhash.grouped(prints).collect()} == expected
+
+
+def test_a_dense_group_is_linked_in_time():
+    rng, points = np.random.default_rng(5), set()
+    while len(points) < 20_000:
+        points.add(sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
+    array, began = np.array(sorted(points), np.uint64), time.time()
+    forest = simhash._Forest(len(array))
+    forest.join_all(*simhash.link_forest(array).T)
+    assert time.time() - began < 10
+    # All have three bits, so those that share one are linked, and all of them are.
+    assert len(set(forest.roots(np.arange(len(array))).tolist())) == 1
 
 
 def test_simhash_edges(spark):
@@ -117,7 +133,6 @@ def test_simhash_edges(spark):
     df = spark.createDataFrame([(5, None, 1), (3, "", 2), (9, "\n", 3), (7, "a b", 4), (None, "A B", 5), (7, "a b", 4), (1, long, 6), (None, "alone", 7)], "doc_id long, text string, fp int")
     found = {(r.doc_id, r.component_id) for r in simhash.grouped(simhash.fingerprints(df)).collect()}
     assert found == {(5, 3), (3, 3), (9, 3), (7, 7), (None, 7), (1, 1), (None, None)}
-    assert sorted((r.doc_id or 0, r.fp) for r in simhash.keep_first(df).collect()) == [(0, 5), (0, 7), (1, 6), (3, 2), (7, 4)]
     assert simhash.grouped(simhash.fingerprints(df.limit(0))).count() == 0
     assert simhash.fingerprint(simhash.shingle_hashes(long, 4)) == brute_fingerprint(long)
 
