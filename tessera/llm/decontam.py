@@ -15,35 +15,43 @@ all on at most k + 1 neighbouring diagonals. So, in this order and with no candi
    reach the bound, segments that reach it are retained.
 4. Each retained region is verified by a banded alignment of the whole segment, the costs of many at once first.
 
-Hashes only nominate; the alignment decides. The benchmark is read in blocks of `BLOCK_CHARS` characters, and each
-block is one pass over the documents, so that what a task holds doesn't grow with the benchmark. Documents never
-move: there is no shuffle.
-
-Defined results: null and empty texts are clean. Items without letters and digits, null ones included, match nothing. Repeated items and rows are each reported. An empty benchmark leaves every document clean; an empty table
-gives an empty result. Extra columns pass through `clean` and are left out of `contaminated`.
+Hashes only nominate; the alignment decides. Documents are searched many at once, with gaps between them that no
+stretch can cross. The benchmark is read in blocks of `BLOCK_CHARS` characters, and each block is one pass over the
+documents, so that what a task holds doesn't grow with the benchmark; a block travels as text, and a worker process
+makes its index once. Documents never move: there is no shuffle.
+
+Defined results: null and empty texts are clean. Very long texts are searched whole, in overlapping pieces. Items
+without letters and digits, null ones included, match nothing. Items of one text are searched once and each reported;
+repeated rows are each reported. Of regions of one segment, the one with the fewest edits counts, then the first. An
+empty benchmark leaves every document clean; an empty table gives an empty result. Extra columns pass through `clean`
+and are left out of `contaminated`, whose item column gets a longer name if the key is called like it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import quoted, table
+from tessera.llm.common import fresh, quoted, table
 
 Q = 7
 SEGMENT = 60
 SHARE = 0.1
 #: Items with fewer characters are looked for exactly, as whole words.
 LEAST = 40
-BLOCK_CHARS = 20_000_000
-#: Characters of a text that are searched at once.
-PIECE = 8192
+#: Characters of a block of the benchmark; its index takes some 20 bytes for each.
+BLOCK_CHARS = 4_000_000
+#: Characters that are searched at once: of a long text, or of several.
+PIECE = 65_536
 #: Regions that are verified together.
 TOGETHER = 4096
 _BITS = 22
@@ -60,6 +68,32 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+#: Characters below this are reduced by table; texts with others, or with one whose small form isn't one character
+#: that is known without its neighbours, go through `reduced`.
+_TABLED = 0x3000
+
+
+@cache
+def _small_forms() -> np.ndarray:
+    """By code: the code of its small form, a space for what is no letter or digit, or `_TABLED` for none known."""
+    chars = [chr(i) for i in range(_TABLED)]
+    return np.array([32 if _NO_WORD.match(c) else ord(c.lower()) if len(c.lower()) == 1 and c != "\u03a3" else _TABLED for c in chars], np.uint32)
+
+
+def reduced_codes(text: str | None) -> np.ndarray:
+    """The codes of `reduced(text)`."""
+    codes = codes_of(text or "")
+    if len(codes) and int(codes.max()) < _TABLED:
+        small = _small_forms()[codes]
+        if int(small.max()) < _TABLED:
+            kept = small != 32
+            kept[1:] |= kept[:-1]
+            small = small[kept]
+            small = small[1:] if len(small) and small[0] == 32 else small
+            return small[:-1] if len(small) and small[-1] == 32 else small
+    return codes_of(reduced(text))
+
+
 def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
@@ -74,57 +108,86 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Segments:
-    """Items of a block cut into segments, and where each q-gram occurs in the items."""
-
-    item: list[int]
-    begin: list[int]
-    codes: list[np.ndarray]
-    #: By place in the block, for items that are no phrases: the first segment, and those after the last.
-    first: np.ndarray
-    grams: np.ndarray  # sorted, one for each occurrence
-    gram_owner: np.ndarray
+    """Texts of a block of items cut into segments, and where each q-gram occurs in the texts.
+
+    Texts are numbered, first those that are cut into segments; segments are numbered in the order of their texts, and
+    each text that is too short for one follows with a number of its own.
+    """
+
+    items: list[list]  # of each text
+    text: np.ndarray  # of each segment
+    begin: np.ndarray  # of each segment, in its text
+    first: np.ndarray  # by text: the first segment, and those after the last
+    joined: np.ndarray  # codes of all texts
+    starts: np.ndarray  # of each text in `joined`
+    grams: np.ndarray  # sorted and distinct
+    gram_first: np.ndarray  # by gram: its first occurrence, and those after the last
+    gram_text: np.ndarray
     gram_at: np.ndarray
     bits: np.ndarray
     share: float
-    most: np.ndarray  # edits of a segment of each item
-    bounds: np.ndarray  # shared q-grams of a segment of each item, at least
-    phrases: dict[int, dict[str, list[int]]]  # short items by number of words; their numbers follow the segments'
+    length: np.ndarray  # characters of a segment of each text
+    most: np.ndarray  # edits of a segment of each text
+    bounds: np.ndarray  # shared q-grams of a segment of each text, at least
+    phrases: dict[int, dict[str, int]]  # short texts by number of words
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], share: float = SHARE) -> Segments:
-        owner, begin, codes, first, whole, short = [], [], [], [], [], []
-        for item, text in items:
-            c = codes_of(text)
-            if len(c) < LEAST:
-                if text:
-                    short.append((item, text))
-                continue
-            first.append(len(codes))
-            whole.append(c)
-            words = [0, *(np.flatnonzero(c == 32) + 1).tolist()]
-            for s in [0] if len(c) <= SEGMENT else sorted({*(w for w in words if w < len(c) - SEGMENT), len(c) - SEGMENT}):
-                owner.append(item)
-                begin.append(s)
-                codes.append(c[s : s + SEGMENT])
+    def of(cls, items: list[tuple[object, str]], share: float = SHARE) -> Segments:
+        by_text: dict[str, list] = {}
+        for item, t in items:
+            if t:
+                by_text.setdefault(t, []).append(item)
+        long, short = [t for t in by_text if len(t) >= LEAST], [t for t in by_text if len(t) < LEAST]
+        owner, begin, first = [], [], [0]
+        whole = [codes_of(t) for t in long]
+        for n, c in enumerate(whole):
+            last = max(len(c) - SEGMENT, 0)
+            cuts = sorted({last, *(w for w in [0, *(np.flatnonzero(c == 32) + 1).tolist()] if w < last)})
+            owner += [n] * len(cuts)
+            begin += cuts
+            first.append(len(owner))
         hashes = [gram_hashes(c) for c in whole]
-        grams = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        of_gram = np.repeat(np.arange(len(whole)), [len(h) for h in hashes])
-        at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
-        order = np.argsort(grams, kind="stable")
+        none = np.empty(0, np.uint64)
+        occurrences = np.concatenate([none, *hashes])
+        order = np.argsort(occurrences, kind="stable")
+        grams, gram_first = np.unique(occurrences[order], return_index=True)
         bits = np.zeros(1 << _BITS, bool)
         bits[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        lengths = np.array([min(len(c), SEGMENT) for c in whole], np.int64)
-        most = (lengths * share).astype(np.int64)
-        phrases: dict[int, dict[str, list[int]]] = {}
-        for k, (item, text) in enumerate(short):
-            owner.append(item)
-            begin.append(0)
-            phrases.setdefault(text.count(" ") + 1, {}).setdefault(text, []).append(len(codes) + k)
-        first = np.array([*first, len(codes)], np.int64)
-        return cls(owner, begin, codes, first, grams[order], of_gram[order], at[order], bits, share, most, np.maximum(1, lengths - Q + 1 - most * Q), phrases)
+        length = np.array([min(len(c), SEGMENT) for c in whole], np.int64)
+        most = (length * share).astype(np.int64)
+        phrases: dict[int, dict[str, int]] = {}
+        for k, t in enumerate(short):
+            phrases.setdefault(t.count(" ") + 1, {})[t] = len(owner) + k
+        return cls(
+            items=[by_text[t] for t in (*long, *short)],
+            text=np.array(owner + list(range(len(long), len(long) + len(short))), np.int64),
+            begin=np.array(begin, np.int64),
+            first=np.array(first, np.int64),
+            joined=np.concatenate([np.empty(0, np.uint32), *whole]).astype(np.uint32),
+            starts=np.cumsum([0, *map(len, whole)]),
+            grams=grams,
+            gram_first=np.append(gram_first, len(occurrences)),
+            gram_text=np.repeat(np.arange(len(whole), dtype=np.int32), [len(h) for h in hashes])[order],
+            gram_at=np.concatenate([np.empty(0, np.int32), *(np.arange(len(h), dtype=np.int32) for h in hashes)])[order],
+            bits=bits,
+            share=share,
+            length=length,
+            most=most,
+            bounds=np.maximum(1, length - Q + 1 - most * Q),
+            phrases=phrases,
+        )
+
+    @property
+    def codes(self) -> list[np.ndarray]:
+        """The characters of each segment."""
+        return [self.codes_of(s) for s in range(int(self.first[-1]))]
+
+    def codes_of(self, segment: int) -> np.ndarray:
+        at = int(self.starts[self.text[segment]] + self.begin[segment])
+        return self.joined[at : at + int(self.length[self.text[segment]])]
 
     def edits(self, segment: int) -> int:
-        return int(len(self.codes[segment]) * self.share)
+        return int(self.most[self.text[segment]])
 
 
 def banded_alignment(segment: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -161,64 +224,79 @@ def banded_alignment(segment: np.ndarray, text: np.ndarray, low: int, high: int,
 
 def matches(text: str, segments: Segments) -> list[tuple[int, int, int, int]]:
     """Segment, begin, end and edits of every verified region of a reduced text, one for each segment: the best."""
-    return matches_of([text], segments)[0]
+    return matches_of([codes_of(text)], segments)[0]
 
 
-def matches_of(texts: list[str], segments: Segments) -> list[list[tuple[int, int, int, int]]]:
-    """`matches` of each text; regions of many texts are verified together."""
+def matches_of(texts: list[np.ndarray], segments: Segments) -> list[list[tuple[int, int, int, int]]]:
+    """`matches` of each of many reduced texts, given as codes."""
     best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-    held: list[tuple[int, int, int, int, np.ndarray]] = []
-
-    def verify() -> None:
-        for which, seg, low, first, codes in _plausible(held, segments):
-            k = segments.edits(seg)
-            found = banded_alignment(segments.codes[seg], codes, low - first, low - first + 4 * k + 1, k)
-            if found:
-                found = (found[0], found[1] + first, found[2] + first)
-                if seg not in best[which] or found < best[which][seg]:
-                    best[which][seg] = found
-        held.clear()
-
-    for which, text in enumerate(texts):
-        # Pieces overlap by the longest stretch, so each stretch lies whole in one.
-        for at in range(0, len(text), PIECE):
-            for seg, low, first, codes in _near(text[at : at + PIECE + 2 * SEGMENT], segments):
-                held.append((which, seg, low + at, first + at, codes))
-            if len(held) >= TOGETHER:
-                verify()
-    verify()
-    return [[(seg, begin, end, edits) for seg, (edits, begin, end) in sorted(own.items())] + _exact(text, segments.phrases) for text, own in zip(texts, best, strict=True)]
-
-
-def _plausible(held: list[tuple[int, int, int, int, np.ndarray]], segments: Segments) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """The regions whose best alignment has few enough edits, by the costs alone."""
-    by_length: dict[int, list[int]] = {}
-    for n, h in enumerate(held):
-        by_length.setdefault(len(segments.codes[h[1]]), []).append(n)
-    for m, own in by_length.items():
-        k = segments.edits(held[own[0]][1])
-        width = 4 * k + 2
-        for at in range(0, len(own), TOGETHER):
-            some = own[at : at + TOGETHER]
-            text = np.full((len(some), m + width - 1), 2**32 - 1, np.uint32)
-            for row, n in zip(text, some, strict=True):
-                _, _, low, first, codes = held[n]
-                part = codes[: m + width - 1 - (first - low)]
-                row[first - low : first - low + len(part)] = part
-            text = np.ascontiguousarray(text.T)
-            item = np.ascontiguousarray(np.array([segments.codes[held[n][1]] for n in some]).T)
-            steps = np.arange(width, dtype=np.int16)[:, None]
-            cost = np.zeros((width, len(some)), np.int16)
-            for i in range(m):
-                new = cost + (text[i : i + width] != item[i])
-                np.minimum(new[:-1], cost[1:] + 1, out=new[:-1])
-                cost = (np.minimum.accumulate(new - steps, axis=0) + steps).astype(np.int16)
-            yield from (held[some[j]] for j in np.flatnonzero(cost.min(axis=0) <= k).tolist())
-
-
-def _exact(text: str, phrases: dict[int, dict[str, list[int]]]) -> list[tuple[int, int, int, int]]:
-    """The first place of every short item that the text holds as whole words."""
-    if not phrases or not text:
+    if len(segments.length):
+        parts, size = [], 0
+        for which, text in enumerate(texts):
+            # Pieces overlap by the longest stretch, so each stretch lies whole in one.
+            for at in range(0, len(text), PIECE):
+                if size + min(PIECE, len(text) - at) > PIECE and parts:
+                    _search(parts, texts, segments, best)
+                    parts, size = [], 0
+                parts.append((which, at, text[at : at + PIECE + 2 * SEGMENT]))
+                size += len(parts[-1][2])
+        if parts:
+            _search(parts, texts, segments, best)
+    found = [[(seg, begin, end, edits) for seg, (edits, begin, end) in sorted(own.items())] for own in best]
+    if segments.phrases:
+        found = [own + _exact(text.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), segments.phrases) for own, text in zip(found, texts, strict=True)]
+    return found
+
+
+def _search(parts: list[tuple[int, int, np.ndarray]], texts: list[np.ndarray], segments: Segments, best: list[dict[int, tuple[int, int, int]]]) -> None:
+    """Adds the verified regions of the `parts` (number of the text, offset, codes) to the `best` of each text."""
+    # No region reaches over a gap, and no q-gram with a gap in it occurs in an item.
+    gap = np.full(SEGMENT + 4 * int(segments.most.max()) + 2, 2**32 - 1, np.uint32)
+    joined = np.concatenate([gap, *(x for _, _, codes in parts for x in (codes, gap))])
+    starts = np.cumsum([len(gap), *(len(codes) + len(gap) for _, _, codes in parts[:-1])])
+    seg, low = _near(joined, segments)
+    if not len(seg):
+        return
+    own = segments.text[seg]
+    for m in np.unique(segments.length[own]).tolist():
+        some = np.flatnonzero(segments.length[own] == m)
+        k = int(segments.most[own[some[0]]])
+        for at in range(0, len(some), TOGETHER):
+            part = some[at : at + TOGETHER]
+            costs = _costs(joined, low[part] - k, segments.joined, segments.starts[own[part]] + segments.begin[seg[part]], m, 4 * k + 2)
+            for g in part[costs <= k].tolist():
+                s, begin = int(seg[g]), int(low[g]) - k
+                found = banded_alignment(segments.codes_of(s), joined[begin : begin + m + 4 * k + 1], 0, 4 * k + 1, k)
+                # The middle of a region lies in every stretch that it can hold.
+                unit = int(np.searchsorted(starts, begin + k + m // 2, "right")) - 1
+                if found and unit >= 0:
+                    which, offset, _ = parts[unit]
+                    shift, end = begin - int(starts[unit]) + offset, len(texts[which])
+                    found = (found[0], min(max(found[1] + shift, 0), end), min(found[2] + shift, end))
+                    if s not in best[which] or found < best[which][s]:
+                        best[which][s] = found
+
+
+def _costs(joined: np.ndarray, low: np.ndarray, items: np.ndarray, at: np.ndarray, m: int, width: int) -> np.ndarray:
+    """The fewest edits of each segment (`m` codes of `items` from `at`) against `width` diagonals of `joined` from `low`."""
+    text = np.ascontiguousarray(joined[low[:, None] + np.arange(m + width - 1)].T)
+    item = np.ascontiguousarray(items[at[:, None] + np.arange(m)].T)
+    cost = np.zeros((width, len(low)), np.int8 if m + width < 120 else np.int32)
+    for i in range(m):
+        new = cost + (text[i : i + width] != item[i])
+        np.minimum(new[:-1], cost[1:] + 1, out=new[:-1])
+        # Characters that the text has more: the least of all diagonals before, by steps that double.
+        step = 1
+        while step < width:
+            new[step:] = np.minimum(new[step:], new[:-step] + new.dtype.type(step))
+            step *= 2
+        cost = new
+    return cost.min(axis=0)
+
+
+def _exact(text: str, phrases: dict[int, dict[str, int]]) -> list[tuple[int, int, int, int]]:
+    """The first place of every short text that the text holds as whole words."""
+    if not text:
         return []
     words, at = text.split(" "), [0]
     for w in words:
@@ -226,63 +304,57 @@ def _exact(text: str, phrases: dict[int, dict[str, list[int]]]) -> list[tuple[in
     found: dict[int, tuple[int, int, int, int]] = {}
     for n, known in phrases.items():
         for i in range(len(words) - n + 1):
-            phrase = text[at[i] : at[i + n] - 1]
-            for k in known.get(phrase, ()):
+            k = known.get(text[at[i] : at[i + n] - 1])
+            if k is not None:
                 found.setdefault(k, (k, at[i], at[i + n] - 1, 0))
     return sorted(found.values())
 
 
-def _near(text: str, segments: Segments) -> list[tuple[int, int, int, np.ndarray]]:
-    """Segments with enough q-grams in a band of diagonals: the least diagonal, and begin and codes of the region."""
-    if not segments.codes:
-        return []
-    codes = codes_of(text)
+def _near(codes: np.ndarray, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Segments with enough q-grams in two neighbouring bands of diagonals, and where on the lowest each would begin."""
+    nothing = np.empty(0, np.int64), np.empty(0, np.int64)
     hashes = gram_hashes(codes)
-    if not len(hashes):
-        return []
     hit = segments.bits[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)]
-    least = int(segments.bounds.min())
     # A stretch has at most `span` q-grams; only positions in a window with enough hits can be part of one.
     span = max(1, SEGMENT + int(segments.most.max()) - Q + 1)
-    before = np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))
-    ends = np.minimum(np.arange(len(hit)) + span, len(hit))
-    full = before[ends] - before[:-1] >= least
+    before = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
+    inner = len(hit) - span + 1
+    if inner <= 0:
+        return nothing
+    full = before[span:] - before[:inner] >= int(segments.bounds.min())
     if not full.any():
-        return []
-    starts = np.concatenate(([0], np.cumsum(full, dtype=np.int64)))
-    # A position is in a full window if one starts at it or up to span - 1 before.
-    part = hit & (starts[1:] > starts[np.maximum(np.arange(len(hit)) - span + 1, 0)])
-    positions = np.flatnonzero(part)
-    left = np.searchsorted(segments.grams, hashes[positions], "left")
-    counts = np.searchsorted(segments.grams, hashes[positions], "right") - left
+        return nothing
+    # A position is in a full window if one starts at it or up to span - 1 before; gaps lie at both ends.
+    starts = np.concatenate((np.zeros(span, np.int32), np.cumsum(full, dtype=np.int32), np.full(span - 1, full.sum(), np.int32)))
+    positions = np.flatnonzero(hit & (starts[span : span + len(hit)] > starts[: len(hit)]))
+    gram = np.searchsorted(segments.grams, hashes[positions])
+    known = np.flatnonzero(segments.grams[np.minimum(gram, len(segments.grams) - 1)] == hashes[positions])
+    positions, gram = positions[known], gram[known]
+    left, counts = segments.gram_first[gram], segments.gram_first[gram + 1] - segments.gram_first[gram]
     which = np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     if not len(which):
-        return []
-    owner, at = segments.gram_owner[which], segments.gram_at[which]
+        return nothing
+    text, at = segments.gram_text[which].astype(np.int64), segments.gram_at[which]
     # Two bands of k + 1 diagonals each hold any k + 1 neighbours.
-    band = (np.repeat(positions, counts) - at) // (segments.most[owner] + 1)
-    lowest, long = int(band.min()), int(at.max()) + 1
+    band = (np.repeat(positions, counts) - at) // (segments.most[text] + 1)
+    lowest, long = int(band.min()), int(np.diff(segments.starts).max()) + 1
     wide = int(band.max()) - lowest + 2
-    packed = np.sort((owner * wide + band - lowest) * long + at)
+    packed = np.sort((text * wide + band - lowest) * long + at)
     name = packed // long
     cuts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1], [True])))
     names, counts = name[cuts[:-1]], np.diff(cuts)
     both = counts.copy()
     both[:-1] += np.where(names[1:] == names[:-1] + 1, counts[1:], 0)
-    out = []
-    for g in np.flatnonzero(both >= segments.bounds[names // wide]).tolist():
-        own, b = divmod(int(names[g]), wide)
-        k, bound = int(segments.most[own]), int(segments.bounds[own])
-        places = np.sort(packed[cuts[g] : cuts[g] + both[g]] % long)
-        begins = np.array(segments.begin[segments.first[own] : segments.first[own + 1]])
-        m = len(segments.codes[segments.first[own]])
-        enough = np.searchsorted(places, begins + m - Q, "right") - np.searchsorted(places, begins, "left") >= bound
-        for s in np.flatnonzero(enough).tolist():
-            seg = int(segments.first[own]) + s
-            low = (b + lowest) * (k + 1) + int(begins[s])
-            first = max(low - k, 0)
-            out.append((seg, low - k, first, codes[first : max(first, low + 3 * k + 1 + m)]))
-    return out
+    # The least of two bands may be empty of hits itself, but then the one above counts alone.
+    names = names[both >= segments.bounds[names // wide]]
+    text, number = names // wide, segments.first[names // wide + 1] - segments.first[names // wide]
+    seg = np.repeat(segments.first[text] - np.cumsum(number) + number, number) + np.arange(number.sum())
+    names, text = np.repeat(names, number), np.repeat(text, number)
+    lower = names * long + segments.begin[seg]
+    upper = lower + segments.length[text] - Q
+    within = lambda a, b: np.searchsorted(packed, b, "right") - np.searchsorted(packed, a, "left")
+    enough = within(lower, upper) + within(lower + long, upper + long) >= segments.bounds[text]
+    return seg[enough], ((names % wide + lowest) * (segments.most[text] + 1) + segments.begin[seg])[enough]
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
@@ -299,37 +371,53 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> I
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+_held: dict[int, Segments] = {}
+
+
+def _index(items: list[tuple[object, str]], share: float) -> Segments:
+    """The index of a block, made once in a worker process; one is held at a time."""
+    name = zlib.crc32(repr((items, share)).encode("utf-8", "surrogatepass"))
+    if name not in _held:
+        _held.clear()
+        _held[name] = Segments.of(items, share)
+    return _held[name]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, item: str = "item_id") -> DataFrame:
     """A row for each document and item of which it holds segments.
 
-    `key`, `item_id`, `n_segments` (of the item, found), `text_begin` and `text_end` (in the reduced text, around all
+    `key`, `item`, `n_segments` (of the item, found), `text_begin` and `text_end` (in the reduced text, around all
     of them) and `edits` (of the best).
     """
-    kind = docs.schema[key].dataType.simpleString()
-    chosen = docs.select(quoted(key).alias(key), quoted(text).alias("_text"))
-    schema = f"`{key}` {kind}, item_id bigint, n_segments bigint, text_begin bigint, text_end bigint, edits bigint"
+    chosen = docs.select(quoted(key).alias(key), quoted(text).alias(fresh("_text", [key])))
+    kind = benchmark.schema[item].dataType
+    names = [key]
+    for c in (item, "n_segments", "text_begin", "text_end", "edits"):
+        names.append(fresh(c, names))
+    types = [docs.schema[key].dataType.simpleString(), kind.simpleString(), *["bigint"] * 4]
+    schema = ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in zip(names, types, strict=True))
     out = None
-    for items in blocks(benchmark):
-        part = chosen.mapInArrow(_reporter(Segments.of(items, share), key), schema)
+    for items in blocks(benchmark, item):
+        part = chosen.mapInArrow(_reporter(items, share, names, to_arrow_type(kind)), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _reporter(segments: Segments, key: str):
-    names = [key, "item_id", "n_segments", "text_begin", "text_end", "edits"]
-
+def _reporter(items: list[tuple[object, str]], share: float, names: list[str], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = _index(items, share)
         for batch in (some for whole in batches for some in _slices(whole)):
             rows, values = [], []
-            for i, found_in in enumerate(matches_of([reduced(t.as_py()) for t in batch.column(1)], segments)):
-                by_item: dict[int, list[tuple[int, int, int]]] = {}
+            for i, found_in in enumerate(matches_of([reduced_codes(t.as_py()) for t in batch.column(1)], segments)):
+                by_text: dict[int, list[tuple[int, int, int]]] = {}
                 for seg, begin, end, edits in found_in:
-                    by_item.setdefault(segments.item[seg], []).append((begin, end, edits))
-                for item, found in sorted(by_item.items(), key=lambda x: (x[0] is None, x[0])):
-                    rows.append(i)
-                    values.append((item, len(found), min(f[0] for f in found), max(f[1] for f in found), min(f[2] for f in found)))
+                    by_text.setdefault(int(segments.text[seg]), []).append((begin, end, edits))
+                for t, found in sorted(by_text.items()):
+                    for item in segments.items[t]:
+                        rows.append(i)
+                        values.append((item, len(found), min(f[0] for f in found), max(f[1] for f in found), min(f[2] for f in found)))
             if rows:
-                columns = [pa.array(c, pa.int64()) for c in zip(*values, strict=True)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*values, strict=True), [kind, *[pa.int64()] * 4], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], names=names)
 
     return run
@@ -340,16 +428,16 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, 500)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: float = SHARE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: float = SHARE, item: str = "item_id") -> DataFrame:
     """The rows of `docs` that hold no segment of any item, and no short item."""
     at = docs.columns.index(text)
-    for items in blocks(benchmark):
-        segments = Segments.of(items, share)
+    for items in blocks(benchmark, item):
 
-        def run(batches: Iterator[pa.RecordBatch], segments: Segments = segments) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: list[tuple[object, str]] = items) -> Iterator[pa.RecordBatch]:
+            segments = _index(items, share)
             for batch in batches:
                 for some in _slices(batch):
-                    yield some.filter(pa.array([not m for m in matches_of([reduced(t.as_py()) for t in some.column(at)], segments)], pa.bool_()))
+                    yield some.filter(pa.array([not m for m in matches_of([reduced_codes(t.as_py()) for t in some.column(at)], segments)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
