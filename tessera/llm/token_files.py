@@ -1,25 +1,32 @@
 """Token-id files with a minimal perfect hash index.
 
-The corpus is dealt into shards by ranges of the key, in ascending order, and every shard is one binary file:
+Documents are encoded where they lie; ids, not texts, are then dealt into ranges of the key, in ascending order, whose
+bounds come from the keys alone. A range is written as one or more shards of `SHARD_BYTES` of ids at most, or of one
+document that has more. Every shard is one binary file:
 
-    magic, version, bytes per id, number of documents, ids, keys, hash levels, size of each section
     raw ids of all documents, one after the other, little-endian
     offsets   documents + 1 unsigned 64-bit: where each document's ids begin, in ids
     keys      one signed 64-bit per document, and a byte each that is 1 where the key is null
     hash      a bit array per level: a key's place is the number of set bits up to its own (ranks are stored)
     prints    an unsigned 32-bit fingerprint per distinct key, by hash place
     rows      an unsigned 64-bit number of the key's first document, by hash place
+    last, magic, version, bytes per id, number of documents, ids, keys, and bytes of the hash
 
 A lookup hashes the key level by level to the first set bit, compares the fingerprint, and reads offsets and ids at
-computed positions: constant time, whatever the size of the file. The manifest (one row per shard) is a table in the
-same folder; `start` of a shard is the number of ids in the shards before it.
+computed positions: constant time, whatever the size of the file. The manifest (one row per shard, with the least and
+greatest key) is a table beside it, so the shards that can hold a key are known without opening any; `find` looks keys
+up over a whole corpus, and `read_back` finds every document of every shard through the hash. `start` of a shard is
+the number of ids in the shards before it.
 
 A task writes under a name of its own, so a task that is run again or twice leaves files that no manifest names; the
-manifest is settled once, readers go by it alone, and such files go with the folder.
-
-Defined results: a null text counts as empty; every document ends with the end id, so an empty one has one id. Rows
-that repeat a key are all stored, next to each other, and a lookup gives the first. A null key sorts first, is stored
-and read back, and can't be looked up. An empty table gives no files and an empty manifest. Extra columns are not stored.
+manifest is settled once, readers go by it alone, and such files go with the folder. A folder without a scheme is one
+of Spark's default file system; its scheme must be one that pyarrow reads.
+
+Defined results: a null text counts as empty; every document ends with the end id, so an empty one has one id. Very
+long texts are encoded whole. Rows that repeat a key are all stored, next to each other in any order; a lookup in a
+shard gives the first, `find` gives all. A key with more rows than a range takes is dealt over several. A null key sorts
+first, is stored and read back, and can't be looked up. Keys must be whole numbers of 64 bits at most, else an error
+says so. An empty table gives no files and an empty manifest. Extra columns are not stored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -50,8 +57,11 @@ from tessera.llm.common import quoted, settled, table, work_dir
 
 MAGIC = b"TIDS"
 _HEADER = struct.Struct("<4sHHQQQQ")
-#: Characters of text to a shard, about.
-SHARD_BYTES = 32_000_000
+#: Bytes of text to a range of keys, about, while there are no more than `MAX_RANGES` of them.
+RANGE_BYTES = 32_000_000
+MAX_RANGES = 4000
+#: Bytes of ids to a shard, at most.
+SHARD_BYTES = 256_000_000
 SLICE_CHARS = 1_000_000
 #: Distinct pre-tokens that a worker remembers since its memory last turned; those of the turn before are kept beside.
 REMEMBERED = 100_000
@@ -59,7 +69,7 @@ _BYTE_SYMBOLS = dict(enumerate(byte_symbols()))
 _SPACE_SYMBOL = _BYTE_SYMBOLS[32]
 #: Bits per key in each level of the hash.
 GAMMA = 2
-_MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
+_MANIFEST = "range int, part int, path string, n_docs bigint, n_ids bigint, least bigint, greatest bigint"
 
 
 # --- the hash -----------------------------------------------------------------------------------------------------
@@ -122,30 +132,59 @@ class PerfectHash:
         return b"".join(out)
 
 
+def places_in(packed: bytes, keys: np.ndarray) -> np.ndarray:
+    """`PerfectHash.places` by the packed form alone."""
+    keys = keys.astype(np.int64).view(np.uint64)
+    out, open_, at, level = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0, 0
+    while at < len(packed) and len(open_):
+        (size,) = struct.unpack_from("<Q", packed, at)
+        words = np.frombuffer(packed, "<u8", 2 * -(-size // 64), at + 8).reshape(-1, 2)
+        bit = mixed(keys[open_], level) % np.uint64(size)
+        word, rank = words[(bit >> np.uint64(6)).astype(np.int64)].T
+        below = bit & np.uint64(63)
+        hit = (word >> below & np.uint64(1)).astype(bool)
+        place = rank + np.bitwise_count(word & ((np.uint64(1) << below) - np.uint64(1)))
+        out[open_[hit]] = place[hit].astype(np.int64)
+        open_, at, level = open_[~hit], at + 8 + words.nbytes, level + 1
+    return out
+
+
+def print_of(keys: np.ndarray) -> np.ndarray:
+    """The 32-bit fingerprint that is stored of each key."""
+    return (mixed(keys.astype(np.int64).view(np.uint64), 0xF1) >> np.uint64(32)).astype("<u4")
+
+
 # --- files --------------------------------------------------------------------------------------------------------
 
 
-def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if re.match(r"\w+://?", uri) else f"file://{uri}")
+def qualified(spark: SparkSession, folder: str) -> str:
+    """`folder` with its scheme, which is that of Spark's default file system if it has none."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", full)
 
 
 class ShardWriter:
     """Writes one shard: ids as they come, the index at the end."""
 
     def __init__(self, folder: str, id_bytes: int):
-        self.fs, at = opened(f"{folder}/{uuid.uuid4().hex}.tids" if "://" in folder or folder.startswith("file:") else f"file://{folder}/{uuid.uuid4().hex}.tids")
-        self.path, self.id_bytes = at, id_bytes
-        self.fs.create_dir(at.rpartition("/")[0], recursive=True)
-        self.out = self.fs.open_output_stream(at)
+        self.uri, self.id_bytes = f"{folder}/{uuid.uuid4().hex}.tids", id_bytes
+        fs, at = pafs.FileSystem.from_uri(self.uri)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        self.out = fs.open_output_stream(at)
         self.keys: list[int | None] = []
         self.lengths: list[int] = []
+        self.size = 0
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.out.write(ids)
         self.keys.append(key)
         self.lengths.append(len(ids) // self.id_bytes)
+        self.size += len(ids)
 
-    def close(self) -> tuple[int, int]:
+    def close(self) -> dict:
+        """What the manifest says of the shard."""
         offsets = np.concatenate(([0], np.cumsum(np.array(self.lengths, np.uint64)))).astype("<u8")
         nulls = np.array([k is None for k in self.keys], np.uint8)
         keys = np.array([k or 0 for k in self.keys], "<i8")
@@ -155,7 +194,7 @@ class ShardWriter:
         prints, rows = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u8")
         if len(distinct):
             at = hashed.places(distinct)
-            prints[at] = (mixed(distinct.view(np.uint64), 0xF1) >> np.uint64(32)).astype("<u4")
+            prints[at] = print_of(distinct)
             rows[at] = first
         hash_bytes = hashed.packed()
         for section in (offsets.tobytes(), keys.tobytes(), nulls.tobytes(), hash_bytes, prints.tobytes(), rows.tobytes()):
@@ -163,14 +202,15 @@ class ShardWriter:
         n_ids = int(offsets[-1])
         self.out.write(_HEADER.pack(MAGIC, 1, self.id_bytes, len(keys), n_ids, len(distinct), len(hash_bytes)))
         self.out.close()
-        return len(keys), n_ids
+        least, greatest = (int(distinct[0]), int(distinct[-1])) if len(distinct) else (None, None)
+        return {"path": self.uri, "n_docs": len(keys), "n_ids": n_ids, "least": least, "greatest": greatest}
 
 
 class Shard:
-    """Reads one shard file; what stands first in the description of the format stands last in the file."""
+    """Reads one shard file."""
 
     def __init__(self, uri: str):
-        fs, at = opened(uri)
+        fs, at = pafs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(at)
         size = self.file.size()
         magic, version, self.id_bytes, self.n_docs, self.n_ids, self.n_keys, hash_bytes = _HEADER.unpack(self._at(size - _HEADER.size, _HEADER.size))
@@ -189,17 +229,49 @@ class Shard:
     def ids(self, begin: int, n: int) -> np.ndarray:
         return np.frombuffer(self._at(begin * self.id_bytes, n * self.id_bytes), f"<u{self.id_bytes}").astype("<u4")
 
-    def documents(self, block: int = 4_000_000) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """Key, start and ids of every document in file order, read in blocks of about `block` ids."""
-        offsets = np.frombuffer(self._at(self.offsets_at, 8 * (self.n_docs + 1)), "<u8").astype(np.int64)
-        keys = np.frombuffer(self._at(self.keys_at, 8 * self.n_docs), "<i8").tolist()
-        nulls = self._at(self.nulls_at, self.n_docs)
+    def _column(self, at: int, kind: str, n: int) -> np.ndarray:
+        return np.frombuffer(self._at(at, n * np.dtype(kind).itemsize), kind)
+
+    def rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's first document, found through the hash; -1 for keys that the shard hasn't."""
+        if not self.n_keys:
+            return np.full(len(keys), -1, np.int64)
+        place = places_in(self._at(self.hash_at, self.prints_at - self.hash_at), keys)
+        prints, rows = self._column(self.prints_at, "<u4", self.n_keys), self._column(self.rows_at, "<u8", self.n_keys).astype(np.int64)
+        found = np.where(place >= 0, rows[place], -1)
+        found[(found >= 0) & (prints[place] != print_of(keys))] = -1
+        # A fingerprint of 32 bits may agree by chance; the stored key doesn't.
+        stored = self._column(self.keys_at, "<i8", self.n_docs)
+        return np.where((found >= 0) & (stored[found] == keys), found, -1)
+
+    def documents(self, keys: np.ndarray | None = None, block: int = 4_000_000) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Key, start and ids of the documents of `keys`, each found through the hash, in file order; of all documents,
+        those without a key first, if None. Ids are read in blocks of about `block`.
+        """
+        stored, nulls = self._column(self.keys_at, "<i8", self.n_docs), self._column(self.nulls_at, "u1", self.n_docs).astype(bool)
+        offsets = self._column(self.offsets_at, "<u8", self.n_docs + 1).astype(np.int64)
+        # Documents of a key are a run that ends where the next begins.
+        edges = np.flatnonzero(np.concatenate(([True], (stored[1:] != stored[:-1]) | nulls[:-1] & ~nulls[1:], [True])))
+        runs = edges[:-1][~nulls[edges[:-1]]] if self.n_docs else edges[:0]
+        wanted = stored[runs] if keys is None else keys
+        first = self.rows_of(wanted)
+        if keys is None and not np.array_equal(first, runs):
+            raise ValueError("the index of a token-id file does not lead to its documents")
+        first = np.unique(first[first >= 0])
+        ends = edges[np.searchsorted(edges, first, "right")] if len(first) else first
+        rows = np.repeat(first - np.cumsum(ends - first) + ends - first, ends - first) + np.arange(int((ends - first).sum()))
+        if keys is None:
+            rows = np.concatenate((np.flatnonzero(nulls), rows))
         i = 0
-        while i < self.n_docs:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block, "right")) - 1)
-            held = self.ids(int(offsets[i]), int(offsets[j] - offsets[i]))
-            for k in range(i, j):
-                yield None if nulls[k] else keys[k], int(offsets[k]), held[offsets[k] - offsets[i] : offsets[k + 1] - offsets[i]]
+        while i < len(rows):
+            # As many documents that follow each other as a block takes.
+            limit = min(len(rows), i + max(1, int(np.searchsorted(offsets, offsets[rows[i]] + block, "right")) - 1 - int(rows[i])))
+            together = np.flatnonzero(np.diff(rows[i:limit]) != 1)
+            j = i + int(together[0]) + 1 if len(together) else limit
+            held = self.ids(int(offsets[rows[i]]), int(offsets[rows[j - 1] + 1] - offsets[rows[i]]))
+            for k in rows[i:j].tolist():
+                begin = int(offsets[k] - offsets[rows[i]])
+                yield None if nulls[k] else int(stored[k]), int(offsets[k]), held[begin : begin + int(offsets[k + 1] - offsets[k])]
             i = j
 
     def lookup(self, key: int) -> np.ndarray | None:
@@ -309,67 +381,139 @@ def encoder_of(path: str, id_bytes: int) -> ByteEncoder:
     return _encoders[path, id_bytes]
 
 
-def written(df: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards of `df` into `folder` and returns their manifest (`shard`, `path`, `n_docs`, `n_ids`)."""
+def _bounds(df: DataFrame, n: int) -> np.ndarray:
+    """Keys that cut the rows of `df` (`key`) into `n` ranges of about as many rows each; nulls count as the least."""
+    if n == 1:
+        return np.empty(0, np.int64)
+    least = F.coalesce("key", F.lit(-(2**63)).cast("bigint"))
+    found = df.agg(F.percentile_approx(least, [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0]
+    return np.array(found or [], np.int64)
+
+
+def written(df: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Writes the shards of `df` into `folder` and returns their manifest.
+
+    Columns: `range` and `part`, which order the shards, `path`, `n_docs`, `n_ids`, and `least` and `greatest` key.
+    """
     spark = df.sparkSession
+    if df.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"keys must be whole numbers, and {key} is {df.schema[key].dataType.simpleString()}")
+    folder = qualified(spark, folder)
     id_bytes = 2 if Tokenizer.from_file(path).get_vocab_size() <= 65_536 and end_id < 65_536 else 4
+    chosen = df.select(quoted(key).cast("bigint").alias("key"), quoted(text).alias("text"))
+    total = chosen.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    n = min(MAX_RANGES, max(1, -(-total // range_bytes)))
+    bounds = _bounds(chosen.select("key"), n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder = writer = None
-        end = np.array([end_id], f"<u{id_bytes}").tobytes()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end, seen = encoder_of(path, id_bytes), np.array([end_id], f"<u{id_bytes}").tobytes(), 0
         for batch in batches:
-            if writer is None:
-                encoder, writer = encoder_of(path, id_bytes), ShardWriter(folder, id_bytes)
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in slices(texts, SLICE_CHARS):
-                for k, ids in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
-                    writer.add(k, ids + end)
-        if writer is not None:
-            n_docs, n_ids = writer.close()
-            yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": writer.path, "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+                ids = [x + end for x in encoder.encode(texts[a:b])]
+                keys = batch.column(0).slice(a, b - a)
+                known = keys.fill_null(-(2**63)).to_numpy()
+                # A key that is a bound more than once has that many ranges to itself.
+                low, high = np.searchsorted(bounds, known, "left"), np.searchsorted(bounds, known, "right")
+                at = low + (np.arange(seen, seen + len(ids)) % np.maximum(1, high - low))
+                seen += len(ids)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(at.astype(np.int32))], names=["key", "ids", "range"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ("range", "part", "path", "n_docs", "n_ids", "least", "greatest"), (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4)
+        schema = pa.schema(list(zip(names, kinds, strict=True)))
+        writer, name = None, (-1, 0)
+        closed = lambda: pa.RecordBatch.from_pylist([{"range": name[0], "part": name[1], **writer.close()}], schema=schema)
+        for batch in batches:
+            for k, ids, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if writer and (at != name[0] or writer.size + len(ids) > shard_bytes):
+                    yield closed()
+                    writer, name = None, (at, name[1] + 1 if at == name[0] else 0)
+                if not writer:
+                    writer, name = ShardWriter(folder, id_bytes), (at, name[1] if at == name[0] else 0)
+                writer.add(k, ids)
+        if writer:
+            yield closed()
 
-    chosen = df.select(quoted(key).cast("bigint").alias("key"), quoted(text).alias("text"))
-    total = df.select(F.sum(F.octet_length(quoted(text)) + 64)).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
-    ordered = chosen.repartitionByRange(n, "key").sortWithinPartitions("key", F.xxhash64("text"))
-    return settled(ordered.mapInArrow(run, _MANIFEST))
+    encoded = chosen.mapInArrow(encode, "key bigint, ids binary, range int")
+    ordered = encoded.repartitionById(n, "range").sortWithinPartitions("range", "key")
+    return settled(ordered.mapInArrow(write, _MANIFEST))
+
+
+def _placed(manifest: DataFrame) -> DataFrame:
+    """The manifest with `base`, the number of ids before each shard; its rows are shards, not documents."""
+    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.select("*", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+
+
+_FOUND = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+
+
+def _emitted(base: int, documents: Iterator[tuple[int | None, int, np.ndarray]], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    names = ["key", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+    kinds = [*[pa.int64()] * 4, *([pa.binary()] if with_ids else [])]
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
+    for key, start, ids in documents:
+        raw = ids.tobytes()
+        held.append((key, base + start, len(ids), zlib.crc32(raw), *((raw,) if with_ids else ())))
+        size += 64 + len(raw) * with_ids
+        if size > 8_000_000:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
-def read_back(manifest: DataFrame) -> DataFrame:
-    """`key`, `start`, `n_tokens` and `ids` (binary, four bytes each) of every stored document."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = settled(manifest.select("shard", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")))
+
+def read_back(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """`key`, `start`, `n_tokens`, `ids_crc32` and, if wanted, `ids` (binary, four bytes each) of every stored document,
+    each but those without a key found through the hash of its shard.
+    """
+    placed = settled(_placed(manifest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "start", "n_tokens", "ids"]
         for batch in batches:
             for row in batch.to_pylist():
-                held, size = [], 0
-                for key, start, ids in Shard(row["path"]).documents():
-                    held.append((key, row["base"] + start, len(ids), ids.tobytes()))
-                    size += ids.nbytes
-                    if size > 8_000_000:
-                        yield _batch(held, names)
-                        held, size = [], 0
-                if held:
-                    yield _batch(held, names)
+                yield from _emitted(row["base"], Shard(row["path"]).documents(), with_ids)
+
+    shards = placed.select("path", "base", F.row_number().over(Window.orderBy("range", "part")).alias("at"))
+    n = max(1, placed.count())
+    return shards.repartitionById(n, F.col("at").cast("int") - 1).select("path", "base").mapInArrow(run, _FOUND + (", ids binary" if with_ids else ""))
+
 
-    shards = placed.repartitionByRange(max(1, placed.count()), "shard").select("path", "base")
-    return shards.mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids binary")
+def find(manifest: DataFrame, keys: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """What `read_back` gives, for the documents of the `keys` (column `key`) alone.
 
+    The manifest says which shards can hold a key; those alone are opened, and each key is found through the hash.
+    """
+    placed = settled(_placed(manifest))
+    # At most `MAX_RANGES` rows; ranges lie one after the other and share at most a key at their ends.
+    ranges = placed.groupBy("range").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest")).filter("least IS NOT NULL").orderBy("range").collect()
+    numbers, least, greatest = (np.array([r[c] for r in ranges], np.int64) for c in ("range", "least", "greatest"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            low, high = np.searchsorted(greatest, own, "left"), np.searchsorted(least, own, "right")
+            n = np.maximum(0, high - low)
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(numbers[at].astype(np.int32))], names=["wanted", "range"])
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    wanted = keys.select(quoted(key).cast("bigint").alias("wanted")).filter("wanted IS NOT NULL").distinct().mapInArrow(deal, "wanted bigint, range int")
+    dealt = wanted.join(placed.select("range", "path", "base", "least", "greatest"), "range").filter("wanted BETWEEN least AND greatest")
 
+    def run(group: pa.Table) -> pa.Table:
+        found = Shard(group.column("path")[0].as_py()).documents(np.sort(group.column("wanted").to_numpy()))
+        kinds = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+        return pa.Table.from_batches(_emitted(group.column("base")[0].as_py(), found, with_ids), schema=kinds)
 
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
+    return dealt.groupBy("path").applyInArrow(run, _FOUND + (", ids binary" if with_ids else ""))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "token-files")
     manifest = written(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return read_back(manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_back(manifest, with_ids=False).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")

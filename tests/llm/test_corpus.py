@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -210,9 +211,9 @@ def test_token_files(spark, tmp_path):
 def test_token_file_lookup_and_edges(spark, tmp_path):
     library = Tokenizer.from_file(BYTE_BPE)
     df = spark.createDataFrame([(10 * i, t, "x") for i, t in enumerate(ODD)] + [(None, "no key", "x"), (10, "again", "x"), (-5, "below", "x")], "doc_id long, text string, key string")
-    manifest = token_files.written(df, str(tmp_path / "files"), BYTE_BPE, 2, shard_bytes=500)
-    shards = [token_files.Shard(r.path) for r in manifest.orderBy("shard").collect()]
-    assert len(shards) > 1
+    manifest = token_files.written(df, str(tmp_path / "files"), BYTE_BPE, 2, range_bytes=500, shard_bytes=60)
+    shards = [token_files.Shard(r.path) for r in manifest.orderBy("range", "part").collect()]
+    assert len(shards) > len({r.range for r in manifest.collect()}) > 1
     found = token_files.read_back(manifest).orderBy("start").collect()
     assert [r.key for r in found] == sorted((r.doc_id for r in df.collect()), key=lambda k: (k is not None, k))
     for s in shards:
@@ -223,18 +224,48 @@ def test_token_file_lookup_and_edges(spark, tmp_path):
         for key, ids in first.items():
             assert s.lookup(key).tolist() == ids
         assert all(s.lookup(k) is None for k in range(1_000_000, 1_000_300))
+        assert (s.rows_of(np.arange(1_000_000, 1_000_300)) == -1).all()
     texts_of = defaultdict(list)
     for r in df.collect():
         texts_of[r.doc_id].append([*library.encode(r.text or "", add_special_tokens=False).ids, 2])
     for r in found:
-        assert np.frombuffer(r.ids, "<u4").tolist() in texts_of[r.key]
+        assert np.frombuffer(r.ids, "<u4").tolist() in texts_of[r.key] and r.ids_crc32 == zlib.crc32(r.ids)
+    some = spark.createDataFrame([(10,), (10,), (None,), (-5,), (7,), (40,), (9999,)], "doc_id int")
+    assert {tuple(r) for r in token_files.find(manifest, some).collect()} == {tuple(r) for r in found if r.key in (10, -5, 40)}
     assert token_files.read_back(token_files.written(df.limit(0), str(tmp_path / "none"), BYTE_BPE, 2)).count() == 0
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_files.written(df, str(tmp_path / "names"), BYTE_BPE, 2, key="key")
+
+
+def test_a_key_of_many_rows_is_dealt_over_ranges(spark, tmp_path):
+    df = spark.range(900).select((F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id"))).alias("doc_id"), F.lit("some text").alias("text"))
+    manifest = token_files.written(df, str(tmp_path / "files"), BYTE_BPE, 2, range_bytes=5000)
+    rows = manifest.collect()
+    assert sum(r.n_docs for r in rows) == 900 and max(r.n_docs for r in rows) < 250
+    found = token_files.read_back(manifest).orderBy("start").collect()
+    assert [r.key for r in found] == sorted((r.doc_id for r in df.collect()), key=lambda k: (k is not None, k))
+    assert len({r.start for r in found}) == 900
+    assert token_files.find(manifest, spark.createDataFrame([(7,)], "doc_id int")).count() == 300
+
+
+def test_an_index_that_leads_astray_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    path = token_files.written(df, str(tmp_path / "files"), BYTE_BPE, 2).first().path
+    shard = token_files.Shard(path)
+    name = path.removeprefix("file://")
+    raw = bytearray(open(name, "rb").read())
+    raw[shard.rows_at : shard.rows_at + 16] = raw[shard.rows_at + 8 : shard.rows_at + 16] + raw[shard.rows_at : shard.rows_at + 8]
+    open(name, "wb").write(raw)
+    with pytest.raises(ValueError, match="does not lead"):
+        list(token_files.Shard(path).documents())
 
 
 def test_perfect_hash():
     rng = np.random.default_rng(7)
     keys = np.unique(rng.integers(-(2**62), 2**62, 50_000))
-    assert sorted(token_files.PerfectHash.build(keys).places(keys).tolist()) == list(range(len(keys)))
+    hashed = token_files.PerfectHash.build(keys)
+    assert sorted(hashed.places(keys).tolist()) == list(range(len(keys)))
+    assert np.array_equal(token_files.places_in(hashed.packed(), keys), hashed.places(keys))
     assert token_files.PerfectHash.build(keys[:0]).packed() == b""
 
 
