@@ -3,21 +3,28 @@
 A page is parsed to a tree with the end tags that HTML implies. Elements that are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments by their tag, role, class or id are cut away: a class or
 id by its whole name (`cookie-bar`), and where it only holds such a word (`related-work`) if the element is mostly
-links. For every node left, the density is its characters outside links per tag outside links, and its density sum is the sum of its
-children's densities. The least density on the path from the body to the subtree with the greatest sum is the
-threshold. The article is the <article> or <main> that holds this subtree, or the best one that it holds. On pages
-without, the best subtree of every node that is reached from the body over nodes at or above the threshold belongs to
-it, and the article is the least subtree that holds them all, headings and short blocks between them included. Within
-the article, a container under the threshold that is mostly links goes too. Everything else in it is kept.
+links. Then densities choose, and no tag does:
+
+1. A node's density is its characters per tag, times a logarithm that falls with the share of its characters and tags
+   that are links, on a base that grows with the links of the page (`densities`). Its density sum is that of its
+   children's densities; of a leaf, its own density.
+2. The least density on the path from the subtree with the greatest sum up to the body is the threshold. The best
+   subtree of every node that is reached from the body over nodes at or above the threshold belongs to the article.
+3. The article is the least subtree that holds all of these, widened while what its parent holds besides is mostly
+   not links (a heading before it, short blocks after it), short of the body unless it is a mere paragraph of it. Of that, containers go that are under
+   the threshold and either mostly links or outside what density chose. Headings right under the body that come
+   before belong to it.
 
 Defined results: a null or empty page has an empty text. Pages without a tag give their whole text. Ties between
-density sums go to the node that starts first. Repeated rows are extracted alike; an empty table gives an empty
-result; extra columns are left out unless named in `keep`.
+density sums go to the node that starts first. Very long and very deep pages are parsed whole, in time that grows with
+their length. Repeated rows are extracted alike; an empty table gives an empty result; extra columns are left out
+unless named in `keep`, and one called like the result is replaced by it.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,8 +52,13 @@ NAMES = frozenset(
 )
 #: Parts that name furniture or the subject of a text: alone or beside other words, only links confirm them.
 DOUBTFUL = frozenset("notice notices notification alert promotion subscription side menu respond replies discussion share sharing social related recommended recommendations search header".split())
+#: Such of them as name furniture when a class says nothing else; ids may be slugs of headings.
+PLAIN = frozenset("notice notices notification alert promotion subscription menu share sharing".split())
 STRUCTURE = frozenset("area bar block bottom box button buttons center container content fixed global group header holder inner item items left link links list main outer page panel post posts primary reader right row secondary section site slot sticky text title top user wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("ul ol div section table dl".split())
+TEXTS = HEADINGS | frozenset("p pre blockquote".split())
+OUTERMOST = frozenset({"#root", "html", "body"})
 
 #: An open element of the first kind is closed by the opening of one of the second, unless one of the third lies between.
 IMPLIED = {
@@ -63,7 +75,7 @@ IMPLIED = {
 P_SCOPE = frozenset({"html", "table", "td", "th", "caption", "button", "object", "template"})
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
 #: One attribute: its whole name and, if any, its value.
@@ -87,7 +99,7 @@ class _Page:
 
     def _parse(self, source: str) -> None:
         tag, parent, cut, texts, stack = self.tag, self.parent, self.cut, self.texts, [0]
-        at, end = 0, len(source)
+        at, end, sections = 0, len(source), True
         while at < end:
             m = _TOKEN.search(source, at)
             begin = m.start() if m else end
@@ -98,6 +110,11 @@ class _Page:
             at = m.end()
             name = m[2] or m[5]
             if not name:
+                if m[0] == "<![CDATA[":
+                    # Up to its end, or a comment up to the next bracket; a missing end is looked for once.
+                    close = source.find("]]>", at) if sections else -1
+                    sections = close >= 0
+                    at = close + 3 if sections else (source.find(">", at) + 1 or end)
                 continue
             name = name.lower()
             if name in BLOCK:
@@ -175,12 +192,28 @@ class _Page:
                     parts = {x for x in _PART.split(word) if x and not x.isdigit()}
                     if parts & NAMES and parts <= NAMES | DOUBTFUL | STRUCTURE:
                         return True
+                    if what == "class" and name not in HEADINGS and parts & PLAIN and parts <= PLAIN | STRUCTURE:
+                        return True
                     if not in_article and "header" in parts and parts <= {"header", "site", "top", "global", "main"} or not in_article and word == "site-title":
                         return True
                     doubtful = doubtful or bool(parts & (NAMES | DOUBTFUL))
         return None if doubtful else False
 
 
+def densities(chars: list[int], link_chars: list[int], tags: list[int], link_tags: list[int], page: float) -> list[float]:
+    """The composite text density of every node, by the characters and tags in it and those of them in links.
+
+    `page` is the share of links in the characters of the whole page. Counts of 0 are 1 where they divide; where the
+    logarithm's base would be 1 (no link anywhere), all that is left is characters per tag.
+    """
+    out = []
+    for c, lc, t, lt in zip(chars, link_chars, tags, link_tags, strict=True):
+        per_tag = c / (t or 1)
+        base = math.log(math.log(c / max(1, c - lc) * lc + page * c + math.e))
+        out.append(per_tag * math.log(max(1, c) / (lc or 1) * max(1, t) / (lt or 1)) / base if c and base > 1e-9 else per_tag)
+    return out
+
+
 def main_text(source: str | None) -> str:
     """The article of a page: blocks in page order, one space between them and for any white space within."""
     if not source:
@@ -192,14 +225,17 @@ def main_text(source: str | None) -> str:
     in_link = [False] * n
     for i in range(1, n):
         in_link[i] = in_link[parent[i]] or tag[i] == "a"
-    texts = []
+    texts, page_chars, page_links = [], 0, 0
     for node, raw in page.texts:
         if node < 0:
             texts.append((node, raw))
-        elif not cut[node]:
-            text = html_lib.unescape(raw) if "&" in raw else raw
+            continue
+        text = html_lib.unescape(raw) if "&" in raw else raw
+        size = len("".join(text.split()))
+        page_chars += size
+        page_links += size * in_link[node]
+        if not cut[node]:
             texts.append((node, text))
-            size = len("".join(text.split()))
             chars[node] += size
             link_chars[node] += size * in_link[node]
     if page.doubtful:
@@ -225,36 +261,39 @@ def main_text(source: str | None) -> str:
             link_chars[p] += link_chars[i]
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + in_link[i]
-    density = [(chars[i] - link_chars[i]) / max(1, tags[i] - link_tags[i]) for i in range(n)]
-    sums = [0.0] * n
+    density = densities(chars, link_chars, tags, link_tags, page_links / max(1, page_chars))
+    sums, leaf = [0.0] * n, [True] * n
     for i in range(1, n):
         if not cut[i]:
             sums[parent[i]] += density[i]
+            leaf[parent[i]] = False
     for i in range(n):
-        if not sums[i] and not cut[i]:
-            sums[i] = density[i] / 2  # a leaf has no children: less than what it adds to its parent
+        if leaf[i] and not cut[i]:
+            sums[i] = density[i]
     best = max((i for i in range(n) if not cut[i]), key=lambda i: (sums[i], -i), default=0)
     threshold, i = density[best], best
-    region = best
     while i > 0:
-        if tag[i] in ("article", "main"):
-            region = i
         i = parent[i]
         if tag[i] not in ("html", "#root"):
             threshold = min(threshold, density[i])
-    inside = _below(region, parent)
-    if tag[region] not in ("article", "main"):
-        holders = [i for i in range(n) if inside[i] and not cut[i] and tag[i] in ("article", "main") and not any(tag[j] in ("article", "main") for j in _path(parent[i], region, parent))]
-        if holders:
-            region = max(holders, key=lambda i: (sums[i], -i))
-        else:
-            region = _around(_dense(tag, parent, cut, density, sums, threshold) | {best}, parent)
-        inside = _below(region, parent)
+    core = region = _around(_dense(tag, parent, cut, density, sums, threshold) | {best}, parent)
+    while tag[region] not in OUTERMOST and (tag[above := parent[region]] not in OUTERMOST or tag[region] in TEXTS):
+        if 2 * (link_chars[above] - link_chars[region]) > chars[above] - chars[region]:
+            break
+        region = above
+    inside, chosen = _below(region, parent), _below(core, parent)
+    # Of what widening brought in, and of what holds links, containers under the threshold go.
     dropped = [False] * n
+    on_path = {region, *_path(core, region, parent)}
+    for i in range(1, n):
+        sparse = inside[i] and i not in on_path and tag[i] in CONTAINERS and density[i] < threshold
+        dropped[i] = dropped[parent[i]] or sparse and (2 * link_chars[i] > chars[i] or not chosen[i])
+    kept = [inside[i] and not dropped[i] for i in range(n)]
     for i in range(1, n):
-        sparse = inside[i] and i != region and tag[i] in ("ul", "ol", "div", "section", "table", "dl") and density[i] < threshold and 2 * link_chars[i] > chars[i]
-        dropped[i] = dropped[parent[i]] or sparse
-    out = "".join(" " if node < 0 else text if inside[node] and not dropped[node] else "" for node, text in texts)
+        # A title that stands before the article, right under the body.
+        if i < region and not cut[i] and (kept[parent[i]] and tag[parent[i]] not in OUTERMOST or tag[i] in HEADINGS and tag[parent[i]] in OUTERMOST):
+            kept[i] = True
+    out = "".join(" " if node < 0 else text if kept[node] else "" for node, text in texts)
     return " ".join(out.split())
 
 
