@@ -91,40 +91,58 @@ def test_urls(spark):
             assert r.verdict == best.verdict
     verdicts = [r.verdict for r in rows]
     assert verdicts[13] == "block" and verdicts[14] == "allow" and verdicts[0] == "allow"
+    assert [urls.address(u) for u in odd] == [(r.host, r.path) for r in rows]
     assert urls.judged(df.limit(0)).count() == 0
 
 
-def test_url_words_and_held_out_accuracy():
-    model = urls.fit(urls.examples())
-    assert model.segment("cheappillsonline") == ["cheap", "pills", "online"] and model.segment("") == []
-    sample = urls.examples()
-    random.seed(5)
-    random.shuffle(sample)
-    held, fitted = sample[:200], urls.fit(sample[200:])
-    assert sum((fitted.score(*host_and_path(u)) > 0) == label for u, label in held) > 190
-    with pytest.raises(ValueError):
-        urls.fit(sample, limit=10)
-
-
-def brute_segments(model, name):
-    """The least cost over all splits."""
-    import math
+def test_rules_of_any_number(spark):
+    random.seed(8)
+    hosts = ["a.b", "b", "x.a.b", "c.org", "org"]
+    rules = [urls.Rule(random.choice(hosts), "/" + "".join(random.choices("ab/", k=random.randint(0, 6))), random.choice(["allow", "block"])) for _ in range(300)]
+    rules = list({r.name: r for r in rules}.values()) + [urls.Rule(f"h{i}.net", "/", "block") for i in range(20_000)]
+    index = urls.RuleIndex(rules)
+    for _ in range(500):
+        host, path = random.choice([*hosts, "y.x.a.b", "ab", "h19999.net"]), "/" + "".join(random.choices("ab/", k=random.randint(0, 9)))
+        fitting = [x for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        assert index.longest(host, path) == min(fitting, key=lambda x: (-len(x.name), x.name), default=None)
+    df = spark.createDataFrame([("http://www.h19999.net/x",), ("http://h20000.net/x",)], "url string")
+    assert [r.rule for r in urls.judged(df, rules=rules).collect()] == ["h19999.net/", None]
 
-    total = sum(model.unwanted.values()) + sum(model.ordinary.values()) + len(model.neutral)
 
-    def cost(w):
-        n = model.unwanted.get(w, 0) + model.ordinary.get(w, 0) + (w in model.neutral)
-        return -math.log(n / total) if n else -math.log(10 / total) + len(w) * math.log(10)
-
-    splits = [[name[a:b] for a, b in zip((0, *cut), (*cut, len(name)), strict=True)] for k in range(2 ** (len(name) - 1)) for cut in [tuple(i + 1 for i in range(len(name) - 1) if k >> i & 1)]]
-    return min(sum(map(cost, s)) for s in splits), cost
+def test_url_words_of_any_length():
+    model = urls.fit(urls.examples(), {"the": 900, "cheap": 50, "pneumonoultramicroscopicsilicovolcanoconiosis": 9, "online": 40})
+    assert model.segment("cheappillsonline") == ["cheap", "pills", "online"] and model.segment("") == []
+    assert model.segment("thepneumonoultramicroscopicsilicovolcanoconiosisbook") == ["the", "pneumonoultramicroscopicsilicovolcanoconiosis", "book"]
+    assert model.segment("q" * 5000) == ["q" * 5000]
+    assert model.words("thecasino.example", "/12/cheap_pills") == ["the", "casino", "example", "cheap", "pills"]
+    with pytest.raises(ValueError):
+        urls.fit(urls.examples(), limit=10)
+
+
+def test_url_model_of_pages_held_out(spark):
+    """Labels are what rules say of addresses that were not in the sample, and hand-made names of no list."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labels = urls.rule_labels(pages)
+    counts = urls.unigrams(pages)
+    assert len(labels) == urls.judged(pages).filter("rule IS NOT NULL").count() and len(counts) > 1000
+    held = labels[: len(labels) // 4]
+    model = urls.fit([*labels[len(held) :], *urls.examples()], counts)
+    right = sum((model.score(*urls.address(u))[0] > 0) == label for u, label in held)
+    assert right > 0.8 * len(held), (right, len(held))
+    rows = urls.judged(pages, model).filter("rule IS NULL").collect()
+    assert sum(r.n_evidence > 0 for r in rows) > 0.95 * len(rows) and {r.verdict for r in rows} == {"allow", "block"}
+    # A page's word count is over all pages, and a limit on labels is by hash alone.
+    brute = Counter(w for r in pages.limit(200).collect() for w in re.findall(r"[^\W\d_]+", re.sub("<[^<>]*>", " ", r.html).lower()))
+    few = urls.unigrams(pages.limit(200))
+    assert few == dict(sorted(brute.items(), key=lambda x: (-x[1], x[0]))[: len(few)])
+    assert urls.rule_labels(pages, limit=50) == labels[:50]
 
 
 def test_url_viterbi_equals_brute_force():
-    model = urls.fit(urls.examples())
-    for name in ("freebets", "xcasinowin", "thebook", "qzqz", "adsnews"):
-        least, cost = brute_segments(model, name)
-        assert abs(sum(map(cost, model.segment(name))) - least) < 1e-9
+    model = urls.fit(urls.examples(), {"win": 30, "in": 80, "c": 5, "the": 100})
+    for name in ("freebets", "xcasinowin", "thebook", "qzqz", "adsnews", "inwin"):
+        splits = [[name[a:b] for a, b in zip((0, *cut), (*cut, len(name)), strict=True)] for k in range(2 ** (len(name) - 1)) for cut in [tuple(i + 1 for i in range(len(name) - 1) if k >> i & 1)]]
+        assert abs(sum(map(model.cost, model.segment(name))) - min(sum(map(model.cost, s)) for s in splits)) < 1e-9
 
 
 def test_html_on_pages(spark):
