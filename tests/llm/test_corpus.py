@@ -52,6 +52,7 @@ def test_slot_maps(spark, tmp_path):
     assert sharding.load(spark, str(tmp_path / "maps")) == grown and sharding.load(spark, str(tmp_path / "maps"), 1) == even
     heavy = [10_000] + [1] * 99
     assert sorted(sharding.SlotMap.initial(4, 100).rebalanced(heavy).loads(heavy))[:3] == [33, 33, 33] or max(sharding.SlotMap.initial(4, 100).rebalanced(heavy).loads(heavy)) == 10_000
+    assert even.rebalanced(load) is even
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "é", 3)], "doc_id long, text string, shard int")
     out = sharding.placed(odd, 2, n_slots=16).collect()
     assert sorted(r["size"] for r in out) == [8, 8, 8, 10]
@@ -59,6 +60,38 @@ def test_slot_maps(spark, tmp_path):
     assert sharding.placed(odd.limit(0), 2, n_slots=16).count() == 0
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    folder, docs = str(tmp_path / "maps"), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    first = {r.doc_id: (r.shard, r.virtual_slot, r.map_version) for r in sharding.placed(docs, 5, n_slots=512, folder=folder).collect()}
+    again = {r.doc_id: (r.shard, r.virtual_slot, r.map_version) for r in sharding.placed(docs, 5, n_slots=512, folder=folder).collect()}
+    assert again == first and {v for _, _, v in first.values()} == {1}
+    # Edited texts stay in their slots, and the map moves no more slots than it must.
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.repeat("text", 3)).otherwise(F.col("text")))
+    third = {r.doc_id: (r.shard, r.virtual_slot, r.map_version) for r in sharding.placed(edited, 5, n_slots=512, folder=folder).collect()}
+    assert {i: s for i, (_, s, _) in third.items()} == {i: s for i, (_, s, _) in first.items()} and {v for _, _, v in third.values()} == {2}
+    assert sum(third[i][0] != first[i][0] for i in first) < 0.3 * len(first)
+    grown = sharding.placed(edited, 6, n_slots=512, folder=folder)
+    rows = grown.collect()
+    assert {r.shard for r in rows} == set(range(6)) and sharding.load(spark, folder).n_shards == 6 and {r.map_version for r in rows} == {3}
+    brute = Counter()
+    for r in rows:
+        brute[r.shard] += r["size"]
+    assert max(brute.values()) - min(brute.values()) < 0.1 * max(brute.values())
+    assert sharding.load(spark, str(tmp_path / "none")) is None
+
+
+def test_a_key_that_repeats_is_spread(spark, tmp_path):
+    folder = str(tmp_path / "maps")
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("a text").alias("text"))
+    for _ in range(2):
+        rows = sharding.placed(df, 4, n_slots=64, folder=folder).collect()
+        shards = Counter(r.shard for r in rows)
+        assert len(rows) == 6000 and max(shards.values()) - min(shards.values()) < 100 and {r.map_version for r in rows} == {1}
+        assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in shards.items())
+        assert max(Counter(r.virtual_slot for r in rows).values()) < 300
+    assert len(sharding.load(spark, folder).spread) == 2
+
+
 def brute_fingerprint(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
