@@ -14,8 +14,11 @@ Each kind is a permutation of its own domain:
   month first, and where that is no date day first, which permutes the cycle's days after the 12th as 9 x 9833. Social security
   numbers: 898 areas x 989,901 groups and serials. Each round adds a keyed hash of one part to the other.
 
+A key is a constant of the plan: where plans are shown or logged, `spark.sql.redaction.string.regex` has to cover it.
+
 Defined results: a null text stays null, an empty one empty. A text without personal data is returned as it is.
-Candidates that fail validation stay as they are. Dates outside 1800 to 2199 stay. Repeated rows are treated alike;
+Candidates that fail validation stay as they are. Dates outside 1800 to 2199 stay. Very long texts are searched whole,
+and secrets may have any length. Repeated rows are treated alike;
 an empty table gives an empty result; other columns pass through. Findings overlap never: the leftmost candidate
 goes first, in the order of `KINDS` at one place.
 """
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh, quoted, table
 
 ROUNDS = 8
-#: The key of the registered query; production passes its own.
-DEMO_KEY = "a key for demonstrations only"
+#: The setting of the session that holds the key of the registered query and the pipeline, and the key where it is unset.
+KEY_SETTING, DEMO_KEY = "spark.tessera.pii.key", "a key for demonstrations only"
 
 # The length of an IBAN by country, as the registry has it.
 IBAN_LENGTHS = {
@@ -47,7 +50,7 @@ def _iban_form() -> str:
 
 # The form of each kind, in the order in which they are tried.
 KINDS = {
-    "secret": r"(?i:(?<![a-z])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"'][a-z0-9_+/=-]{12,200}[\"'])",
+    "secret": r"(?i:(?<![a-z])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"'][a-z0-9_+/=-]{12,}+[\"'])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": _iban_form(),
     "ip": r"(?<![\w.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\w]|\.[0-9])",
@@ -77,13 +80,15 @@ def _rounds(rounds: int, back: bool) -> Column:
 
 
 def _shifted(part: Column, other: Column, key: Column, kind: str, r: Column, hexadecimal: Column, sign: int) -> Column:
-    def one(c: Column, i: Column) -> Column:
-        a, h = F.ascii(c), _hash(key, F.lit(kind), r, i, other) * sign
+    def one(seed: Column, c: Column, i: Column) -> Column:
+        a, h = F.ascii(c), _hash(seed, i) * sign
         letters = F.when(hexadecimal, 6).otherwise(26)
         moved = lambda base, size: F.chr(base + F.pmod(a - base + F.pmod(h, size), size))
         return F.when(c == "", c).when(a.between(48, 57), moved(F.lit(48), F.lit(10))).when(a.between(97, 122), moved(F.lit(97), letters)).when(a.between(65, 90), moved(F.lit(65), letters)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(part, ""), one), "")
+    # The other half is hashed once a round, so that a long value costs no square.
+    seed = F.sha2(F.concat_ws("|", key, F.lit(kind), r.cast("string"), other, key), 256)
+    return _let(seed, lambda x: F.array_join(F.transform(F.split(part, ""), lambda c, i: one(x, c, i)), ""))
 
 
 def permute_text(value: Column, key: Column, kind: str, back: bool = False, rounds: int = ROUNDS) -> Column:
@@ -272,5 +277,9 @@ def reveal(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return pseudonymised(df, key, text, back=True)
 
 
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING) or DEMO_KEY
+
+
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY, count="n_replaced")
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), count="n_replaced")
