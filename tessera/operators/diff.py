@@ -98,3 +98,20 @@ def index_changes(previous: Graph, current: Graph) -> DataFrame:
     out = rows(edges, "removed", 0, "remove", "edge", "edge_id").unionByName(rows(nodes, "removed", 1, "remove", "node", "id")).unionByName(rows(nodes, "modified", 1, "replace", "node", "id"))
     out = out.unionByName(rows(nodes, "added", 2, "add", "node", "id")).unionByName(rows(edges, "added", 3, "add", "edge", "edge_id"))
     return out.unionByName(refreshed.select(F.lit(4).alias("phase"), F.lit("refresh").alias("operation"), F.lit("edge").alias("entity"), F.col("edge_id").alias("id")))
+
+
+def diff_builds(previous: dict[str, DataFrame | Graph], current: dict[str, DataFrame | Graph]) -> dict[str, DataFrame]:
+    """All differences of two builds, by name: `nodes`, `edges` and `summary`, and of what both have else: `ledger`,
+    `diagnostics`, `statistics` (long tables of `reference_statistics`), `report` (long tables of `graph_report`).
+
+    A build holds its `graph` and any of `ledger`, `diagnostics`, `statistics` and `report`.
+    """
+    p, c = previous["graph"], current["graph"]
+    out = {"nodes": diff_nodes(p, c), "edges": diff_edges(p, c), "summary": diff_summary(p, c)}
+    parts = {"ledger": diff_ledgers, "diagnostics": diff_diagnostics, "statistics": diff_distribution, "report": diff_distribution}
+    return out | {name: compare(previous[name], current[name]) for name, compare in parts.items() if name in previous and name in current}
+
+
+def builds_equal(differences: dict[str, DataFrame]) -> bool:
+    """Whether no part of `diff_builds` has a difference."""
+    return all(df.filter("n > 0").isEmpty() if name == "summary" else df.isEmpty() for name, df in differences.items())

@@ -41,19 +41,28 @@ def collect(observations: DataFrame) -> DataFrame:
     )
 
 
+def stage_problem(outcomes: DataFrame) -> DataFrame:
+    """`outcomes` with `problem`: a resolver's `provenance` must be there and say what the outcome's state says."""
+    state = F.create_map(*[F.lit(x) for outcome, (s, _, _) in RULES.items() for x in (outcome, s)])
+    wrong = ~F.forall("provenance", lambda p: p["resolution"] == F.element_at(state, F.col("outcome")))
+    return outcomes.withColumn("problem", F.when(_no_provenance(), "missing_provenance").when(F.exists("provenance", lambda p: p["resolution"] == "not_applicable"), "not_applicable_provenance").when(wrong, "invalid_stage_provenance"))
+
+
 def finish(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Collected requests with the outcome of their `id` in `outcomes` (`id`, `outcome`, `candidates`).
+    """Collected requests with the outcome of their `id` in `outcomes` (`id`, `outcome`, `candidates`, `provenance`).
 
+    The provenance of the resolver joins that of the request; without such a column the request keeps its own alone.
     Requests that are terminal already stay as they are.
     """
     state = F.create_map(*[F.lit(x) for outcome, (s, _, _) in RULES.items() for x in (outcome, s)])
-    new = outcomes.select("id", F.col("outcome").alias("_outcome"), F.array_sort(F.array_distinct("candidates")).alias("_candidates"))
+    new = outcomes.select("id", F.col("outcome").alias("_outcome"), F.array_sort(F.array_distinct("candidates")).alias("_candidates"), *([F.col("provenance").alias("_provenance")] if "provenance" in outcomes.columns else []))
     out = requests.join(new, "id", "left")
     open_ = (F.col("state") == "collected") & F.col("_outcome").isNotNull()
     return out.select(*(
         F.when(open_, F.element_at(state, F.col("_outcome"))).otherwise(F.col("state")).alias("state") if c == "state" else
         F.when(open_, F.col("_outcome")).otherwise(F.col("outcome")).alias("outcome") if c == "outcome" else
-        F.when(open_, F.col("_candidates")).otherwise(F.col("candidates")).alias("candidates") if c == "candidates" else F.col(c)
+        F.when(open_, F.col("_candidates")).otherwise(F.col("candidates")).alias("candidates") if c == "candidates" else
+        F.when(open_, F.array_distinct(F.concat("provenance", F.coalesce("_provenance", F.slice("provenance", 1, 0))))).otherwise(F.col("provenance")).alias("provenance") if c == "provenance" and "_provenance" in new.columns else F.col(c)
         for c in requests.columns
     ))
 

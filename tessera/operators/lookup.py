@@ -1,7 +1,7 @@
 """Exact lookups, ownership, neighbours and direct dependencies.
 
-Every function is a plan over the whole graph or over the nodes that a filter names; a node id given as a string is a
-filter that reaches the scan. Names compare exactly and case matters. Unknown ids give no rows.
+Every function is a plan over the whole graph or over the nodes that a filter names; on a stored snapshot a node id
+given as a string is a filter that reaches the scan. Names compare exactly and case matters. Unknown ids give no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ def contains_node(g: Graph, ids: DataFrame) -> DataFrame:
     return ids.join(known, "id", "left").select(*ids.columns, F.coalesce("_known", F.lit(False)).alias("exists"))
 
 
+def contains_edge(g: Graph, edges: DataFrame) -> DataFrame:
+    """`edges` (columns `source`, `target`, `kind`) with `exists`."""
+    known = g.edges.select("source", "target", "kind", F.lit(True).alias("_known"))
+    return edges.join(known, ["source", "target", "kind"], "left").select(*edges.columns, F.coalesce("_known", F.lit(False)).alias("exists"))
+
+
 def nodes_by_kind(g: Graph, kind: str) -> DataFrame:
     """Nodes of a kind, or of `metadata.<kind>`."""
     return g.nodes.filter(code() == kind if "." in kind else F.col("kind") == kind)

@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import Graph
+from tessera.operators.validate import validate
 from tessera.schema import code
 
 _COLUMNS = ("section", "metric", "key", "value")
@@ -86,25 +87,74 @@ def unregistered_kinds(g: Graph, registry: DataFrame) -> DataFrame:
     return observed_coverage(g).join(registry.select("entity", "code").distinct(), ["entity", "code"], "left_anti").select("entity", "code", "total")
 
 
+# Statuses, categories whose absence weighs most, and what to do about the first kind of evidence missing.
+STATUSES = "supported partially_supported unsupported not_applicable declared_only".split()
+CORE = "metadata_entity semantic_node ownership_relation metadata_reference semantic_edge".split()
+ACTIONS = (
+    (("node_emitted",), "Emit the typed node in its owning adapter and add representative integration coverage"),
+    (("ownership_edge_emitted",), "Emit and validate the owner-child edge with provenance"),
+    (("reference_resolved", "semantic_edge_emitted"), "Complete typed resolution and emit the resulting semantic edge"),
+    (("provenance_attached",), "Attach provenance at the fact creation site and add regression coverage"),
+    (("positive_test_exists", "negative_test_exists"), "Add the missing representative positive or negative test"),
+)
+
+
+def _any(column: Column, names: tuple[str, ...] | list[str]) -> Column:
+    return F.arrays_overlap(column, F.array(*map(F.lit, names)))
+
+
 def coverage_report(g: Graph, registry: DataFrame) -> DataFrame:
-    """`registry` (`entity`, `code`, `category`, `required`, `evidence`: arrays) with what it lacks.
+    """The gaps of a `registry` (`id`, `entity`, `code`, `category`, `status`, `required`, `evidence`: arrays of names).
 
-    `status` is supported where the evidence holds all that is required, partial where it holds some, else planned.
-    A gap is critical where the kind occurs without any evidence, high where it occurs with some, medium where some
-    evidence is there and the kind doesn't occur, else low.
+    Gaps are what is not supported whole and applies. A gap is critical where emitted facts lack provenance or calls
+    lack their diagnostic, high where a core category is not there at all, medium where support or a test is partial,
+    else low. `observed` counts the facts of the kind in the graph. A registry names each `id` once (`repeated_ids`).
     """
     seen = observed_coverage(g).select("entity", "code", "total")
-    out = registry.join(seen, ["entity", "code"], "left").withColumn("observed", F.coalesce("total", F.lit(0)))
-    lacking, some = F.array_except("required", "evidence"), F.size(F.array_intersect("required", "evidence")) > 0
-    status = F.when(F.size(lacking) == 0, "supported").when(some, "partial").otherwise("planned")
-    priority = F.when(F.size(lacking) == 0, "none").when((F.col("observed") > 0) & ~some, "critical").when(F.col("observed") > 0, "high").when(some, "medium").otherwise("low")
-    action = F.when(priority == "none", "keep").when(priority == "critical", "add support").when(some, "complete evidence").otherwise("plan support")
-    return out.select("entity", "code", "category", status.alias("status"), F.array_join(F.array_sort(lacking), ",").alias("gaps"), priority.alias("priority"), action.alias("action"), F.col("observed").cast("bigint").alias("observed"))
+    out = registry.join(seen, ["entity", "code"], "left").withColumn("missing", F.array_sort(F.array_except("required", "evidence")))
+    missing, evidence, status = F.col("missing"), F.col("evidence"), F.col("status")
+    gap = (status != "not_applicable") & ~((status == "supported") & (F.size(missing) == 0))
+    bare = _any(missing, ["provenance_attached"]) & _any(evidence, ["node_emitted", "semantic_edge_emitted"])
+    mute = (F.col("id") == "metadata_reference.bsl_call") & _any(missing, ["diagnostic_emitted"])
+    absent = F.col("category").isin(*CORE) & status.isin("unsupported", "declared_only")
+    partial = (status == "partially_supported") | _any(missing, ["positive_test_exists", "negative_test_exists"])
+    priority = F.when(bare | mute, "critical").when(absent, "high").when(partial, "medium").otherwise("low")
+    action = F.when(F.lit(False), "")
+    for names, text in ACTIONS:
+        action = action.when(_any(missing, names), text)
+    action = action.otherwise(F.concat(F.lit("Complete missing evidence for "), "id"))
+    return out.filter(gap).select("id", "entity", "code", "category", "status", F.array_join("missing", ",").alias("missing"), priority.alias("priority"), action.alias("action"), F.coalesce("total", F.lit(0)).cast("bigint").alias("observed"))
+
+
+def inconsistent_capabilities(registry: DataFrame) -> DataFrame:
+    """Rows of a registry whose status contradicts their evidence, or whose `id` is there more than once."""
+    lacking = F.size(F.array_except("required", "evidence")) > 0
+    fits = (
+        F.when(F.col("status") == "supported", ~lacking).when(F.col("status") == "partially_supported", lacking & (F.size("evidence") > 0)).when(F.col("status") == "unsupported", ~_any(F.col("evidence"), ["node_emitted", "semantic_edge_emitted"]))
+        .when(F.col("status") == "not_applicable", F.size("required") == 0).when(F.col("status") == "declared_only", _any(F.col("evidence"), ["node_kind_declared", "edge_kind_declared"])).otherwise(False)
+    )
+    repeated = registry.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("repeated_id").alias("problem"))
+    return registry.filter(~fits).select("id", F.lit("status_contradicts_evidence").alias("problem")).unionByName(repeated)
+
+
+def coverage_summary(report: DataFrame, registry: DataFrame) -> DataFrame:
+    """Capabilities by category and status, and gaps by priority, as long rows."""
+    out = _totals(registry, "coverage", {"total": F.count("*")})
+    for df, metric, column in ((registry, "by_category", "category"), (registry, "by_status", "status"), (report, "by_gap_priority", "priority")):
+        out = out.unionByName(_long(df, "coverage", metric, F.col(column)))
+    return out
 
 
-def configuration_summary(g: Graph, errors: int = 0) -> DataFrame:
-    """One row: the configuration node, the sizes of the graph and whether validation found no error."""
+def configuration_summary(g: Graph, requests: DataFrame | None = None, diagnostics: DataFrame | None = None) -> DataFrame:
+    """One row: the configuration node, the sizes of the graph, what its validation finds, and its references."""
     conf = g.nodes.filter("kind = 'metadata' and metadata_kind = 'configuration'").agg(F.min("id").alias("configuration_id"), F.min("name").alias("name"))
-    n = g.nodes.agg(F.count("*").alias("nodes"))
-    e = g.edges.agg(F.count("*").alias("edges"))
-    return conf.join(F.broadcast(n)).join(F.broadcast(e)).withColumn("valid", F.lit(errors == 0))  # single rows
+    issues = validate(g).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    parts = [g.nodes.agg(F.count("*").alias("nodes")), g.edges.agg(F.count("*").alias("edges")), issues.withColumn("valid", F.col("errors") == 0)]
+    if diagnostics is not None:
+        parts.append(diagnostics.agg(F.count("*").alias("diagnostics")))
+    if requests is not None:
+        done = requests.filter("state != 'collected'")
+        parts.append(done.agg(F.count("*").alias("references"), F.count_if(F.col("outcome") == "resolved").alias("resolved"), F.count_if(F.col("outcome") == "partial_workspace").alias("unresolved")))
+    for part in parts:  # single rows
+        conf = conf.join(F.broadcast(part))
+    return conf

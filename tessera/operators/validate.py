@@ -1,8 +1,8 @@
 """Validation: every broken rule is an issue row.
 
 `code`, `severity` (error, warning), `nodes` (the ids concerned, joined by a bar), `edge_id`, `edge_kind`,
-`source_code` and `target_code`. Checks are anti joins and groupings; only the walk around ownership cycles and the
-search in subsystem cycles go step by step, over what is left when everything that can't be on a cycle is gone.
+`source_code` and `target_code`. Checks are anti joins and groupings; ownership cycles are found by doubled steps, and
+the search in subsystem cycles goes over what is left when everything that can't be on a cycle is gone.
 """
 
 from __future__ import annotations
@@ -104,22 +104,34 @@ def _on_or_before_cycles(pairs: DataFrame) -> DataFrame:
 def ownership_cycle_issues(g: Graph) -> DataFrame:
     """From every node up the least owner: where an owner comes again, the path so far and that owner.
 
-    Nodes that lead into a cycle report it as well. The path grows by one owner per round for all nodes at once.
+    Nodes that lead into a cycle report it as well. Steps up are doubled each round, so a tree of depth d is done in
+    log d rounds; paths are only made for the nodes that are left when no chain ends any more.
     """
-    up = g.edges.filter("kind = 'contains'").groupBy(F.col("target").alias("a")).agg(F.min("source").alias("b"))
-    left = _on_or_before_cycles(up)
-    # `seen` holds the owners met, `path` the nodes gone through.
-    walk = settled(left.select("a", F.array("a").alias("path"), F.col("b").alias("current"), F.array("b").alias("seen")))
-    out = None
-    step = left.select(F.col("a").alias("current"), F.col("b").alias("_next"))
-    while not walk.isEmpty():
-        moved = walk.join(step, "current").withColumn("path", F.concat("path", F.array("current")))
-        moved = settled(moved)
-        closed = F.array_contains("seen", F.col("_next"))
-        done = _issues(moved.filter(closed), "cycle", F.array_join(F.concat("path", F.array("_next")), "|"), edge_kind=F.lit("contains"))
-        out = done if out is None else out.unionByName(done)
-        walk = settled(moved.filter(~closed).select("a", "path", F.col("_next").alias("current"), F.concat("seen", F.array("_next")).alias("seen")))
-    return out if out is not None else _issues(g.nodes.limit(0), "cycle", F.col("id"), edge_kind=F.lit("contains"))
+    up = settled(g.edges.filter("kind = 'contains'").groupBy(F.col("target").alias("a")).agg(F.min("source").alias("b")))
+    none = _issues(g.nodes.limit(0), "cycle", F.col("id"), edge_kind=F.lit("contains"))
+    leap, left = up, up.count()
+    while left:
+        # The nodes whose chain is at least twice as long.
+        leap = settled(leap.join(leap.select(F.col("a").alias("b"), F.col("b").alias("_further")), "b").select("a", F.col("_further").alias("b")))
+        before, left = left, leap.count()
+        if left == before:
+            break
+    if not left:
+        return none
+    # What is left leads into a cycle, and so does every owner of it.
+    paths = settled(up.join(leap.select("a"), "a", "left_semi").select("a", F.array("b").alias("owners")))
+    open_ = F.size(F.array_distinct("owners")) == F.size("owners")
+    while not paths.filter(open_).isEmpty():
+        further = paths.select(F.col("a").alias("_last"), F.col("owners").alias("_more"))
+        longer = paths.filter(open_).withColumn("_last", F.element_at("owners", -1)).join(further, "_last").select("a", F.concat("owners", "_more").alias("owners"))
+        paths = settled(longer.unionByName(paths.filter(~open_)))
+    at = F.element_at(F.filter(F.sequence(F.lit(1), F.size("owners")), lambda i: F.array_position("owners", F.element_at("owners", i)) < i), 1)
+    closed = paths.select(F.concat(F.array("a"), F.slice("owners", 1, at)).alias("way"))
+    return _issues(closed, "cycle", F.array_join("way", "|"), edge_kind=F.lit("contains"))
+
+
+#: Starts of a component that one task searches from.
+STARTS = 200
 
 
 def subsystem_cycle_issues(g: Graph) -> DataFrame:
@@ -131,10 +143,15 @@ def subsystem_cycle_issues(g: Graph) -> DataFrame:
     pairs = pairs.join(subsystems.withColumnRenamed("id", "a"), "a", "left_semi").join(subsystems.withColumnRenamed("id", "b"), "b", "left_semi")
     down = _on_or_before_cycles(pairs)
     both = _on_or_before_cycles(down.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    # Cycles lie within components of what is left, and each component is searched in a task of its own.
+    if both.isEmpty():
+        return _issues(g.nodes.limit(0), "cycle", F.col("id"), edge_kind=F.lit("includes"))
+    # Cycles lie within components of what is left. A search in order of depth needs its component's links at hand, so
+    # these go to every task of the component; its starts are dealt over the tasks.
     roots = _component_roots(both)
-    grouped = both.join(roots, both["a"] == roots["node"]).select("root", "a", "b")
-    found = grouped.groupBy("root").applyInPandas(_cycles_of, "nodes string")
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / STARTS).cast("int").alias("parts"))
+    grouped = both.join(roots, both["a"] == roots["node"]).join(sizes, "root").select("root", "a", "b", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    grouped = grouped.withColumn("own", F.pmod(F.xxhash64("a"), F.col("parts")) == F.col("part"))
+    found = grouped.groupBy("root", "part").applyInPandas(_cycles_of, "nodes string")
     return _issues(found, "cycle", F.col("nodes"), edge_kind=F.lit("includes"))
 
 
@@ -155,7 +172,7 @@ def _cycles_of(rows: pd.DataFrame) -> pd.DataFrame:
     for a, b in zip(rows["a"], rows["b"], strict=True):
         children.setdefault(a, []).append(b)
     out = []
-    for start in sorted(children):
+    for start in sorted(set(rows["a"][rows["own"]])):
         stack, seen = [(start, (start,))], set()
         found = None
         while stack and not found:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.graph import Graph
-from tessera.operators import context, diff, impact, lookup, report, resolve, traverse, validate
+from tessera.operators import context, diff, impact, ledger, lookup, report, resolve, traverse, validate
 from tessera.schema import CONTEXT_PRIORITY, DEPENDENCY_KINDS, EDGE_KINDS, NO_SELF_LOOP, OWNED, allowed_endpoints, code
 from tessera.sources import bsl, query_language
 from tessera.sources.tables import graph_of
@@ -70,7 +70,7 @@ _SIX = "('" + "', '".join(DEPENDENCY_KINDS) + "')"
 
 
 #: Operators that read the graph many times; the others pass over it once and need nothing kept.
-_MANY_PASSES = ("traverse", "subsystem_members", "context", "validation", "graph_report", "diff_", "index_changes", "impact")
+_MANY_PASSES = ("traverse", "subsystem_members", "context", "validation", "graph_report", "diff_", "index_changes", "impact", "configuration_summary")
 
 
 def _kept(name: str, g: Graph) -> Graph:
@@ -109,6 +109,8 @@ def _relation_sql(own: str, other: str, where: str) -> str:
 # --- lookups ------------------------------------------------------------------------------------------------------
 _register("node_by_id", lambda g: _node_columns(lookup.node(g, "customer:7")), f"{_NODES} where id = 'customer:7'")
 _register("contains_node", lambda g: lookup.contains_node(g, g.nodes.sparkSession.createDataFrame([("cfg",), ("part:3",), ("part:-1",)], "id string")), "select v.id, exists (select 1 from nodes where nodes.id = v.id) \"exists\" from (values ('cfg'), ('part:3'), ('part:-1')) v(id)")
+_PAIRS = "('cfg', 'part:5', 'contains'), ('cfg', 'part:5', 'reads'), ('part:5', 'cfg', 'contains')"
+_register("contains_edge", lambda g: lookup.contains_edge(g, g.nodes.sparkSession.sql(f"select * from values {_PAIRS} v(source, target, kind)")), f"select v.*, exists (select 1 from edges e where e.source = v.source and e.target = v.target and e.kind = v.kind) \"exists\" from (values {_PAIRS}) v(source, target, kind)")
 _register("nodes", lambda g: _node_columns(g.nodes), _NODES)
 _register("nodes_by_kind", lambda g: _node_columns(lookup.nodes_by_kind(g, "metadata.document")), f"{_NODES} where code = 'metadata.document'")
 _register("nodes_by_name", lambda g: _node_columns(lookup.nodes_by_name(g, "Line 1")), f"{_NODES} where name = 'Line 1'")
@@ -253,7 +255,6 @@ _REPORT_SQL = "\nunion all ".join(
 )
 _register("graph_report", report.graph_report, _REPORT_SQL)
 _register("observed_coverage", report.observed_coverage, "select 'node' entity, code, count(*) total, count(*) filter (prov) with_provenance, count(*) filter (not prov) without_provenance from codes group by code union all select 'edge', kind, count(*), count(*) filter (prov), count(*) filter (not prov) from edges group by kind")
-_register("configuration_summary", report.configuration_summary, "select 'cfg' configuration_id, 'Configuration' name, (select count(*) from nodes) nodes, (select count(*) from edges) edges, true \"valid\"")
 _ISSUE = "null edge_id, 'contains' edge_kind, null source_code, code target_code"
 _SCHEMA_SQL = "(values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in allowed_endpoints()) + ")"
 _LOOPS = "('" + "', '".join(NO_SELF_LOOP) + "')"
@@ -270,6 +271,75 @@ union all select 'graph.semantic.invalid_owner', 'error', id, {_ISSUE} from code
 select * from issues"""
 _register("validation", validate.validate)
 ORACLES["validation"] = f"with recursive {_GRAPH}{_VALIDATION_SQL}"
+_register("configuration_summary", report.configuration_summary)
+_COUNTED = "select 'cfg' configuration_id, 'Configuration' name, (select count(*) from nodes) nodes, (select count(*) from edges) edges, count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings, count(*) filter (severity = 'error') = 0 \"valid\" from issues"
+ORACLES["configuration_summary"] = ORACLES["validation"].replace("select * from issues", _COUNTED)
+
+# --- reference requests: each line asks for its part, for one that isn't there, and for its order as a catalog --------
+
+
+def _requests(g: Graph) -> DataFrame:
+    """The finished ledger; the requests of every tenth order are only collected."""
+    lines = g.nodes.filter("kind = 'attribute' and name like 'Line %'").select("id", F.split("id", ":").alias("p"))
+    record = lambda source, resolution: F.struct(source.alias("source"), resolution.alias("resolution"))
+    asked = lines.select("id", F.col("p")[1].alias("order"), F.explode(F.array(F.concat(F.lit("part:"), F.col("p")[5]), F.concat(F.lit("part:-"), F.col("p")[5]), F.concat(F.lit("order:"), F.col("p")[1]))).alias("reference"))
+    observed = asked.select(F.col("id").alias("source_node"), F.lit("metadata_reference").alias("category"), "reference", F.array(F.lit("metadata.catalog")).alias("expected_kinds"), F.array(record(F.lit("lineitem"), F.lit("unresolved"))).alias("provenance"))
+    collected = ledger.collect(observed).filter("problem is null").drop("problem")
+    found = resolve.resolve_ids(g, collected.filter("not source_node like 'order:%0:line:%'").select("id", "reference"), "metadata.catalog")
+    state = F.when(F.col("outcome") == "resolved", "resolved").when(F.col("outcome") == "missing_target", "unresolved").otherwise("rejected")
+    outcomes = found.select("id", "outcome", F.array_compact(F.array("first_candidate")).alias("candidates"), F.array(record(F.lit("resolver"), state)).alias("provenance"))
+    return ledger.finish(collected, outcomes)
+
+
+def _request_rows(g: Graph) -> DataFrame:
+    kept, _ = ledger.insert(_requests(g))
+    return kept.select("id", "source_node", "reference", "state", "outcome", F.size("candidates").cast("bigint").alias("n_candidates"), F.size("provenance").cast("bigint").alias("n_provenance"), ledger.lifecycle_problem().alias("problem"))
+
+
+def _request_issues(g: Graph) -> DataFrame:
+    requests = _requests(g).withColumn("edge_kind", F.lit("references"))
+    told = requests.filter("outcome = 'missing_target' and reference like 'part:-%1'").select(F.lit("c").alias("code"), F.col("outcome").alias("kind"), "source_node", "reference")
+    return validate.request_issues(g, requests, told).select("code", "severity", "nodes", "edge_kind", "target_code")
+
+
+_REQUESTS_SQL = """, asked as (select l.id source_node, r.reference, l.k % 10 = 0 open from lines_ l, lateral (values ('part:' || l.p), ('part:-' || l.p), ('order:' || l.k)) r(reference)),
+found as (select a.*, n.id is not null and not open there, case when open then null when n.id is null then 'missing_target' when n.code = 'metadata.catalog' then 'resolved' else 'incompatible_kind' end outcome from asked a left join codes n on n.id = a.reference),
+requests as (select *, case when open then 'collected' when outcome = 'resolved' then 'resolved' when outcome = 'missing_target' then 'unresolved' else 'rejected' end state from found)
+"""
+_register("reference_requests", _request_rows, _REQUESTS_SQL.strip() + """ select 'reference_request;source#' || strlen(source_node) || ':' || source_node || ';category#18:metadata_reference;reference#' || strlen(reference) || ':' || reference || ';expected_kind#16:metadata.catalog' id,
+source_node, reference, state, outcome, cast(there as bigint) n_candidates, cast(case when open then 1 else 2 end as bigint) n_provenance, cast(null as varchar) problem from requests""")
+_register("reference_statistics", lambda g: report.reference_statistics(_requests(g)), _REQUESTS_SQL.strip() + """, done as (select * from requests where not open) select 'references' section, m metric, '' "key", v "value" from (select count(*) n, count(*) filter (outcome = 'resolved') r from done), lateral (values ('total', n), ('with_provenance', n), ('without_provenance', 0), ('resolution_numerator', r), ('resolution_denominator', n)) t(m, v)
+union all select 'references', 'by_outcome', outcome, count(*) from done group by outcome""")
+_register("request_issues", _request_issues, _REQUESTS_SQL.strip() + """ select 'graph.build.reference_request.non_terminal' code, 'error' severity, source_node nodes, cast(null as varchar) edge_kind, cast(null as varchar) target_code from requests where open
+union all select 'graph.build.reference_request.missing_edge_projection', 'error', source_node || '|' || reference, 'references', null from requests where outcome = 'resolved' and not exists (select 1 from edges e where e.source = source_node and e.target = reference and e.kind = 'references')
+union all select 'graph.build.reference_request.missing_diagnostic_projection', 'error', source_node, null, null from requests where outcome in ('missing_target', 'incompatible_kind') and not (outcome = 'missing_target' and reference like 'part:-%1')""")
+for _name in ("reference_requests", "reference_statistics", "request_issues"):
+    ORACLES[_name] = ORACLES[_name].replace("\n, asked as", ", asked as")
+
+#: A registry of capabilities for an example: id, entity, code, category, status, required and held evidence.
+_REGISTRY = (
+    ("metadata_entity.document", "node", "metadata.document", "metadata_entity", "supported", "node_emitted provenance_attached", "node_emitted provenance_attached"),
+    ("semantic_node.module", "node", "module", "semantic_node", "partially_supported", "node_emitted provenance_attached", "node_emitted"),
+    ("metadata_reference.bsl_call", "edge", "calls", "metadata_reference", "partially_supported", "semantic_edge_emitted diagnostic_emitted provenance_attached", "semantic_edge_emitted provenance_attached"),
+    ("semantic_edge.writes", "edge", "writes", "semantic_edge", "declared_only", "edge_kind_declared semantic_edge_emitted", "edge_kind_declared"),
+    ("semantic_edge.reads", "edge", "reads", "semantic_edge", "partially_supported", "semantic_edge_emitted negative_test_exists", "semantic_edge_emitted"),
+    ("query_capability.paths", "node", "none", "query_capability", "unsupported", "query_exposed", ""),
+    ("validation_rule.none", "node", "none", "validation_rule", "not_applicable", "", ""),
+)
+
+
+def _registry(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(*r[:5], r[5].split(), r[6].split()) for r in _REGISTRY], "id string, entity string, code string, category string, status string, required array<string>, evidence array<string>")
+
+
+_REGISTRY_SQL = ", ".join("(" + ", ".join([*(f"'{x}'" for x in r[:5]), *(f"cast({x.split()} as varchar[])" for x in r[5:])]) + ")" for r in _REGISTRY)
+_ACTIONS_SQL = " ".join(f"when list_has_any(missing, {list(names)}) then '{text}'" for names, text in report.ACTIONS)
+_register(
+    "coverage_report", lambda g: report.coverage_report(g, _registry(g.nodes.sparkSession)),
+    f"""select id, entity, code, category, status, array_to_string(missing, ',') missing, case when list_has_any(missing, ['provenance_attached']) and list_has_any(evidence, ['node_emitted', 'semantic_edge_emitted']) then 'critical' when id = 'metadata_reference.bsl_call' and list_contains(missing, 'diagnostic_emitted') then 'critical'
+when category in {tuple(report.CORE)} and status in ('unsupported', 'declared_only') then 'high' when status = 'partially_supported' or list_has_any(missing, ['positive_test_exists', 'negative_test_exists']) then 'medium' else 'low' end priority, case {_ACTIONS_SQL} else 'Complete missing evidence for ' || id end action,
+case entity when 'node' then (select count(*) from codes c where c.code = v.code) else (select count(*) from edges e where e.kind = v.code) end observed from (select *, list_sort([x for x in required if not list_contains(evidence, x)]) missing from (values {_REGISTRY_SQL}) r(id, entity, code, category, status, required, evidence)) v where status <> 'not_applicable' and not (status = 'supported' and len(missing) = 0)""",
+)
 
 # --- differences and impact ---------------------------------------------------------------------------------------
 _NODE_DIFF = "select coalesce(p.id, c.id) id, case when p.id is null then 'added' when c.id is null then 'removed' else 'modified' end change, case when p.id is null or c.id is null then '' else concat_ws(',', case when p.prov <> c.prov then 'provenance' end, case when p.name <> c.name or p.code <> c.code then 'semantic_content' end) end aspects from codes0 p full join codes1 c on p.id = c.id where p.id is null or c.id is null or p.prov <> c.prov or p.name <> c.name or p.code <> c.code"

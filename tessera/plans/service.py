@@ -17,13 +17,15 @@ from tessera.operators import context, impact, lookup, report, traverse, validat
 from tessera.schema import EDGE_KINDS, code
 
 MAX_ROWS, DEFAULT_ROWS, MAX_DEPTH = 100, 50, 4
+#: What `GraphService.call` may call.
+TOOLS = "configurations node relations traverse tool_relations tool_traverse validation diagnostic_rows summary impact context symbols document_diagnostics".split()
 SYMBOL_KINDS = ("module", "procedure", "function", "query")
 
 
 class ServiceError(ValueError):
-    """`code` is not_ready (503), not_found (404) or invalid_parameter (400)."""
+    """`code` is not_ready (503), not_found (404), invalid_parameter (400), too_many (400) or denied (403)."""
 
-    STATUS = {"not_ready": 503, "not_found": 404, "invalid_parameter": 400}
+    STATUS = {"not_ready": 503, "not_found": 404, "invalid_parameter": 400, "too_many": 400, "denied": 403}
 
     def __init__(self, code_: str, message: str):
         super().__init__(message)
@@ -98,6 +100,7 @@ class GraphService:
 
     graphs: dict[str, Graph]
     diagnostics: dict[str, DataFrame] = field(default_factory=dict)
+    requests: dict[str, DataFrame] = field(default_factory=dict)
 
     def _graph(self, configuration: str) -> Graph:
         if not self.graphs:
@@ -145,8 +148,12 @@ class GraphService:
 
     def validation(self, configuration: str, limit: int = DEFAULT_ROWS) -> dict:
         issues = validate.validate(self._graph(configuration)).persist()
-        valid = validate.is_valid(issues)
-        return _bounded(issues.orderBy("severity", "code", "nodes", "edge_id"), _limit(limit)) | {"valid": valid}
+        try:
+            counts = {r["severity"]: r["count"] for r in issues.groupBy("severity").count().collect()}
+            found = _bounded(issues.orderBy("severity", "code", "nodes", "edge_id"), _limit(limit))
+        finally:
+            issues.unpersist()
+        return found | {"valid": not counts.get("error"), "errors": counts.get("error", 0), "warnings": counts.get("warning", 0)}
 
     def diagnostic_rows(self, configuration: str, limit: int = DEFAULT_ROWS) -> dict:
         self._graph(configuration)
@@ -155,7 +162,14 @@ class GraphService:
         return _bounded(self.diagnostics[configuration].orderBy("source_node", "kind", "reference", "code"), _limit(limit))
 
     def summary(self, configuration: str) -> dict:
-        return report.configuration_summary(self._graph(configuration)).first().asDict()
+        return report.configuration_summary(self._graph(configuration), self.requests.get(configuration), self.diagnostics.get(configuration)).first().asDict()
+
+    def call(self, rules: list[Rule], tool: str, *arguments, confirmed: bool = False, **named):
+        """A method by its name, if the policy allows it, or wants it confirmed and it is."""
+        effect = evaluate(rules, tool)
+        if effect == "deny" or effect == "confirm" and not confirmed or tool not in TOOLS:
+            raise ServiceError("denied", f"{tool} is {'to be confirmed' if effect == 'confirm' else 'not allowed'}")
+        return getattr(self, tool)(*arguments, **named)
 
     def impact(self, previous: str, current: str, depth: int = 1, limit: int = DEFAULT_ROWS) -> dict:
         """What differs between two configurations and what that affects."""
@@ -179,11 +193,14 @@ class GraphService:
         return found
 
     def document_diagnostics(self, configuration: str, path: str) -> list[dict]:
-        """Diagnostics whose source node is located in a document."""
+        """Diagnostics whose source node is located in a document; more than `MAX_ROWS` are an error."""
         if configuration not in self.diagnostics:
             return []
         located = self._graph(configuration).nodes.select(F.col("id").alias("source_node"), F.explode("provenance").alias("p")).filter(F.col("p.path") == path).select("source_node").distinct()
-        return [r.asDict() for r in self.diagnostics[configuration].join(located, "source_node", "left_semi").orderBy("source_node", "kind", "code").collect()]
+        found = _bounded(self.diagnostics[configuration].join(located, "source_node", "left_semi").orderBy("source_node", "kind", "code"), MAX_ROWS)
+        if found["truncated"]:
+            raise ServiceError("too_many", f"{path} has more than {MAX_ROWS} diagnostics")
+        return found["items"]
 
 
 def symbol_search(nodes: DataFrame, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,28 +56,47 @@ def write(tables: dict[str, DataFrame], folder: str, sources: str) -> str:
     return snapshot
 
 
-def publish(spark: SparkSession, folder: str, snapshot: str) -> None:
-    """Makes a written snapshot the current one. Pointers are only added; the latest counts."""
-    spark.range(0, 1, 1, 1).select(F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("published"), F.lit(_revision(spark, folder) + 1).cast("bigint").alias("revision")).write.mode("append").parquet(f"{folder}/current")
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _path(spark, path)
+    return fs.exists(p)
 
 
-def _revision(spark: SparkSession, folder: str) -> int:
-    if not _exists(spark, f"{folder}/current"):
-        return 0
-    return spark.read.parquet(f"{folder}/current").agg(F.max("revision")).first()[0] or 0
+def _revisions(spark: SparkSession, folder: str) -> list[int]:
+    fs, p = _path(spark, f"{folder}/current")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def publish(spark: SparkSession, folder: str, snapshot: str) -> int:
+    """Makes a written snapshot the current one, and gives its revision.
+
+    A revision is a file that only one publisher can create; who comes second takes the next. Pointers are only added.
+    """
+    while True:
+        revision = max(_revisions(spark, folder), default=0) + 1
+        fs, p = _path(spark, f"{folder}/current/{revision}")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(p):
+                continue
+            raise
+        out.write(bytearray(snapshot.encode()))
+        out.close()
+        return revision
 
 
 def current(spark: SparkSession, folder: str) -> str | None:
-    """The id of the published snapshot."""
-    if not _exists(spark, f"{folder}/current"):
-        return None
-    return spark.read.parquet(f"{folder}/current").agg(F.max_by("snapshot", "revision")).first()[0]
+    """The id of the published snapshot; a revision whose file is not written yet doesn't count."""
+    for revision in reversed(_revisions(spark, folder)):
+        row = spark.read.text(f"{folder}/current/{revision}").first()
+        if row is not None and len(row[0]) == 32:
+            return row[0]
+    return None
 
 
 def read(spark: SparkSession, folder: str, snapshot: str | None = None, sources: str | None = None, verify: bool = True) -> dict[str, DataFrame]:

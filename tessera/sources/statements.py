@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from tessera.sources import bsl, references
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_]*"
+#: What stands before a comment, and a semicolon: neither within quotes, of which an even number follows or went before.
+_COMMENT, _END = r'^((?:[^"/]|"[^"]*"|/(?!/))*+)//.*$', r';(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _CHAIN = rf"(?:{_NAME}\s*\.\s*)*{_NAME}"
 
 
 def _statements(modules: DataFrame) -> DataFrame:
     """`module_id`, `line`, `statement`, the symbol around it (`symbol_id`, `symbol_kind`), `role`, `owner_kind`."""
     lines = bsl.scoped_lines(modules)
-    each = lines.select("module_id", "line", "scope", F.explode(F.split("code", ";")).alias("_s")).select("module_id", "line", "scope", F.trim(F.regexp_replace("_s", r"(?<!:)//.*$", "")).alias("statement")).filter("statement != ''")
+    each = lines.select("module_id", "line", "scope", F.explode(F.split(F.regexp_replace("code", _COMMENT, "$1"), _END)).alias("_s")).select("module_id", "line", "scope", F.trim("_s").alias("statement")).filter("statement != ''")
     symbols = bsl.declarations(modules).filter("error is null").select("module_id", F.lower("name").alias("_scope"), "symbol_id", F.col("kind").alias("symbol_kind"))
     return each.withColumn("_scope", F.lower("scope")).join(symbols, ["module_id", "_scope"], "left").join(modules.select("module_id", "role", "owner_kind"), "module_id").drop("_scope", "scope")
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`, or a folder of our own where that is unset."""
+    """`spark.checkpoint.dir`, or a folder of our own where that is unset and all runs in one process."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
     return (configured or str(sc._jsc.sc().getCheckpointDir().get())).rstrip("/")
 

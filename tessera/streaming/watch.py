@@ -1,8 +1,9 @@
-"""Watching a project: when files come or change, the graph is built anew and published whole.
+"""Watching a project: when files come, change or go, the graph is built anew and published whole.
 
-A file stream tells which files are new; each batch that has any rebuilds the snapshot from the full folder, so late
-and repeated batches do no harm, and several changes within a trigger make one build. A build that fails keeps the
-published snapshot and is recorded.
+A stream of ticks compares the state of the whole folder with that of the published snapshot, for a stream of files
+takes each path once and never tells of an edit or a deletion. A difference rebuilds the snapshot from the full folder,
+so repeated ticks do no harm, and several changes within a tick make one build. A build that fails keeps the published
+snapshot, is told, and is tried again when the folder has changed.
 """
 
 from __future__ import annotations
@@ -18,9 +19,6 @@ from tessera.operators import validate
 from tessera.sinks import snapshots
 from tessera.sources import projects, xml
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
-
 def rebuild(spark: SparkSession, root: str, folder: str) -> str | None:
     """Builds and publishes the graph of `root`; gives the snapshot's id, or None where the sources are as before.
 
@@ -48,22 +46,26 @@ def published(spark: SparkSession, folder: str) -> Graph:
     return Graph(tables["nodes"], tables["edges"])
 
 
-def watch(spark: SparkSession, root: str, folder: str, checkpoint: str, on_event: Callable[[int, str], None] | None = None, once: bool = False) -> StreamingQuery:
-    """A stream that rebuilds after every batch with new files; `on_event` hears of each batch and what came of it."""
-    files = spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
+def watch(spark: SparkSession, root: str, folder: str, checkpoint: str, on_event: Callable[[int, str], None] | None = None, once: bool = False, every: str = "250 milliseconds") -> StreamingQuery:
+    """A stream that looks at `root` at every tick and rebuilds after a change; `on_event` hears what came of it."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    failed: list[str] = []
 
-    def built(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
+    def looked(batch: DataFrame, number: int) -> None:
+        state = snapshots.source_state(xml.files(spark, root))
+        if failed == [state]:
             return
+        failed.clear()
         try:
-            outcome = rebuild(spark, root, folder) or "unchanged"
+            outcome = rebuild(spark, root, folder)
         except ValueError as e:  # the published snapshot stays
             outcome = f"failed: {e}"
-        if on_event:
+            failed.append(state)
+        if outcome and on_event:
             on_event(number, outcome)
 
-    writer = files.writeStream.foreachBatch(built).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="250 milliseconds")).start()
+    writer = ticks.writeStream.foreachBatch(looked).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def event_counts(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:

@@ -289,3 +289,98 @@ def test_snapshots(spark, tmp_path):
     df.write.mode("append").parquet(f"{folder}/snapshots/{second}/t")
     with pytest.raises(snapshots.SnapshotError, match="not as written"):
         snapshots.read(spark, folder)
+
+
+def test_summaries_of_valid_and_invalid_graphs(spark):
+    nodes = [("c", "metadata.configuration", "Conf"), ("k", "metadata.catalog"), ("m", "module"), ("p", "procedure")]
+    edges = [("c", "contains", "k"), ("k", "contains", "m"), ("m", "contains", "p")]
+    good = report.configuration_summary(graph(spark, nodes, edges)).first()
+    assert (good.configuration_id, good.name, good.nodes, good.edges, good.errors, good.valid) == ("c", "Conf", 4, 3, 0, True)
+    bad = graph(spark, nodes, edges[:2])
+    requests = spark.createDataFrame([("resolved", "resolved"), ("collected", None), ("partial", "partial_workspace")], "state string, outcome string")
+    row = report.configuration_summary(bad, requests, requests).first()
+    assert (row.errors, row.valid, row.references, row.resolved, row.unresolved, row.diagnostics) == (1, False, 2, 1, 1, 3)
+    s = service.GraphService({"good": graph(spark, nodes, edges), "bad": bad})
+    assert s.summary("good")["valid"] and not s.summary("bad")["valid"] and s.validation("bad")["errors"] == 1
+    assert s.call([service.Rule("allow", ("node",))], "node", "good", "k")["id"] == "k"
+    for rules, tool in (([], "node"), ([service.Rule("confirm", ("*",))], "node"), ([service.Rule("allow", ("*",))], "_graph")):
+        with pytest.raises(service.ServiceError) as e:
+            s.call(rules, tool, "good", "k")
+        assert e.value.status == 403
+    assert s.call([service.Rule("confirm", ("*",))], "node", "good", "k", confirmed=True)["id"] == "k"
+
+
+def test_document_diagnostics_have_a_limit(spark):
+    g = graph(spark, [("m", "module", "Mod", [("s", "a/b", 1, 1, 1, 1, "t", "declared", "exact", "not_applicable")])], [])
+    rows = lambda n: spark.createDataFrame([("m", "k", f"c{i:03}") for i in range(n)], "source_node string, kind string, code string")
+    assert len(service.GraphService({"x": g}, {"x": rows(100)}).document_diagnostics("x", "a/b")) == 100
+    with pytest.raises(service.ServiceError) as e:
+        service.GraphService({"x": g}, {"x": rows(101)}).document_diagnostics("x", "a/b")
+    assert e.value.code == "too_many"
+
+
+def test_ownership_of_deep_trees_and_long_cycles(spark):
+    nodes = [(f"n{i:03}", "metadata.report") for i in range(120)]
+    chain = [(f"n{i:03}", "contains", f"n{i + 1:03}") for i in range(79)]
+    ring = [(f"n{i:03}", "contains", f"n{i + 1 if i < 89 else 80:03}") for i in range(80, 90)]
+    tail = [("n085", "contains", "n100"), ("n100", "contains", "n101")]
+    found = {r.nodes.split("|")[0]: r.nodes.split("|") for r in validate.ownership_cycle_issues(graph(spark, nodes, chain + ring + tail)).collect()}
+    owner = {t: s for s, _, t in ring + tail}
+    for start, way in found.items():
+        expected, seen, at = [start], set(), start
+        while owner[at] not in seen:
+            at = owner[at]
+            seen.add(at)
+            expected.append(at)
+        assert way == [*expected, owner[at]], start
+    assert found.keys() == owner.keys()
+    assert validate.ownership_cycle_issues(graph(spark, nodes, chain)).count() == 0
+
+
+def test_cycles_of_a_component_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(validate, "STARTS", 2)
+    nodes = [(f"s{i}", "subsystem") for i in range(9)]
+    edges = [(f"s{i}", "includes", f"s{(i + 1) % 7}") for i in range(7)] + [("s6", "includes", "s7"), ("s7", "includes", "s8")]
+    found = {r.nodes for r in validate.subsystem_cycle_issues(graph(spark, nodes, edges)).collect()}
+    assert found == {"|".join(f"s{(i + k) % 7}" for k in range(8)) for i in range(7)}
+
+
+def test_provenance_of_resolvers_joins_that_of_requests(spark):
+    kind = "array<struct<source:string,resolution:string>>"
+    observed = spark.createDataFrame([("a", "calls", "B", ["procedure"], [("s", "unresolved")])], f"source_node string, category string, reference string, expected_kinds array<string>, provenance {kind}")
+    first = ledger.collect(observed).drop("problem")
+    outcomes = spark.createDataFrame([(first.first().id, "resolved", ["b"], [("r", "resolved")])], f"id string, outcome string, candidates array<string>, provenance {kind}")
+    done = ledger.finish(first, outcomes).first()
+    assert [tuple(p) for p in done.provenance] == [("s", "unresolved"), ("r", "resolved")] and done.state == "resolved"
+    cases = [([("r", "resolved")], None), ([("r", "unresolved")], "invalid_stage_provenance"), ([("r", "not_applicable")], "not_applicable_provenance"), ([], "missing_provenance")]
+    rows = spark.createDataFrame([(str(i), "resolved", ["b"], p) for i, (p, _) in enumerate(cases)], outcomes.schema)
+    assert [r.problem for r in ledger.stage_problem(rows).orderBy("id").collect()] == [p for _, p in cases]
+
+
+def test_registries_that_contradict_themselves(spark):
+    rows = [("a", "supported", ["x"], []), ("b", "supported", ["x"], ["x"]), ("b", "unsupported", ["x"], ["node_emitted"]), ("c", "not_applicable", [], []), ("d", "declared_only", ["x"], ["edge_kind_declared"]), ("e", "partially_supported", ["x"], []), ("f", "planned", [], [])]
+    registry = spark.createDataFrame(rows, "id string, status string, required array<string>, evidence array<string>").withColumn("category", F.lit("k"))
+    assert {(r.id, r.problem) for r in report.inconsistent_capabilities(registry).collect()} == {("a", "status_contradicts_evidence"), ("b", "status_contradicts_evidence"), ("b", "repeated_id"), ("e", "status_contradicts_evidence"), ("f", "status_contradicts_evidence")}
+    gaps = spark.createDataFrame([("high",), ("high",)], "priority string")
+    assert {(r.metric, r.key): r.value for r in report.coverage_summary(gaps, registry).collect()}["by_gap_priority", "high"] == 2
+
+
+def test_a_revision_has_one_publisher(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    one, two = "1" * 32, "2" * 32
+    (tmp_path / "store" / "current").mkdir(parents=True)
+    (tmp_path / "store" / "current" / "1").write_text("")  # a publisher that was stopped
+    assert snapshots.current(spark, folder) is None
+    assert snapshots.publish(spark, folder, one) == 2 and snapshots.publish(spark, folder, two) == 3
+    assert snapshots.current(spark, folder) == two
+
+
+def test_builds_and_their_differences(spark):
+    old, new = graph(spark, [("a", "module")], []), graph(spark, [("a", "module", "b")], [])
+    build = lambda g: {"graph": g, "report": report.graph_report(g)}
+    assert diff.builds_equal(diff.diff_builds(build(old), build(old)))
+    found = diff.diff_builds(build(old), {"graph": new})
+    assert found.keys() == {"nodes", "edges", "summary"} and not diff.builds_equal(found)
+    pairs = spark.createDataFrame([("a", "b", "calls"), ("b", "a", "calls")], "source string, target string, kind string")
+    g = graph(spark, [("a", "procedure"), ("b", "procedure")], [("a", "calls", "b")])
+    assert {(r.source, r.exists) for r in lookup.contains_edge(g, pairs).collect()} == {("a", True), ("b", False)}

@@ -5,6 +5,7 @@ import pytest
 from tessera.operators import lookup, report, validate
 from tessera.schema import code
 from tessera.sources import projects, xml
+from tessera.sources import statements
 from tessera.streaming import watch
 
 
@@ -139,3 +140,29 @@ def test_watching_publishes_whole_snapshots(spark, tmp_path):
     new.write_text(FILES["src/CommonModules/Common/Common.mdo"], encoding="utf-8")
     run()
     assert len(events) == 2 and watch.published(spark, store).nodes.filter("id = 'common'").count() == 1
+
+
+def test_watching_hears_of_edits_and_deletions(spark, tmp_path):
+    root, store, events = tmp_path / "p" / "shop", str(tmp_path / "store"), []
+    for name in (".project", "src/Configuration/Configuration.mdo", "src/Catalogs/Goods/Goods.mdo", "src/CommonModules/Common/Common.mdo"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(FILES[name], encoding="utf-8")
+
+    def run():
+        watch.watch(spark, str(root), store, str(tmp_path / "checkpoint"), lambda n, outcome: events.append(outcome), once=True).awaitTermination(120)
+        return {r.id: r.name for r in watch.published(spark, store).nodes.collect()}
+
+    assert {"goods", "common"} <= run().keys() and len(events) == 1
+    goods = root / "src/Catalogs/Goods/Goods.mdo"
+    goods.write_text(goods.read_text(encoding="utf-8").replace("<name>Goods</name>", "<name>Wares</name>"), encoding="utf-8")
+    assert run()["goods"] == "Wares" and len(events) == 2
+    (root / "src/CommonModules/Common/Common.mdo").unlink()
+    assert "common" not in run() and len(events) == 3
+    assert "common" not in run() and len(events) == 3
+
+
+def test_semicolons_and_slashes_within_strings(spark):
+    text = 'Procedure Open()\n  OpenForm("a;b//c"); OpenForm("e1cib/list/Catalog.Goods"); // OpenForm("x")\n  Message("http://a;b"); OpenForm("d")\nEndProcedure'
+    modules = spark.createDataFrame([("m", "M", text, "command_module", "command")], "module_id string, module_name string, text string, role string, owner_kind string")
+    found = [r.statement for r in statements._statements(modules).orderBy("line", "statement").collect()]
+    assert found == ['OpenForm("a;b//c")', 'OpenForm("e1cib/list/Catalog.Goods")', 'Message("http://a;b")', 'OpenForm("d")']
