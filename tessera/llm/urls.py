@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, quoted, table
+from tessera.llm.common import fresh, quoted, settled, table
 
 #: Labelled addresses that a classifier is fitted to, at most, and words that the unigram model holds.
 MAX_EXAMPLES = 20_000
@@ -166,7 +166,18 @@ def unigrams(pages: DataFrame, html: str = "html", size: int = VOCABULARY) -> di
     """The `size` most frequent words of all texts, outside tags and in small letters, with their counts; ties by word."""
     text = F.lower(F.regexp_replace(F.coalesce(quoted(html), F.lit("")), "<[^<>]*>", " "))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).filter("word != ''")
-    return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()}
+    counts = settled(words.groupBy("word").agg(F.count("*").alias("n")))
+    # Of counts of one size (an eighth of a doubling), all or none are sorted, so that no task sends words that can't be
+    # among the most frequent. There are some hundred sizes.
+    of = F.floor(F.log2("n") * 8)
+    least = held = 0
+    for r in counts.groupBy(of.alias("of")).agg(F.count("*").alias("words")).orderBy(F.desc("of")).collect():
+        least, held = r["of"], held + r["words"]
+        if held >= size:
+            break
+    # Settled first: a plan that ends in a limit would send as many rows from each task to the driver.
+    most = settled(counts.filter(of >= least).orderBy(F.desc("n"), "word").limit(size), 1)
+    return {r["word"]: r["n"] for r in most.collect()}
 
 
 def fit(sample: Iterable[tuple[str, bool]], counts: dict[str, int] | None = None, limit: int = MAX_EXAMPLES + 1000) -> UrlModel:
@@ -232,7 +243,13 @@ def judged(df: DataFrame, model: UrlModel | None = None, rules: Iterable[Rule] =
 def rule_labels(df: DataFrame, rules: Iterable[Rule] = RULES, url: str = "url", limit: int = MAX_EXAMPLES) -> list[tuple[str, bool]]:
     """Addresses that a rule decides, with whether it blocks them: `limit` at most, those with the least hashes."""
     own = judged(df.select(quoted(url).alias("address"), quoted(url).alias("source")), UrlModel({}, 0.0), rules, "source").filter("rule IS NOT NULL")
-    rows = own.orderBy(F.xxhash64("address"), "address").limit(limit).select("address", "verdict").collect()
+    own = own.select("address", "verdict", F.xxhash64("address").alias("hash"))
+    share = 2 * limit / max(1, own.count())
+    if share < 1:
+        # Twice as many as are wanted are below this hash, but for a chance that is tested.
+        some = own.filter(F.col("hash") < int(-(2**63) + share * 2**64))
+        own = some if some.count() >= limit else own
+    rows = settled(own.orderBy("hash", "address").limit(limit), 1).orderBy("hash", "address").collect()
     return [(r["address"], r["verdict"] == "block") for r in rows]
 
 
