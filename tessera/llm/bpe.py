@@ -8,7 +8,9 @@ higher rank, which `Vocabulary` verifies when it loads a file.
 
 Defined results: a null text counts as empty, and an empty text has no ids and decodes to the empty string. Strings
 of added tokens within a text become their ids, as the tokenizers library has it by default. Repeated rows are
-encoded alike. An empty table gives an empty result. Extra columns are left out of `encoded`.
+encoded alike. Very long texts are encoded whole; one that has more than a slice's characters is a slice of its own.
+Ties: of one rank's places that overlap, the leftmost is merged. An empty table gives an empty result. Extra columns are
+left out of `encoded`, whatever they are called, and a key called like a result column gives that a longer name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import quoted, table
+from tessera.llm.common import fresh, quoted, table
 
 #: Distinct strings that a worker remembers since its memory last turned; those of the turn before are kept beside.
 REMEMBERED = 250_000
@@ -288,7 +290,7 @@ def slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
 
 def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `ids` (binary: little-endian unsigned 32-bit) and `decoded` (string) of every row."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, ids_name, decoded_name = df.schema[key].dataType.simpleString(), fresh("ids", [key]), fresh("decoded", [key])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
@@ -296,9 +298,9 @@ def encoded(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, SLICE_CHARS):
                 ids, decoded = zip(*encoder.encode(texts[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[key, ids_name, decoded_name])
 
-    return df.select(quoted(key).alias(key), quoted(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, ids binary, decoded string")
+    return df.select(quoted(key).alias(key), quoted(text).alias(fresh("_text", [key]))).mapInArrow(run, f"`{key}` {kind}, {ids_name} binary, {decoded_name} string")
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ expectation-maximisation over these counts estimates the share of good documents
 it is right on good and on bad documents. A document's posterior probability of being good then replaces
 "all rules must pass". All per-row work is built-in Spark expressions; nothing shuffles but the pattern counts.
 
-Defined results: a null text counts as empty. An empty text has zero counts, every rule abstains on it and its
+Defined results: a null text counts as empty. A very long text is read whole; one of over a million words compares its
+windows as strings from the start. Ties: equal patterns are one row of the fit, and even odds are kept. An empty text has zero counts, every rule abstains on it and its
 posterior is the estimated share of good documents; it fails the base test, so it is not kept. An empty table
 gives an empty result. Repeated rows are judged alike, each on its own. Null ids and extra columns pass through;
 columns of the result that clash with columns of the input are replaced by the result's.

@@ -10,8 +10,10 @@ such characters counts as one.
 Spaces are written as the word mark and a text is cut before each mark, as that library's Metaspace does, so each
 distinct word is counted once and remembered (`REMEMBERED` words since the memory last turned, and those before).
 
-Defined results: a null text counts as empty and has no tokens. Repeated rows count alike. An empty table gives an
-empty result; extra columns are left out of `counted`.
+Defined results: a null text counts as empty and has no tokens. Very long texts are counted whole, with one score and
+count held for each character of a word. Ties go as said above. Repeated rows count alike. An empty table gives an
+empty result; extra columns are left out of `counted`, whatever they are called, and a key called like the result gives
+that a longer name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import SentencePieceProcessor
 
-from tessera.llm.common import quoted, table
+from tessera.llm.common import fresh, quoted, table
 
 REMEMBERED = 300_000
 MARK = "▁"
@@ -111,15 +113,15 @@ def counter_of(path: str) -> Counter:
 
 def counted(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and `n_tokens` of every row."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, name = df.schema[key].dataType.simpleString(), fresh("n_tokens", [key])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
         for batch in batches:
             n = pa.array([counter.text(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n], names=[key, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n], names=[key, name])
 
-    return df.select(quoted(key).alias(key), quoted(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+    return df.select(quoted(key).alias(key), quoted(text).alias(fresh("_text", [key]))).mapInArrow(run, f"`{key}` {kind}, {name} bigint")
 
 
 def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
