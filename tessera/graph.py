@@ -29,15 +29,16 @@ class Graph:
 
     @classmethod
     def inserted(cls, nodes: DataFrame, edges: DataFrame) -> tuple[Graph, DataFrame]:
-        """A graph from insertions in the order of `ingest_seq`, and the edges that were refused.
+        """A graph from insertions in the order of `ingest_seq`, then of files and lines, and the edges that were refused.
 
         The last node of an id and the first edge of a (source, target, kind) stay; an edge needs both its nodes.
         Blank ids are refused like missing ones.
         """
+        place = F.get("provenance", F.lit(0))
         nodes = nodes.filter(F.trim("id") != "")
-        last = Window.partitionBy("id").orderBy(F.col("ingest_seq").desc())
+        last = Window.partitionBy("id").orderBy(F.col("ingest_seq").desc(), place["path"].desc(), place["start_line"].desc())
         nodes = nodes.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank")
-        first = Window.partitionBy("source", "target", "kind").orderBy("ingest_seq")
+        first = Window.partitionBy("source", "target", "kind").orderBy("ingest_seq", place["path"], place["start_line"])
         edges = edges.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
         sources = nodes.select(F.col("id").alias("source"), F.lit(True).alias("_source"))
         targets = nodes.select(F.col("id").alias("target"), F.lit(True).alias("_target"))

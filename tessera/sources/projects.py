@@ -71,6 +71,10 @@ def _provenance(path: Column, origin: str, confidence: str = "exact", resolution
     return F.array(record).cast(PROVENANCE)
 
 
+# Fixed value: the namespace of built-in types.
+PLATFORM_TYPES = "http://www.w3.org/2001/XMLSchema"
+
+
 def _node(df: DataFrame, id_: Column, name: Column, kind: str | Column, metadata_kind: Column | None = None, origin: str = "declared") -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     return df.select(id_.alias("id"), name.alias("name"), kind.alias("kind"), (F.lit(None).cast("string") if metadata_kind is None else metadata_kind).alias("metadata_kind"), _provenance(F.col("path"), origin).alias("provenance"))
@@ -161,7 +165,7 @@ def build(elements: DataFrame, texts: DataFrame) -> Project:
     _effects(module_rows, objects, children, elements, targets, edges, problems)
 
     # Rights of roles, contents of subsystems, subscriptions.
-    _rights(elements, objects, targets, nodes, edges)
+    _rights(elements, objects, targets, nodes, edges, problems)
     contents = elements.filter("tag = 'content' and depth = 1 and path like '%.mdo'").select("path", references.subsystem_token(col("text")).alias("r")).distinct().join(objects.filter("metadata_kind = 'subsystem'").select("path", F.concat("id", lit(":subsystem")).alias("source_id")), "path")
     _resolved(contents.filter("r.outcome = 'supported'").select("path", "source_id", "r.kind", "r.name"), targets, ["includes"], "subsystem_content", edges, problems)
     problems.append(contents.filter("r.outcome != 'supported'").select(col("source_id").alias("source_node"), lit("subsystem_content").alias("kind"), lit("").alias("reference"), col("r.reason").alias("code")))
@@ -173,8 +177,8 @@ def build(elements: DataFrame, texts: DataFrame) -> Project:
     _services(elements, objects, symbols, nodes, edges, problems)
 
     # Every operator reads the graph many times: the readers run once, and what they found is kept.
-    found_nodes, found_edges = settled(_stacked(nodes)), settled(_stacked(edges))
-    graph, refused = Graph.inserted(found_nodes.withColumn("ingest_seq", F.xxhash64("id", "name")), found_edges.withColumn("ingest_seq", F.xxhash64("source", "target")))
+    found_nodes, found_edges = settled(_in_order(nodes)), settled(_evidence(_in_order(edges)))
+    graph, refused = Graph.inserted(found_nodes, found_edges)
     graph = Graph(settled(graph.nodes), settled(graph.edges))
     problems.append(refused.select(col("source").alias("source_node"), lit("edge").alias("kind"), col("target").alias("reference"), lit("missing_node").alias("code")))
     broken = elements.filter("error is not null").select(col("path").alias("source_node"), lit("xml").alias("kind"), col("error").alias("reference"), lit("malformed_xml").alias("code"))
@@ -188,6 +192,17 @@ def _stacked(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _in_order(frames: list[DataFrame]) -> DataFrame:
+    """All rows with `ingest_seq`, the place of their frame; within a frame the order is that of files and lines."""
+    return _stacked([f.withColumn("ingest_seq", F.lit(i).cast("bigint")) for i, f in enumerate(frames)])
+
+
+def _evidence(edges: DataFrame) -> DataFrame:
+    """Each edge once, with the provenance of all its copies in order."""
+    copies = edges.groupBy("source", "target", "kind").agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "provenance"))).alias("_c"))
+    return copies.select("source", "target", "kind", F.array_distinct(F.flatten(F.transform("_c", lambda c: c["provenance"]))).alias("provenance"), F.col("_c")[0]["ingest_seq"].alias("ingest_seq"))
+
+
 def _resolved(refs: DataFrame, targets: DataFrame, kinds: list[str], what: str, edges: list, problems: list, folded: bool = False) -> None:
     """Edges of `refs` (`path`, `source_id`, `kind`, `name`) with one target, and problems of the others."""
     fold = F.lower if folded else (lambda c: F.col(c))
@@ -268,18 +283,24 @@ def read_export(spark: SparkSession, root: str) -> Project:
     return Project(Graph.of(settled(nodes), settled(edges)), settled(problems.unionByName(broken)), modules)
 
 
-def _rights(elements: DataFrame, objects: DataFrame, targets: DataFrame, nodes: list, edges: list) -> None:
-    """Rights with value true: a right node for each resource, right and restriction, granted by the roles that have it."""
+def _rights(elements: DataFrame, objects: DataFrame, targets: DataFrame, nodes: list, edges: list, problems: list) -> None:
+    """Rights with value true: a right node for each resource, right and restriction, granted by the roles that have it.
+
+    Rights to what can't be protected, or isn't there, are problems of the role.
+    """
     at = elements.filter("path like '%.rights'")
     right = at.filter("tag = 'right'").select("path", "node", F.col("parent").alias("object"))
     names, values = _child_text(at, "name", "right"), _child_text(at, "value", "value")
     condition = at.filter("tag = 'condition'").join(at.select("path", F.col("node").alias("parent"), F.col("parent").alias("_right"), F.col("tag").alias("_above")), ["path", "parent"]).filter("_above = 'restrictionByCondition' and text != ''").groupBy("path", F.col("_right").alias("node")).agg(F.min_by("text", "node").alias("condition"))
     resource = _child_text(at, "name", "resource").withColumnRenamed("node", "object")
     found = right.join(names, ["path", "node"]).join(values, ["path", "node"]).filter("value = 'true'").join(condition, ["path", "node"], "left").join(resource, ["path", "object"])
-    found = found.withColumn("r", references.protected_resource(F.col("resource"))).filter("r.outcome = 'supported'")
-    found = found.join(targets.select(F.col("target_kind").alias("_kind"), F.col("target_name").alias("_name"), "target_id"), (F.col("r.kind") == F.col("_kind")) & (F.col("r.name") == F.col("_name")))
     roles = objects.filter("metadata_kind = 'role'").select("folder", F.concat("id", F.lit(":role")).alias("role_id"))
     found = found.withColumn("folder", F.regexp_replace("path", "/[^/]+$", "")).join(roles, "folder")
+    found = found.withColumn("r", references.protected_resource(F.col("resource")))
+    found = found.join(targets.select(F.col("target_kind").alias("_kind"), F.col("target_name").alias("_name"), "target_id"), (F.col("r.kind") == F.col("_kind")) & (F.col("r.name") == F.col("_name")), "left")
+    code = F.when(F.col("r.outcome") != "supported", "unsupported_resource").when(F.col("target_id").isNull(), "missing_target")
+    problems.append(found.filter(code.isNotNull()).select(F.col("role_id").alias("source_node"), F.lit("role_right").alias("kind"), F.col("resource").alias("reference"), code.alias("code")))
+    found = found.filter(code.isNull())
     found = found.withColumn("right_id", access_right_id("target_id", "right", "condition"))
     one = found.groupBy("right_id", "target_id", "right", "condition", "resource").agg(F.min("path").alias("path"))
     nodes.append(_node(one, F.col("right_id"), access_right_name("resource", "right", "condition"), "access_right"))
@@ -355,9 +376,15 @@ def _services(elements: DataFrame, objects: DataFrame, symbols: DataFrame, nodes
     for found, tag in ((operations, "xdtoReturningValueType"), (parameters, "xdtoValueType")):
         holder = elements.filter(col("tag") == tag).select("path", col("node").alias("_holder"), col("parent").alias("node"))
         used = found.join(holder, ["path", "node"]).drop("name").join(_child_text(elements, "name", "_type").withColumnRenamed("node", "_holder"), ["path", "_holder"]).join(_child_text(elements, "nsUri", "ns").withColumnRenamed("node", "_holder"), ["path", "_holder"])
-        known = types.select("ns", col("name").alias("_type"), col("id").alias("type_id"))
-        edges.append(_edge(used.join(known, ["ns", "_type"]), col("id"), col("type_id"), ["references"], resolved=True))
+        known = types.groupBy("ns", col("name").alias("_type")).agg(F.min("id").alias("type_id"), F.countDistinct("id").alias("n"))
+        used = used.join(known, ["ns", "_type"], "left")
+        edges.append(_edge(used.filter("n = 1"), col("id"), col("type_id"), ["references"], resolved=True))
+        code = F.when(col("n").isNull(), "missing_target").otherwise("ambiguous_target")
+        # Types of the platform's own namespace are no types of the project.
+        problems.append(used.filter(f"(n is null and ns != '{PLATFORM_TYPES}') or n > 1").select(col("id").alias("source_node"), F.lit("service_type").alias("kind"), F.concat(F.lit("{"), "ns", F.lit("}"), "_type").alias("reference"), code.alias("code")))
     used = elements.filter("tag = 'xdtoPackages' and depth = 1").select("path", "node", col("attributes")["type"].alias("type")).join(_child_text(elements, "value", "value"), ["path", "node"])
     used = used.filter("type like '%ReferenceValue'").select("path", F.regexp_extract("value", r"^XDTOPackage\.(.+)$", 1).alias("name")).join(tops("web_service").select("path", "service_id"), "path")
     by_name = objects.filter("metadata_kind = 'xdto_package'").select("name", col("id").alias("package_id"))
-    edges.append(_edge(used.join(by_name, "name"), col("service_id"), col("package_id"), ["references"], resolved=True))
+    used = used.join(by_name, "name", "left")
+    edges.append(_edge(used.filter("package_id is not null"), col("service_id"), col("package_id"), ["references"], resolved=True))
+    problems.append(used.filter("package_id is null").select(col("service_id").alias("source_node"), F.lit("service_package").alias("kind"), col("name").alias("reference"), F.lit("missing_target").alias("code")))

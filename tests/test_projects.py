@@ -166,3 +166,18 @@ def test_semicolons_and_slashes_within_strings(spark):
     modules = spark.createDataFrame([("m", "M", text, "command_module", "command")], "module_id string, module_name string, text string, role string, owner_kind string")
     found = [r.statement for r in statements._statements(modules).orderBy("line", "statement").collect()]
     assert found == ['OpenForm("a;b//c")', 'OpenForm("e1cib/list/Catalog.Goods")', 'Message("http://a;b")', 'OpenForm("d")']
+
+
+def test_rights_types_and_packages_that_lead_nowhere(spark, tmp_path):
+    root = tmp_path / "p" / "shop"
+    names = (".project", "src/Configuration/Configuration.mdo", "src/Catalogs/Goods/Goods.mdo", "src/Roles/Seller/Seller.mdo", "src/Roles/Seller/Rights.rights", "src/WebServices/Api/Api.mdo")
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(FILES[name], encoding="utf-8")
+    right = "<object><name>{}</name><right><name>Read</name><value>true</value></right></object>"
+    rights = root / "src/Roles/Seller/Rights.rights"
+    rights.write_text(rights.read_text().replace("</Rights>", right.format("Catalog.Gone") + right.format("Subsystem.Trade") + right.format("Catalog.Goods") * 2 + "</Rights>"))
+    project = projects.read_project(spark, str(root))
+    problems = {(r.source_node, r.kind, r.reference, r.code) for r in project.diagnostics.collect()}
+    assert {("seller:role", "role_right", "Catalog.Gone", "missing_target"), ("seller:role", "role_right", "Subsystem.Trade", "unsupported_resource"), ("api", "service_package", "Pack", "missing_target"), ("op", "service_type", "{urn:p}Item", "missing_target"), ("par", "service_type", "{urn:p}Code", "missing_target")} <= problems
+    assert project.graph.edges.filter("kind = 'grants'").count() == 2
