@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.graph import Graph
 from tessera.operators import context, diff, impact, ledger, lookup, report, resolve, traverse, validate
 from tessera.schema import CONTEXT_PRIORITY, DEPENDENCY_KINDS, EDGE_KINDS, NO_SELF_LOOP, OWNED, allowed_endpoints, code
-from tessera.sources import bsl, query_language
+from tessera.sources import bsl, query_language, references, statements, xml
 from tessera.sources.tables import graph_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,3 +422,74 @@ QUERIES["query_texts"] = lambda spark, sf_dir: query_language.read_queries(_quer
 ORACLES["query_texts"] = f"""select cast(p_partkey as varchar) query_id, case p_partkey % 4 when 0 then null when 1 then '{query_language.PARAMETER}' when 2 then '{query_language.STRUCTURE}' else '{query_language.MALFORMED}' end code,
 case p_partkey % 4 when 0 then 16 when 1 then 23 when 2 then 24 else 11 end begin_byte, case p_partkey % 4 when 0 then 25 + strlen(cast(p_partkey as varchar)) when 1 then 40 when 2 then 28 else 12 end end_byte,
 case when p_partkey % 4 = 0 then 'catalog' end category, case when p_partkey % 4 = 0 then 'Catalog' end namespace, case when p_partkey % 4 = 0 then 'P' || p_partkey end "name", case when p_partkey % 4 = 0 then 't' end alias from part"""
+
+# --- strings of descriptors: nine shapes of each, by the key of a part -------------------------------------------------
+
+#: By function: shapes of its strings (`#` stands for the key) with outcome, reason, kind and name.
+_STRINGS = {
+    "subsystem_token": [("Catalog.P#", "supported", None, "catalog", "P#"), ("Subsystem.A#", "deferred", "unsupported_prefix", None, None), ("Subsystem.A#.", "malformed", "malformed_format", None, None), ("Catalog.P#.X", "malformed", "malformed_format", None, None), ("Style.P#", "unsupported", "unsupported_prefix", None, None), ("P#", "malformed", "malformed_format", None, None)],
+    "protected_resource": [("Document.P#", "supported", None, "document", "P#"), ("Report.P#", "unsupported", "ignored", None, None), ("Catalog.P#.Attribute.X", "supported", None, "catalog", "P#.Attribute.X"), ("P#", "unsupported", "ignored", None, None)],
+    "type_reference": [(" cfg:CatalogRef.P# ", "supported", None, "catalog", "P#"), ("EnumRef.P#", "supported", None, "enumeration", "P#"), ("xs:string", "unsupported", "no_reference", None, None), ("InformationRegisterRecordKey.P#", "supported", None, "information_register", "P#"), ("ReportRef.P#", "unsupported", "no_reference", None, None)],
+    "event_handler": [("CommonModule.M#.Do", "supported", None, "M#", "Do"), ("CommonModule.M#", "malformed", "missing_components", None, None), ("CommonModule.M#.Do.X", "malformed", "additional_components", None, None), ("CommonModule..Do", "malformed", "empty_component", None, None), ("Catalog.M#.Do", "malformed", "unsupported_namespace", None, None), ("", "malformed", "empty_value", None, None)],
+    "event_source": [("CatalogObject.P#", "supported", None, "catalog", "P#"), ("TaskObject", "supported", None, "task", None), ("ReportObject.P#", "unsupported", "unsupported_prefix", None, None), ("CatalogObject.P#.X", "malformed", "additional_components", None, None), (" ", "malformed", "empty_value", None, None), ("CatalogObject.", "malformed", "empty_component", None, None)],
+    "form_target": [("CommonForm.F#", "supported", None, "common_form", "F#"), ("Catalog.P#.Form.F", "supported", None, "catalog", "P#.F"), ("Style.P#.Form.F", "unsupported", "unsupported_prefix", None, None), ("Catalog.P#.Form", "unsupported", "default_form_alias", None, None), ("Catalog.P#.ListForm", "unsupported", "shorthand_form", None, None), ("P#", "unsupported", "invalid_target_shape", None, None), ("Catalog.P#.Form.", "unsupported", "invalid_name", None, None)],
+    "register_record": [("AccumulationRegister.R#", "supported", None, "accumulation_register", "R#"), ("InformationRegister.R#", "unsupported", "unsupported_kind", None, None), ("Catalog.R#", "unsupported", "unsupported_prefix", None, None), ("AccumulationRegister.", "malformed", "malformed_format", None, None)],
+}
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_partkey").cast("string").alias("key"))
+
+
+def _named_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, shapes in _STRINGS.items():
+        value = F.replace(F.get(F.array(*(F.lit(x[0]) for x in shapes)), (F.col("p_partkey") % len(shapes)).cast("int")), F.lit("#"), F.col("key"))
+        own = _parts(spark, sf_dir).select(F.lit(name).alias("reader"), F.col("p_partkey").cast("bigint").alias("part"), value.alias("value")).withColumn("r", getattr(references, name)(F.col("value")))
+        own = own.select("reader", "part", "value", "r.outcome", "r.reason", "r.kind", "r.name")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _sql_value(x: str | None) -> str:
+    return "cast(null as varchar)" if x is None else "replace('" + x + "', '#', cast(p_partkey as varchar))"
+
+
+QUERIES["descriptor_strings"] = _named_strings
+ORACLES["descriptor_strings"] = " union all ".join(f"select '{name}' reader, cast(p_partkey as bigint) part, {_sql_value(x[0])} \"value\", {_sql_value(x[1])} outcome, {_sql_value(x[2])} reason, {_sql_value(x[3])} kind, {_sql_value(x[4])} \"name\" from part where p_partkey % {len(shapes)} = {i}" for name, shapes in _STRINGS.items() for i, x in enumerate(shapes))
+
+
+def _descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A descriptor for each part; every seventh isn't well-formed."""
+    text = F.concat(F.lit("<m:Catalog xmlns:m='urn:m' uuid='u"), "key", F.lit("'><name> P"), "key", F.lit(" </name><attributes uuid='a"), "key", F.lit("'><name>A&amp;B</name></attributes>"), F.when(F.col("p_partkey") % 7 == 0, "</x>").otherwise("</m:Catalog>"))
+    return xml.elements(_parts(spark, sf_dir).select(F.concat("key", F.lit(".mdo")).alias("path"), text.cast("binary").alias("content")))
+
+
+_ELEMENTS_SQL = ((0, -1, 0, "Catalog", "''", "'u' || k"), (1, 0, 1, "name", "'P' || k", "null"), (2, 0, 1, "attributes", "''", "'a' || k"), (3, 2, 2, "name", "'A&B'", "null"))
+QUERIES["xml_elements"] = lambda spark, sf_dir: _descriptors(spark, sf_dir).select("path", *(F.col(c).cast("bigint").alias(c) for c in ("node", "parent", "depth")), "tag", "text", "uuid", F.col("error").isNotNull().alias("broken"))
+ORACLES["xml_elements"] = "with p as (select p_partkey, cast(p_partkey as varchar) k from part) " + " union all ".join(f"select k || '.mdo' path, cast({n} as bigint) node, cast({up} as bigint) parent, cast({d} as bigint) depth, '{tag}' tag, {text} \"text\", {uuid} uuid, false broken from p where p_partkey % 7 <> 0" for n, up, d, tag, text, uuid in _ELEMENTS_SQL) + " union all select k || '.mdo', null, null, null, null, null, null, true from p where p_partkey % 7 = 0"
+
+#: Statements of a procedure (`#` stands for the key) with the register or form and the reason that reading them gives.
+_WRITES = (("RegisterRecords.R#.Write()", "R#", None), ("RegisterRecords.R#.X.Write()", None, "extra_receiver_components"), ("RegisterRecords.Write()", None, "collection_level_write"), ("Records#.Write()", None, "requires_value_flow"), ("RegisterRecords.R#.Write(True)", None, "non_empty_arguments"), ("x = RegisterRecords.R#.Write()", None, "expression_remainder"), ("RegisterRecords.R#.Write(", None, "malformed_or_incomplete_statement"))
+_OPENINGS = (('OpenForm("Catalog.P#.Form.F")', "P#.F", None), ('OpenForm("CommonForm.F#", a)', "F#", None), ("OpenForm(name#)", None, "dynamic_first_argument"), ('OpenForm("a;b//#")', None, "invalid_target_shape"), ('OpenForm("Catalog.P#.Form.F"', None, "incomplete_statement"))
+
+
+def _statements(shapes: tuple, role: str, owner_kind: str, read: Callable[[DataFrame], DataFrame], found: str) -> Query:
+    """Modules of two statements each on one line, a message before, which holds what doesn't end it, and a comment after."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        statement = F.replace(F.get(F.array(*(F.lit(x[0]) for x in shapes)), (F.col("p_partkey") % len(shapes)).cast("int")), F.lit("#"), F.col("key"))
+        text = F.concat(F.lit('Procedure Do()\n  Message("x;//y"); '), statement, F.lit("; // Write() OpenForm(1)\nEndProcedure"))
+        modules = _parts(spark, sf_dir).select(F.col("key").alias("module_id"), F.col("key").alias("module_name"), text.alias("text"), F.lit(role).alias("role"), F.lit(owner_kind).alias("owner_kind"))
+        return read(modules).select("module_id", F.col("line").cast("bigint").alias("line"), "symbol_id", F.col(found).alias("found"), "reason")
+
+    return run
+
+
+def _statements_sql(shapes: tuple) -> str:
+    return " union all ".join(f"select cast(p_partkey as varchar) module_id, cast(2 as bigint) line, p_partkey || ':procedure:Do' symbol_id, {_sql_value(x[1])} found, {_sql_value(x[2])} reason from part where p_partkey % {len(shapes)} = {i}" for i, x in enumerate(shapes))
+
+
+QUERIES["register_writes"] = _statements(_WRITES, "object_module", "document", statements.register_writes, "register")
+ORACLES["register_writes"] = _statements_sql(_WRITES)
+QUERIES["form_openings"] = _statements(_OPENINGS, "command_module", "command", statements.form_openings, "target.name")
+ORACLES["form_openings"] = _statements_sql(_OPENINGS)
