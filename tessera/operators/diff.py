@@ -19,32 +19,37 @@ def normal_provenance(column: str = "provenance") -> Column:
     return F.when(F.size(records) > 0, F.array_sort(F.array_distinct(F.transform(records, key))))
 
 
-def _compared(previous: DataFrame, current: DataFrame, keys: list[str], aspects: dict[str, list[str]]) -> DataFrame:
-    """Keys with `change` (added, removed, modified) and `aspects` (sorted, with commas); equal rows are left out."""
+def _compared(previous: DataFrame, current: DataFrame, keys: list[str], aspects: dict[str, list[str]], carried: tuple[str, ...] = ()) -> DataFrame:
+    """Keys with `change` (added, removed, modified) and `aspects` (sorted, with commas); equal rows are left out.
+
+    `carried` columns follow from the keys. Rows meet by a hash of the keys and by the keys themselves, so that sorting
+    goes by numbers.
+    """
     value_names = [c for names in aspects.values() for c in names]
-    p = previous.select(*keys, F.struct(*value_names, F.lit(1).alias("_there")).alias("_p"))
-    c = current.select(*keys, F.struct(*value_names, F.lit(1).alias("_there")).alias("_c"))
-    both = p.join(c, keys, "full_outer")
+    side = lambda df, name: df.select(F.xxhash64(*keys).alias("_hash"), *keys, F.struct(*carried, *value_names, F.lit(1).alias("_there")).alias(name))
+    both = side(previous, "_p").join(side(current, "_c"), ["_hash", *keys], "full_outer")
     differs = {a: ~F.struct(*(F.col(f"_p.{n}") for n in names)).eqNullSafe(F.struct(*(F.col(f"_c.{n}") for n in names))) for a, names in aspects.items()}
-    changed = F.array_compact(F.array(*(F.when(differs[a], a) for a in sorted(differs))))
+    changed = F.array_compact(F.array(*(F.when(differs[a], a) for a in sorted(differs)))) if differs else F.array().cast("array<string>")
     change = F.when(F.col("_p").isNull(), "added").when(F.col("_c").isNull(), "removed").when(F.size(changed) > 0, "modified")
-    out = both.select(*keys, change.alias("change"), F.when(change == "modified", F.array_join(changed, ",")).otherwise("").alias("aspects"))
+    values = [F.coalesce(f"_p.{c}", f"_c.{c}").alias(c) for c in carried]
+    out = both.select(*keys, *values, change.alias("change"), F.when(change == "modified", F.array_join(changed, ",")).otherwise("").alias("aspects"))
     return out.filter("change is not null")
 
 
-def diff_nodes(previous: Graph, current: Graph) -> DataFrame:
-    """`id`, `change`, `aspects`: `semantic_content` (name, kind, payload) and `provenance`."""
+def diff_nodes(previous: Graph, current: Graph, provenance: bool = True) -> DataFrame:
+    """`id`, `change`, `aspects`: `semantic_content` (name, kind, payload) and, unless left out, `provenance`."""
     def table(g: Graph) -> DataFrame:
-        nodes = g.nodes.withColumn("_prov", normal_provenance())
+        nodes = g.nodes.withColumn("_prov", normal_provenance()) if provenance else g.nodes
         return nodes if "payload" in nodes.columns else nodes.withColumn("payload", F.lit(None).cast("string"))
 
-    return _compared(table(previous), table(current), ["id"], {"semantic_content": ["name", "kind", "metadata_kind", "payload"], "provenance": ["_prov"]})
+    aspects = {"semantic_content": ["name", "kind", "metadata_kind", "payload"]} | ({"provenance": ["_prov"]} if provenance else {})
+    return _compared(table(previous), table(current), ["id"], aspects)
 
 
-def diff_edges(previous: Graph, current: Graph) -> DataFrame:
+def diff_edges(previous: Graph, current: Graph, provenance: bool = True) -> DataFrame:
     """`edge_id`, its ends and kind, `change` and `aspects`; only the provenance of an edge can be modified."""
-    table = lambda g: g.edges.withColumn("_prov", normal_provenance())
-    return _compared(table(previous), table(current), ["edge_id", "source", "target", "kind"], {"provenance": ["_prov"]})
+    table = lambda g: g.edges.withColumn("_prov", normal_provenance()) if provenance else g.edges
+    return _compared(table(previous), table(current), ["edge_id"], {"provenance": ["_prov"]} if provenance else {}, ("source", "target", "kind"))
 
 
 def diff_summary(previous: Graph, current: Graph) -> DataFrame:

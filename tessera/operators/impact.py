@@ -29,9 +29,8 @@ class ImpactOptions:
 
 def _seeds(previous: Graph, current: Graph, options: ImpactOptions) -> DataFrame:
     """`node_id`, `snapshot`, `status`, `seed_kind`, `seed_id`, `edge_id`, `edge_kind`, `propagates`; sorted by nothing."""
-    nodes, edges = diff_nodes(previous, current), diff_edges(previous, current)
-    if options.provenance == "exclude":
-        nodes, edges = nodes.filter("aspects != 'provenance'"), edges.filter("change != 'modified'")
+    compared = options.provenance != "exclude"
+    nodes, edges = diff_nodes(previous, current, compared), diff_edges(previous, current, compared)
     snapshots = F.explode(F.when(F.col("change") == "added", F.array(F.lit("current"))).when(F.col("change") == "removed", F.array(F.lit("previous"))).otherwise(F.array(F.lit("previous"), F.lit("current"))))
     only_provenance = F.col("aspects") == "provenance"
     propagates = ~only_provenance | F.lit(options.provenance == "propagate")
