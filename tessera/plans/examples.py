@@ -350,23 +350,26 @@ _register_pair("diff_summary", diff.diff_summary, f", f as (select 'node' entity
 ORACLES["diff_summary"] = ORACLES["diff_summary"].replace("\n, f as", ", f as")
 _register_pair("diff_report", lambda p, c: diff.diff_distribution(report.graph_report(p), report.graph_report(c)))
 _register_pair("index_changes", diff.index_changes)
-_register_pair("impact_reasons", lambda p, c: impact.reasons(p, c, impact.ImpactOptions(max_depth=2, kinds=("calls", "reads"))))
+_register_pair("impact_reasons", lambda p, c: impact.reasons(p, c, impact.ImpactOptions(max_depth=2)))
 _OWNER_IMPACT = impact.ImpactOptions(max_depth=2, ownership="owner_to_child")
 _STEPS_SQL = " union all ".join(f"select '{s}' snap, target a, source b from edges{i} where kind in {_SIX} union all select '{s}', source, target from edges{i} where kind = 'contains'" for i, s in ((0, "p"), (1, "c")))
 _IMPACT_SQL = f""", nd as ({_NODE_DIFF}), ed as ({_EDGE_DIFF}),
 seeds as (select id, unnest(case change when 'added' then ['c'] when 'removed' then ['p'] else ['p', 'c'] end) snap, case change when 'removed' then 2 else 1 end rank from nd where aspects <> 'provenance'
 union all select unnest([source, target]), case change when 'added' then 'c' else 'p' end, 1 from ed where change <> 'modified'),
 steps as ({_STEPS_SQL}),
-v0 as (select distinct id, snap from seeds),
-a1 as (select distinct s.b id, s.snap from v0 join steps s on s.a = v0.id and s.snap = v0.snap),
-v1 as (select * from a1 except select * from v0),
-a2 as (select distinct s.b id, s.snap from v1 join steps s on s.a = v1.id and s.snap = v1.snap),
-found as (select id, 0 depth, rank from seeds union all select id, 1, 0 from a1 union all select id, 2, 0 from a2)
-select f.id node_id, coalesce(c.code, p.code) code, cast(min(depth) as bigint) depth, case max(rank) when 2 then 'removed' when 1 then 'directly_changed' else 'transitively_affected' end status, case when p.id is not null and c.id is not null then 'both' when c.id is not null then 'current_only' else 'previous_only' end availability
-from found f left join codes0 p on p.id = f.id left join codes1 c on c.id = f.id group by f.id, c.code, p.code, p.id, c.id"""
-_register_pair("impact", lambda p, c: impact.affected(p, c, _OWNER_IMPACT).drop("n_reasons"))
-ORACLES["impact"] = f"with recursive {_PAIR}{_IMPACT_SQL}"
+v0 as (select id, snap, count(*) w from seeds group by id, snap),
+a1 as (select s.b id, s.snap, sum(w) n from v0 join steps s on s.a = v0.id and s.snap = v0.snap group by s.b, s.snap),
+v1 as (select id, snap from a1 except select id, snap from v0),
+a2 as (select s.b id, s.snap, count(*) n from v1 join steps s on s.a = v1.id and s.snap = v1.snap group by s.b, s.snap),
+found as (select id, 0 depth, rank, 1 n from seeds union all select id, 1, 0, n from a1 union all select id, 2, 0, n from a2),
+affected as (select f.id node_id, coalesce(c.code, p.code) code, cast(min(depth) as bigint) depth, case max(rank) when 2 then 'removed' when 1 then 'directly_changed' else 'transitively_affected' end status, case when p.id is not null and c.id is not null then 'both' when c.id is not null then 'current_only' else 'previous_only' end availability, cast(sum(f.n) as bigint) n_reasons
+from found f left join codes0 p on p.id = f.id left join codes1 c on c.id = f.id group by f.id, c.code, p.code, p.id, c.id)
+"""
+_register_pair("impact", lambda p, c: impact.affected(p, c, _OWNER_IMPACT))
+ORACLES["impact"] = f"with recursive {_PAIR}{_IMPACT_SQL}select * from affected"
 _register_pair("impact_summary", lambda p, c: impact.summary(impact.affected(p, c, _OWNER_IMPACT)))
+_METRICS = {"nodes": "count(*)", **{f"{m}": f"count(*) filter (status = '{m}')" for m in ("removed", "directly_changed", "transitively_affected")}, **{m: f"count(*) filter (availability = '{m}')" for m in ("previous_only", "current_only", "both")}, "reasons": "coalesce(sum(n_reasons), 0)", "max_depth": "coalesce(max(depth), 0)"}
+ORACLES["impact_summary"] = f"with recursive {_PAIR}{_IMPACT_SQL}" + " union all ".join(f"select '{m}' metric, cast({v} as bigint) \"value\" from affected" for m, v in _METRICS.items())
 
 # --- reports of differences, index changes ------------------------------------------------------------------------
 
