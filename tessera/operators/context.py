@@ -20,9 +20,22 @@ class ContextError(ValueError):
         self.code = code_
 
 
+@dataclass(frozen=True, order=True)
+class Seed:
+    """A node by its id or by its exact name, of a kind (`metadata.<kind>` for metadata) if one is expected."""
+
+    id: str = ""
+    name: str = ""
+    kind: str = ""
+
+    def __post_init__(self) -> None:
+        if bool(self.id) == bool(self.name):
+            raise ContextError("invalid_seeds", "a seed has an id or a name")
+
+
 @dataclass(frozen=True)
 class ContextRequest:
-    seeds: tuple[str, ...]
+    seeds: tuple[str | Seed, ...]  # a string is an id
     budget: int = 16_384
     max_depth: int = 2
     max_candidates: int = 50
@@ -44,6 +57,36 @@ class ContextRequest:
                 raise ContextError(name, message)
 
 
+def resolved_seeds(g: Graph, seeds: tuple[str | Seed, ...]) -> list[str]:
+    """The ids of the seeds, sorted and each once; the first seed in order that names no single node is an error.
+
+    What is collected is a row for each id, and for each name and kind.
+    """
+    wanted = sorted({Seed(id=s) if isinstance(s, str) else s for s in seeds})
+    ids, names = [s.id for s in wanted if s.id], [s.name for s in wanted if s.name]
+    nodes = g.nodes.select("id", "name", code().alias("code"))
+    kinds = {r["id"]: r["code"] for r in nodes.filter(F.col("id").isin(*ids)).collect()} if ids else {}
+    found: dict[str, list] = {}
+    for r in nodes.filter(F.col("name").isin(*names)).groupBy("name", "code").agg(F.count("*").alias("n"), F.min("id").alias("least")).collect() if names else ():
+        found.setdefault(r["name"], []).append(r)
+    out = set()
+    for s in wanted:
+        if s.id:
+            actual = [kinds[s.id]] if s.id in kinds else []
+            fitting = [(1, s.id)] if actual and s.kind in ("", actual[0]) else []
+        else:
+            actual = sorted(r["code"] for r in found.get(s.name, ()))
+            fitting = [(r["n"], r["least"]) for r in found.get(s.name, ()) if s.kind in ("", r["code"])]
+        if not actual:
+            raise ContextError("missing_seed", f"no node {s.id or s.name}")
+        if not fitting:
+            raise ContextError("incompatible_seed", f"{s.id or s.name} is {', '.join(actual)} and no {s.kind}")
+        if sum(n for n, _ in fitting) > 1:
+            raise ContextError("ambiguous_seed", f"{s.name} can mean {sum(n for n, _ in fitting)} nodes, {min(least for _, least in fitting)} first")
+        out.add(fitting[0][1])
+    return sorted(out)
+
+
 def _sized(c: Column) -> Column:
     return F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
 
@@ -67,10 +110,7 @@ def context(g: Graph, request: ContextRequest) -> DataFrame:
     at most `max_candidates` rows.
     """
     spark = g.nodes.sparkSession
-    seeds = spark.createDataFrame([(s,) for s in sorted(set(request.seeds))], "id string")
-    missing = seeds.join(g.nodes.select("id"), "id", "left_anti").limit(1).collect()
-    if missing:
-        raise ContextError("missing_seed", f"no node {missing[0]['id']}")
+    seeds = spark.createDataFrame([(s,) for s in resolved_seeds(g, request.seeds)], "id string")
     found = context_candidates(g, seeds, request.direction, list(request.edge_kinds), None if request.node_codes is None else list(request.node_codes), request.max_depth)
     order = ["depth", "path", "seed_id", "node_id"]
     kept = rendered(g, found.orderBy(*order).limit(request.max_candidates))

@@ -73,19 +73,31 @@ _SIX = "('" + "', '".join(DEPENDENCY_KINDS) + "')"
 _MANY_PASSES = ("traverse", "subsystem_members", "context", "validation", "graph_report", "diff_", "index_changes", "impact", "configuration_summary")
 
 
-def _kept(name: str, g: Graph) -> Graph:
-    """The graph as a stored snapshot would have it: made from the tables once, on memory and disk, with its lineage."""
-    return Graph(g.nodes.persist(), g.edges.persist()) if name.startswith(_MANY_PASSES) else g
+#: What the query before has kept; its result, if it is still to be computed, is made from the tables again.
+_before: list[DataFrame] = []
+
+
+def _kept(name: str, *graphs: Graph) -> list[Graph]:
+    """Graphs as stored snapshots would have them: made from the tables once, on memory and disk, with their lineage.
+
+    They are kept until the next query asks for graphs.
+    """
+    while _before:
+        _before.pop().unpersist()
+    if not name.startswith(_MANY_PASSES):
+        return list(graphs)
+    _before.extend(df.persist() for g in graphs for df in (g.nodes, g.edges))
+    return list(graphs)
 
 
 def _register(name: str, run: Callable[[Graph], DataFrame], sql: str | None = None, head: str = _GRAPH) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(_kept(name, graph_of(spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: run(*_kept(name, graph_of(spark, sf_dir)))
     if sql:
         ORACLES[name] = f"with recursive {head}\n{sql}"
 
 
 def _register_pair(name: str, run: Callable[[Graph, Graph], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(*(_kept(name, graph_of(spark, sf_dir, s)) for s in ("previous", "current")))
+    QUERIES[name] = lambda spark, sf_dir: run(*_kept(name, *(graph_of(spark, sf_dir, s) for s in ("previous", "current"))))
     if sql:
         ORACLES[name] = f"with recursive {_PAIR}\n{sql}"
 

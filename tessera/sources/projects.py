@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ids import access_right_id, access_right_name, data_composition_id, xdto_type_id
 from tessera.graph import Graph
-from tessera.schema import PROVENANCE
+from tessera.schema import PAYLOAD, PROVENANCE
 from tessera.sources import bsl, query_language, references, statements, xml
 from tessera.storage import settled
 
@@ -75,9 +75,20 @@ def _provenance(path: Column, origin: str, confidence: str = "exact", resolution
 PLATFORM_TYPES = "http://www.w3.org/2001/XMLSchema"
 
 
-def _node(df: DataFrame, id_: Column, name: Column, kind: str | Column, metadata_kind: Column | None = None, origin: str = "declared") -> DataFrame:
+def _payload(tag: str | Column, variant: str, **values: Column) -> Column:
+    """A payload of one variant; null where all its values are."""
+    tag = F.lit(tag) if isinstance(tag, str) else tag
+    whole = F.to_json(F.struct(tag.alias("tag"), F.struct(*(v.alias(k) for k, v in values.items())).alias(variant)))
+    some = None
+    for v in values.values():
+        some = v.isNotNull() if some is None else some | v.isNotNull()
+    return F.when(some, F.from_json(whole, PAYLOAD))
+
+
+def _node(df: DataFrame, id_: Column, name: Column, kind: str | Column, metadata_kind: Column | None = None, origin: str = "declared", payload: Column | None = None) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return df.select(id_.alias("id"), name.alias("name"), kind.alias("kind"), (F.lit(None).cast("string") if metadata_kind is None else metadata_kind).alias("metadata_kind"), _provenance(F.col("path"), origin).alias("provenance"))
+    payload = F.lit(None).cast(PAYLOAD) if payload is None else payload
+    return df.select(payload.alias("payload"), id_.alias("id"), name.alias("name"), kind.alias("kind"), (F.lit(None).cast("string") if metadata_kind is None else metadata_kind).alias("metadata_kind"), _provenance(F.col("path"), origin).alias("provenance"))
 
 
 def _edge(df: DataFrame, source: Column, target: Column, kinds: list[str], resolved: bool = False) -> DataFrame:
@@ -90,6 +101,26 @@ def _child_text(elements: DataFrame, tag: str, name: str) -> DataFrame:
     return elements.filter(F.col("tag") == tag).groupBy("path", F.col("parent").alias("node")).agg(F.min_by("text", "node").alias(name))
 
 
+def _synonyms(elements: DataFrame) -> DataFrame:
+    """`path`, `node` and the first `synonym` that an element states."""
+    held = elements.filter("tag = 'synonym'").select("path", F.col("node").alias("_synonym"), F.col("parent").alias("node"))
+    stated = elements.filter("tag = 'content'").select("path", F.col("node").alias("_at"), F.col("parent").alias("_synonym"), "text")
+    return held.join(stated, ["path", "_synonym"]).groupBy("path", "node").agg(F.min_by("text", "_at").alias("synonym"))
+
+
+def _facts(elements: DataFrame) -> DataFrame:
+    """By `path` of a descriptor: what it states of its object besides the name, and the object that it extends."""
+    first = lambda tag: F.min_by(F.when(F.col("tag") == tag, F.col("text")), F.when(F.col("tag") == tag, F.col("node")))
+    record = F.when(F.col("tag") == "registerRecords", F.struct("node", F.substring_index("text", ".", 1).alias("target_kind"), F.regexp_extract("text", r"^[^.]*\.(.+)$", 1).alias("target_name")))
+    top = elements.filter("depth = 1 and path like '%.mdo'").groupBy("path").agg(
+        first("event").alias("event"), first("rootURL").alias("root_url"), first("namespace").alias("namespace"), F.array_sort(F.collect_list(record)).alias("records"),
+        first("objectBelonging").alias("belonging"), F.trim(first("extendedConfigurationObject")).alias("extended_id"),
+    )
+    records = F.transform("records", lambda r: F.struct(r["target_kind"].alias("target_kind"), r["target_name"].alias("target_name")))
+    top = top.withColumn("register_records", F.when(F.size("records") > 0, records)).withColumn("extended_id", F.when(F.lower("belonging") == "adopted", F.col("extended_id")))
+    return top.drop("records", "belonging").join(_synonyms(elements).filter("node = 0").drop("node"), "path", "full_outer")
+
+
 def _objects(elements: DataFrame) -> DataFrame:
     """Top descriptors: `path`, `folder`, `id`, `name`, `metadata_kind`."""
     p = F.split("path", "/")
@@ -113,7 +144,13 @@ def build(elements: DataFrame, texts: DataFrame) -> Project:
     objects = _objects(elements)
     nodes, edges, problems = [], [], []
     configuration = objects.filter("metadata_kind = 'configuration'").agg(F.min("id").alias("configuration_id"))
-    nodes.append(_node(objects, col("id"), col("name"), "metadata", col("metadata_kind")))
+    known = objects.join(_facts(elements), "path", "left")
+    records = F.when(col("metadata_kind") == "document", col("register_records"))
+    event, root_url = F.when(col("metadata_kind") == "event_subscription", col("event")), F.when(col("metadata_kind") == "http_service", col("root_url"))
+    stated = _payload("metadata", "metadata", synonym=col("synonym"), register_records=records, event=event, root_url=root_url, namespace=F.when(col("metadata_kind").isin("web_service", "xdto_package"), col("namespace")))
+    nodes.append(_node(known, col("id"), col("name"), "metadata", col("metadata_kind"), payload=stated))
+    adopted = known.filter("extended_id is not null and extended_id != id").join(objects.select(col("id").alias("extended_id"), col("metadata_kind").alias("_kind")), "extended_id").filter("_kind = metadata_kind")
+    edges.append(_edge(adopted, col("id"), col("extended_id"), ["extends"], resolved=True))
     others = objects.filter("metadata_kind != 'configuration'").join(F.broadcast(configuration))  # one row
     edges.append(_edge(others.filter("configuration_id is not null"), col("configuration_id"), col("id"), ["contains"]))
     for kind in ("role", "subsystem"):
@@ -129,7 +166,8 @@ def build(elements: DataFrame, texts: DataFrame) -> Project:
     above = children.filter("depth = 1").select("path", col("node").alias("parent"), F.coalesce("uuid", F.concat_ws(":", "owner_id", "child_kind", "name")).alias("section_id"))
     children = children.join(above, ["path", "parent"], "left").filter("depth = 1 or section_id is not null").withColumn("direct_owner", F.coalesce("section_id", "owner_id"))
     children = children.withColumn("id", F.when(col("child_kind") == "measure", F.concat_ws(":", "direct_owner", "child_kind", "name")).otherwise(F.coalesce("uuid", F.concat_ws(":", "direct_owner", "child_kind", "name"))))
-    nodes.append(_node(children, col("id"), col("name"), col("child_kind")))
+    named = children.join(_synonyms(elements), ["path", "node"], "left")
+    nodes.append(_node(named, col("id"), col("name"), col("child_kind"), payload=F.when(col("child_kind").isin("attribute", "tabular_section"), _payload("member", "member", synonym=col("synonym")))))
     edges.append(_edge(children, col("direct_owner"), col("id"), ["contains"]))
     documents = objects.filter("metadata_kind = 'document'").select("path", col("id").alias("owner_id"), F.explode(F.array(*map(lit, STANDARD_ATTRIBUTES))).alias("name"))
     nodes.append(_node(documents, F.concat_ws(":", "owner_id", lit("standard_attribute"), "name"), col("name"), "standard_attribute"))
@@ -303,7 +341,7 @@ def _rights(elements: DataFrame, objects: DataFrame, targets: DataFrame, nodes:
     found = found.filter(code.isNull())
     found = found.withColumn("right_id", access_right_id("target_id", "right", "condition"))
     one = found.groupBy("right_id", "target_id", "right", "condition", "resource").agg(F.min("path").alias("path"))
-    nodes.append(_node(one, F.col("right_id"), access_right_name("resource", "right", "condition"), "access_right"))
+    nodes.append(_node(one, F.col("right_id"), access_right_name("resource", "right", "condition"), "access_right", payload=_payload("access_right", "access_right", condition=F.col("condition"))))
     edges.append(_edge(one, F.col("right_id"), F.col("target_id"), ["references"], resolved=True))
     edges.append(_edge(found, F.col("role_id"), F.col("right_id"), ["grants"], resolved=True))
 
@@ -333,12 +371,13 @@ def _reports(elements: DataFrame, objects: DataFrame, nodes: list, edges: list)
     edges.append(_edge(schema, F.col("owner_id"), F.col("schema_id"), ["contains"]))
     sets = at.filter("tag = 'dataSet' and depth = 1").select("path", "node", F.col("attributes")["type"].alias("type")).join(_child_text(at, "name", "set_name"), ["path", "node"]).join(schema.select("path", "schema_id"), "path")
     sets = sets.withColumn("set_id", data_composition_id("data_set", "schema_id", "set_name"))
-    nodes.append(_node(sets, F.col("set_id"), F.col("set_name"), "data_set"))
+    sets = sets.join(_child_text(at, "dataSource", "data_source"), ["path", "node"], "left")
+    nodes.append(_node(sets, F.col("set_id"), F.col("set_name"), "data_set", payload=_payload("data_set", "data_set", kind=F.regexp_extract("type", r"([^:]*)$", 1), data_source=F.col("data_source"))))
     edges.append(_edge(sets, F.col("schema_id"), F.col("set_id"), ["contains"]))
     fields = at.filter("tag = 'field' and depth = 2").select("path", "node", F.col("parent").alias("_set"), F.col("attributes")["type"].alias("type")).filter(F.coalesce("type", F.lit("")).endswith("DataSetFieldField"))
     fields = fields.join(_child_text(at, "dataPath", "field_name"), ["path", "node"]).join(sets.select("path", F.col("node").alias("_set"), "set_id"), ["path", "_set"])
     fields = fields.withColumn("field_id", data_composition_id("field", "set_id", "field_name"))
-    nodes.append(_node(fields, F.col("field_id"), F.col("field_name"), "data_composition_field"))
+    nodes.append(_node(fields, F.col("field_id"), F.col("field_name"), "data_composition_field", payload=_payload("field", "field", data_path=F.col("field_name"))))
     edges.append(_edge(fields, F.col("set_id"), F.col("field_id"), ["contains"]))
     queries = sets.filter("type like '%DataSetQuery'").join(_child_text(at, "query", "query"), ["path", "node"]).filter("trim(query) != ''").withColumn("query_id", data_composition_id("query", "set_id", F.lit("Query")))
     nodes.append(_node(queries, F.col("query_id"), F.lit("Query"), "query"))
@@ -350,14 +389,16 @@ def _services(elements: DataFrame, objects: DataFrame, symbols: DataFrame, nodes
     col = F.col
     packages = objects.filter("metadata_kind = 'xdto_package'").select("folder", col("id").alias("owner_id"))
     package = elements.filter("path like '%.xdto' and depth = 0").select("path", col("attributes")["targetNamespace"].alias("ns"), F.regexp_replace("path", "/[^/]+$", "").alias("folder")).join(packages, "folder")
-    types = elements.filter("path like '%.xdto' and depth = 1 and tag in ('valueType', 'objectType')").select("path", col("attributes")["name"].alias("name")).join(package, "path").withColumn("id", xdto_type_id("owner_id", "name"))
-    nodes.append(_node(types, col("id"), col("name"), "xdto_type"))
+    types = elements.filter("path like '%.xdto' and depth = 1 and tag in ('valueType', 'objectType')").select("path", col("tag").alias("type_kind"), col("attributes")["name"].alias("name")).join(package, "path").withColumn("id", xdto_type_id("owner_id", "name"))
+    nodes.append(_node(types, col("id"), col("name"), "xdto_type", payload=_payload("xdto_type", "xdto_type", kind=F.when(col("type_kind") == "valueType", "value").otherwise("object"))))
     edges.append(_edge(types, col("owner_id"), col("id"), ["contains"]))
 
     def level(tag: str, kind: str, parents: DataFrame) -> DataFrame:
         found = elements.filter(col("tag") == tag).select("path", "node", "parent", "uuid").join(_child_text(elements, "name", "name"), ["path", "node"])
         found = found.join(parents.select("path", col("node").alias("parent"), "owner_id", "service_id"), ["path", "parent"]).withColumn("id", F.coalesce("uuid", F.concat_ws(":", "owner_id", F.lit(kind), "name")))
-        nodes.append(_node(found, col("id"), col("name"), kind))
+        variant, held = {"http_service_method": ("http_method", "httpMethod"), "http_service_url_template": ("url_template", "template")}.get(kind, (None, None))
+        stated = found.join(_child_text(elements, held, "_stated"), ["path", "node"], "left") if variant else found
+        nodes.append(_node(stated, col("id"), col("name"), kind, payload=_payload(variant, variant, **{"http_method" if variant == "http_method" else "template": col("_stated")}) if variant else None))
         edges.append(_edge(found, col("owner_id"), col("id"), ["contains"]))
         return found
 

@@ -384,3 +384,16 @@ def test_builds_and_their_differences(spark):
     pairs = spark.createDataFrame([("a", "b", "calls"), ("b", "a", "calls")], "source string, target string, kind string")
     g = graph(spark, [("a", "procedure"), ("b", "procedure")], [("a", "calls", "b")])
     assert {(r.source, r.exists) for r in lookup.contains_edge(g, pairs).collect()} == {("a", True), ("b", False)}
+
+
+def test_seeds_by_name_and_kind(spark):
+    g = graph(spark, [("c", "metadata.catalog", "Goods"), ("d", "metadata.document", "Goods"), ("m", "module", "M"), ("p", "procedure", "Run"), ("q", "procedure", "Run")], [("c", "contains", "m")])
+    seeds = (context.Seed(name="Goods", kind="metadata.document"), "m", context.Seed(id="m", kind="module"), context.Seed(name="M"))
+    assert context.resolved_seeds(g, seeds) == ["d", "m"]
+    assert {r.seed_id for r in context.context(g, context.ContextRequest(seeds)).collect()} == {"d", "m"}
+    for seed, problem in (("x", "missing_seed"), (context.Seed(name="x"), "missing_seed"), (context.Seed(id="m", kind="query"), "incompatible_seed"), (context.Seed(name="M", kind="query"), "incompatible_seed"), (context.Seed(name="Run"), "ambiguous_seed"), (context.Seed(name="Goods"), "ambiguous_seed")):
+        with pytest.raises(context.ContextError) as e:
+            context.resolved_seeds(g, (seed,))
+        assert e.value.code == problem
+    with pytest.raises(context.ContextError):
+        context.Seed(id="a", name="b")

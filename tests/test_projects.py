@@ -2,8 +2,11 @@
 
 import pytest
 
-from tessera.operators import lookup, report, validate
-from tessera.schema import code
+from pyspark.sql import functions as F
+
+from tessera.graph import Graph
+from tessera.operators import diff, lookup, report, validate
+from tessera.schema import code, payload_fits
 from tessera.sources import projects, xml
 from tessera.sources import statements
 from tessera.streaming import watch
@@ -181,3 +184,27 @@ def test_rights_types_and_packages_that_lead_nowhere(spark, tmp_path):
     problems = {(r.source_node, r.kind, r.reference, r.code) for r in project.diagnostics.collect()}
     assert {("seller:role", "role_right", "Catalog.Gone", "missing_target"), ("seller:role", "role_right", "Subsystem.Trade", "unsupported_resource"), ("api", "service_package", "Pack", "missing_target"), ("op", "service_type", "{urn:p}Item", "missing_target"), ("par", "service_type", "{urn:p}Code", "missing_target")} <= problems
     assert project.graph.edges.filter("kind = 'grants'").count() == 2
+
+
+def test_payloads_and_extensions(spark, tmp_path):
+    root = tmp_path / "p" / "shop"
+    files = {
+        ".project": "<projectDescription/>",
+        "src/Configuration/Configuration.mdo": mdo("Configuration", "cfg", "<name>Shop</name>"),
+        "src/Catalogs/Base/Base.mdo": mdo("Catalog", "base", "<name>Base</name><synonym><key>en</key><content>The base</content></synonym><synonym><key>de</key><content>Basis</content></synonym><attributes uuid='at'><name>A</name><synonym><content>An attribute</content></synonym></attributes>"),
+        "src/Catalogs/Own/Own.mdo": mdo("Catalog", "own", "<name>Own</name><objectBelonging>Adopted</objectBelonging><extendedConfigurationObject>base</extendedConfigurationObject>"),
+        "src/Catalogs/Other/Other.mdo": mdo("Catalog", "other", "<name>Other</name><extendedConfigurationObject>base</extendedConfigurationObject>"),
+        "src/Documents/Sale/Sale.mdo": mdo("Document", "sale", "<name>Sale</name><objectBelonging>Adopted</objectBelonging><extendedConfigurationObject>base</extendedConfigurationObject><registerRecords>AccumulationRegister.B</registerRecords><registerRecords>AccumulationRegister.A</registerRecords>"),
+        "src/EventSubscriptions/Sub/Sub.mdo": mdo("EventSubscription", "sub", "<name>Sub</name><event>OnWrite</event>"),
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text, encoding="utf-8")
+    g = projects.read_project(spark, str(root)).graph
+    payloads = {r.id: r.payload for r in g.nodes.collect()}
+    assert payloads["base"].metadata.synonym == "The base" and payloads["at"].member.synonym == "An attribute" and payloads["own"] is None
+    assert [(r.target_kind, r.target_name) for r in payloads["sale"].metadata.register_records] == [("AccumulationRegister", "B"), ("AccumulationRegister", "A")] and payloads["sub"].metadata.event == "OnWrite"
+    assert g.nodes.filter(~payload_fits()).count() == 0
+    assert {(r.source, r.target) for r in g.edges.filter("kind = 'extends'").collect()} == {("own", "base")}
+    renamed = g.nodes.withColumn("payload", F.when(F.col("id") == "base", F.lit(None)).otherwise(F.col("payload")))
+    assert [(r.id, r.aspects) for r in diff.diff_nodes(g, Graph(renamed, g.edges)).collect()] == [("base", "semantic_content")]
