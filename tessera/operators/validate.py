@@ -58,18 +58,27 @@ def _with_codes(g: Graph) -> DataFrame:
     return g.edges.join(codes("source"), "source", "left").join(codes("target"), "target", "left")
 
 
+def _found(df: DataFrame, checks: list[tuple[Column, str, str, Column, Column | None]], edge_id: Column | None = None, edge_kind: Column | None = None, target: Column | None = None) -> DataFrame:
+    """The issues of each row in one pass: for every check (condition, name, severity, nodes, source code) that holds."""
+    each = [F.when(holds, F.struct(F.lit(CODES[name]).alias("code"), F.lit(severity).alias("severity"), nodes.alias("nodes"), (_null() if source is None else source).alias("source_code"))) for holds, name, severity, nodes, source in checks]
+    or_null = lambda c: _null() if c is None else c
+    out = df.select(or_null(edge_id).alias("edge_id"), or_null(edge_kind).alias("edge_kind"), or_null(target).alias("target_code"), F.explode(F.array_compact(F.array(*each))).alias("_i"))
+    return out.select("_i.code", "_i.severity", "_i.nodes", "edge_id", "edge_kind", "_i.source_code", "target_code")
+
+
 def structure_issues(g: Graph) -> DataFrame:
     """Missing ends, forbidden loops, ends that the schema doesn't allow, and edges without provenance."""
-    edges = _with_codes(g)
-    ends = F.concat_ws("|", "source", "target")
-    about = {"edge_id": F.col("edge_id"), "edge_kind": F.col("kind"), "source": F.col("source_code"), "target": F.col("target_code")}
-    out = _issues(edges.filter("source_code is null"), "missing_source", ends, **about)
-    out = out.unionByName(_issues(edges.filter("target_code is null"), "missing_target", ends, **about))
-    out = out.unionByName(_issues(edges.filter((F.col("source") == F.col("target")) & F.col("kind").isin(*NO_SELF_LOOP)), "forbidden_self_loop", ends, **about))
-    whole = edges.filter("source_code is not null and target_code is not null")
-    schema = F.broadcast(endpoint_table(g.nodes.sparkSession))  # as large as the fixed vocabulary
-    out = out.unionByName(_issues(whole.join(schema, ["source_code", "kind", "target_code"], "left_anti"), "invalid_edge_endpoints", ends, **about))
-    return out.unionByName(_issues(edges.filter(F.coalesce(F.size("provenance"), F.lit(0)) <= 0), "missing_edge_provenance", ends, "warning", **about))
+    schema = F.broadcast(endpoint_table(g.nodes.sparkSession).withColumn("_allowed", F.lit(True)))  # as large as the fixed vocabulary
+    edges = _with_codes(g).join(schema, ["source_code", "kind", "target_code"], "left")
+    ends, source, target = F.concat_ws("|", "source", "target"), F.col("source_code"), F.col("target_code")
+    checks = [
+        (source.isNull(), "missing_source", "error", ends, source),
+        (target.isNull(), "missing_target", "error", ends, source),
+        ((F.col("source") == F.col("target")) & F.col("kind").isin(*NO_SELF_LOOP), "forbidden_self_loop", "error", ends, source),
+        (source.isNotNull() & target.isNotNull() & F.col("_allowed").isNull(), "invalid_edge_endpoints", "error", ends, source),
+        (F.coalesce(F.size("provenance"), F.lit(0)) <= 0, "missing_edge_provenance", "warning", ends, source),
+    ]
+    return _found(edges, checks, F.col("edge_id"), F.col("kind"), target)
 
 
 def node_issues(g: Graph) -> DataFrame:
@@ -80,15 +89,16 @@ def node_issues(g: Graph) -> DataFrame:
 def ownership_issues(g: Graph) -> DataFrame:
     """Nodes whose kind needs exactly one owner and that have none, several or one of a wrong kind."""
     held = g.edges.filter("kind = 'contains'").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("owners"))
-    owned = g.nodes.filter(F.col("kind").isin(*OWNED)).select("id", code().alias("target_code")).join(held, "id", "left")
-    kind = F.lit("contains")
-    none = _issues(owned.filter("owners is null"), "invalid_owner", F.col("id"), edge_kind=kind, target=F.col("target_code"))
-    several = _issues(owned.filter("size(owners) > 1"), "multiple_owners", F.concat_ws("|", F.array_join("owners", "|"), "id"), edge_kind=kind, target=F.col("target_code"))
-    one = owned.filter("size(owners) = 1").withColumn("owner", F.col("owners")[0]).join(g.nodes.select(F.col("id").alias("owner"), code().alias("source_code")), "owner")
-    schema = F.broadcast(endpoint_table(g.nodes.sparkSession).filter("kind = 'contains'").drop("kind"))
-    wrong = one.join(schema, ["source_code", "target_code"], "left_anti")
-    wrong = _issues(wrong, "invalid_owner", F.concat_ws("|", "owner", "id"), edge_kind=kind, source=F.col("source_code"), target=F.col("target_code"))
-    return none.unionByName(several).unionByName(wrong)
+    owned = g.nodes.filter(F.col("kind").isin(*OWNED)).select("id", code().alias("target_code")).join(held, "id", "left").withColumn("owner", F.col("owners")[0])
+    owned = owned.join(g.nodes.select(F.col("id").alias("owner"), code().alias("source_code")), "owner", "left")
+    schema = F.broadcast(endpoint_table(g.nodes.sparkSession).filter("kind = 'contains'").drop("kind").withColumn("_allowed", F.lit(True)))
+    owned = owned.join(schema, ["source_code", "target_code"], "left")
+    checks = [
+        (F.col("owners").isNull(), "invalid_owner", "error", F.col("id"), None),
+        (F.size("owners") > 1, "multiple_owners", "error", F.concat_ws("|", F.array_join("owners", "|"), "id"), None),
+        ((F.size("owners") == 1) & F.col("source_code").isNotNull() & F.col("_allowed").isNull(), "invalid_owner", "error", F.concat_ws("|", "owner", "id"), F.col("source_code")),
+    ]
+    return _found(owned, checks, edge_kind=F.lit("contains"), target=F.col("target_code"))
 
 
 def _on_or_before_cycles(pairs: DataFrame) -> DataFrame:
