@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["traverse_downstream"]
+NAMES = ["traverse_downstream", "traverse_both_ways"]
 
 
 @pytest.mark.parametrize("name", NAMES)
