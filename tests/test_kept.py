@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["traverse_downstream", "traverse_both_ways", "traverse_upstream", "traverse_dependencies", "context"]
+NAMES = ["traverse_downstream", "traverse_both_ways", "traverse_upstream", "traverse_dependencies", "context", "diff_edges"]
 
 
 @pytest.mark.parametrize("name", NAMES)
