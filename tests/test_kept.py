@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["traverse_downstream", "traverse_both_ways", "traverse_upstream", "traverse_dependencies", "context", "diff_edges", "diff_summary", "index_changes"]
+NAMES = ["traverse_downstream", "traverse_both_ways", "traverse_upstream", "traverse_dependencies", "context", "diff_edges", "diff_summary", "index_changes", "impact_reasons"]
 
 
 @pytest.mark.parametrize("name", NAMES)
