@@ -22,15 +22,16 @@ that could name a component don't arise: the least does. A null id never names a
 no other id, and then the component is null. An empty table gives an empty result. Extra columns, also such as are
 called like columns of the result, are left out of `fingerprints` and pass through `keep_one`.
 
-`keep_one` is what the corpus pipeline calls: one text of each component of exact five-word similarity. A radius that
-reaches it leaves the triangle bound nothing to pass over, so candidates are dealt by min-hash cells instead, and the
-vantage points work on the shingle sets themselves.
+`keep_one` is what the corpus pipeline calls: one text of each component of exact five-word similarity. The steps are
+the same: fingerprints (of five-word shingles), shards, a vantage-point tree over the fingerprints of each shard
+(`candidates`), components; the exact check follows. At the radius that reaches that similarity (`REACH`) bands of bits
+would be too narrow to deal by, so the shards are min-hash cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -366,6 +367,9 @@ def grouped(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> Dat
 WIDTH, SIMILAR = 5, (4, 5)
 #: Min-hashes by which the pipeline deals candidates: two texts at 4/5 miss each other with chance (1 - 0.8^6)^45 = 1e-6.
 CELLS, CELL_HASHES = 45, 6
+#: Bits in which fingerprints of candidates differ at most. Of two sets at 4/5 a bit differs with chance 0.15, or 0.19 for the
+#: smallest, so more than this with 1e-8, or 1e-5; the 48 pairs of distinct sets at 4/5 or more on sf0.1 differ in 4 to 14.
+REACH = 26
 #: Texts, and bytes of their shingles, of a candidate component that make a block; a task compares two blocks at most.
 BLOCK_SETS, BLOCK_BYTES = 1500, 24_000_000
 _RANDOM = np.random.default_rng(20)
@@ -388,6 +392,53 @@ def cells_of(shingles: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64).tolist()
 
 
+def candidates(cells: DataFrame, reach: int = REACH) -> DataFrame:
+    """Links `u`, `v` between the nodes of `cells` (`cell`, `node`, `fp`): in each cell they join what pairs within `reach` bits would.
+
+    A cell is a shard and has its vantage-point tree. One over `SHARD_ROWS` goes to no single task: all its nodes are
+    linked to the least, as the exact check follows.
+    """
+    many = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = settled(cells.join(many, "cell"))
+
+    def forest(cell: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # The first vantage point of every shard, all at once: mostly the ball around it is the whole shard.
+        starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        ends = np.concatenate((starts[1:], [len(cell)]))
+        vantage = np.repeat(starts, ends - starts)
+        ball = np.bitwise_count(fp ^ fp[vantage]) <= reach
+        whole = np.logical_and.reduceat(ball, starts)
+        inside = np.repeat(whole, ends - starts)
+        yield node[vantage[inside]], node[inside]
+        for a, b in zip(starts[~whole].tolist(), ends[~whole].tolist(), strict=True):
+            points, first, own = np.unique(fp[a:b], return_index=True, return_inverse=True)
+            named = node[a:b][first]
+            yield named[own], node[a:b]
+            if len(points) > 1 and len(found := link_forest(points, reach)):
+                yield named[found[:, 0]], named[found[:, 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Shards lie one after the other; the last of a batch may go on in the next.
+        rest: list[np.ndarray] = []
+        for last, batch in chain(((False, b) for b in batches), [(True, None)]):
+            own = [] if last else [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+            held = own if not rest else rest if last else [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            if not held or not len(held[0]):
+                continue
+            cut = len(held[0]) if last else int(np.flatnonzero(np.concatenate(([True], held[0][1:] != held[0][:-1])))[-1])
+            rest = [x[cut:] for x in held]
+            if cut:
+                for u, v in forest(*(x[:cut] for x in held)):
+                    apart = u != v
+                    if apart.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], names=["u", "v"])
+
+    trees = shared.filter(F.col("n") <= SHARD_ROWS).select("cell", "node", "fp").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "u bigint, v bigint")
+    dense = shared.filter(F.col("n") > SHARD_ROWS)
+    least = dense.groupBy("cell").agg(F.min("node").alias("u"))
+    return trees.unionByName(dense.join(least, "cell").filter("node != u").select("u", F.col("node").alias("v")))
+
+
 def similar_forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> _Forest:
     """Joins the sets just as all pairs with at least that share of common members would.
 
@@ -429,7 +480,7 @@ def similar_forest(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -
     return forest
 
 
-def similar_classes(rows: DataFrame, row: str, key: str, text: str) -> DataFrame:
+def similar_classes(rows: DataFrame, row: str, key: str, text: str, reach: int = REACH) -> DataFrame:
     """`row`, `key`, `hash` (of the text) and `class` of all `rows`: one class for each component of similar texts.
 
     A candidate component of any size is compared in blocks of about `BLOCK_SETS` texts or `BLOCK_BYTES` bytes of shingles at most: every
@@ -444,7 +495,8 @@ def similar_classes(rows: DataFrame, row: str, key: str, text: str) -> DataFrame
                 sets = [shingle_set(t.as_py()) for t in some.column(3)]
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
                 sizes = pa.array([s.nbytes for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(nodes), sizes, pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))], names=["row", "key", "hash", "node", "size", "cells"])
+                prints = np.fromiter(map(fingerprint, sets), np.uint64, len(sets)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(nodes), sizes, pa.array(prints), pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))], names=["row", "key", "hash", "node", "size", "fp", "cells"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,12 +512,11 @@ def similar_classes(rows: DataFrame, row: str, key: str, text: str) -> DataFrame
         return pa.table({"u": ends.min(axis=1), "v": ends.max(axis=1)})
 
     chosen = rows.select(quoted(row).alias("row"), quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("hash"), quoted(text).alias("body"))
-    sketches = settled(chosen.mapInArrow(sketch, f"row bigint, key {kind}, hash bigint, node bigint, size bigint, cells array<bigint>"))
+    sketches = settled(chosen.mapInArrow(sketch, f"row bigint, key {kind}, hash bigint, node bigint, size bigint, fp bigint, cells array<bigint>"))
     # Rows with one set of shingles are one node.
-    cells = sketches.groupBy("node").agg(F.first("cells").alias("cells")).select("node", F.explode("cells").alias("cell"))
-    least = cells.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    cells = sketches.groupBy("node").agg(F.first("fp").alias("fp"), F.first("cells").alias("cells")).select("node", "fp", F.explode("cells").alias("cell"))
     n = sketches.count()
-    roots = components(cells.join(least, "cell").filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")), n)
+    roots = components(candidates(cells.select("cell", "node", "fp"), reach), n)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     one = sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size")).join(roots, "node")
     # A candidate component is compared block by block: each node is in the tasks of its block and every other.
@@ -478,7 +529,7 @@ def similar_classes(rows: DataFrame, row: str, key: str, text: str) -> DataFrame
     found = dealt.mapInArrow(sets_of, "root bigint, low int, high int, node bigint, shingles binary").groupBy("root", "low", "high").applyInArrow(verified, "u bigint, v bigint")
     classes = components(found, n)
     classes = classes.select("node", F.col("root").alias("class"))
-    return sketches.drop("cells").join(classes, "node", "left").select("row", "key", "hash", F.coalesce("class", "node").alias("class"))
+    return sketches.drop("fp", "cells").join(classes, "node", "left").select("row", "key", "hash", F.coalesce("class", "node").alias("class"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

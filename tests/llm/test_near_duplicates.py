@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tessera.llm import simhash
 
@@ -66,3 +68,54 @@ def test_repeated_and_null_ids(spark):
     kept = {r.at for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
     assert {1, 2} <= kept and len(kept & {5, 6}) == 1 and len(kept & {7, 8}) == 1 and len(kept) == 4
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
+def test_candidates_are_links_of_fingerprints(spark, monkeypatch):
+    random.seed(11)
+    reach, rows = simhash.REACH, []
+    for cell in range(40):
+        at = random.getrandbits(64)
+        for _ in range(random.choice([1, 2, 2, 3, 8, 30])):
+            at = random.choice([at, random.getrandbits(64)])
+            for bit in random.sample(range(64), random.choice([0, 5, 20, 26, 27])):
+                at ^= 1 << bit
+            rows.append((cell, len(rows), at - (1 << 64) if at >> 63 else at))
+    df = spark.createDataFrame(rows, "cell long, node long, fp long")
+
+    def linked(links):
+        up = list(range(len(rows)))
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for u, v in links:
+            x, y = sorted((find(u), find(v)))
+            up[y] = x
+        return [find(i) for i in range(len(rows))]
+
+    near = [(a, b) for c, a, x in rows for d, b, y in rows if c == d and a < b and bin((x ^ y) % 2**64).count("1") <= reach]
+    expected = linked(near)
+    assert len(set(expected)) < len(rows) and any(rows[a][0] == rows[b][0] and expected[a] != expected[b] for a in range(len(rows)) for b in range(a))
+    assert linked((r.u, r.v) for r in simhash.candidates(df, reach).collect()) == expected
+    # A cell too large for a task is one candidate component, whatever its fingerprints are.
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 7)
+    size = {c: sum(r[0] == c for r in rows) for c in range(40)}
+    expected = linked(near + [(a, b) for c, a, _ in rows for d, b, _ in rows if c == d and size[c] > 7])
+    assert linked((r.u, r.v) for r in simhash.candidates(df, reach).collect()) == expected
+
+
+def test_forest_at_the_stage_radius_equals_brute_force():
+    rng, points = random.Random(12), set()
+    for _ in range(30):
+        centre = rng.getrandbits(64)
+        for _ in range(60):
+            points.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(14))))
+    points = np.array(sorted(points), np.uint64)
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 19
+    forest, brute = simhash._Forest(len(points)), simhash._Forest(len(points))
+    found = simhash.link_forest(points, 19)
+    forest.join_all(found[:, 0], found[:, 1])
+    brute.join_all(*np.nonzero(near))
+    assert len(points) > simhash.LEAF and forest.roots(np.arange(len(points))).tolist() == brute.roots(np.arange(len(points))).tolist()
